@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from . import linear, reduce, windows
+from .common import Query
 
-def queries():
-    return {}
 
+def _all() -> dict[str, tuple[Query, str | None]]:
+    return windows.PLANS | reduce.PLANS | linear.PLANS
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _all().items() if sql}
