@@ -1,0 +1,159 @@
+import math
+import random
+
+import numpy as np
+import pandas as pd
+import pytest
+from helpers import INF, NAN, ONE, column, same, series
+from pyspark.sql import functions as F
+
+from tidemark import functions as fn
+from tidemark import operators as op
+from tidemark.series import Series
+
+_ = None
+
+
+@pytest.mark.parametrize(
+    "make, x, want",
+    [
+        (lambda: fn.msum("x", 3, ONE), [1, 2, 3, 4, 5], [_, _, 6, 9, 12]),
+        (lambda: fn.msum("x", 3, ONE), [1, NAN, 3, 4, 5], [_, _, _, _, 12]),
+        (lambda: fn.msum("x", 3, ONE), [1, None, 3, 4, 5], [_, _, _, _, 12]),
+        (lambda: fn.msum("x", 5, ONE), [1, 2, 3], [_, _, _]),
+        (lambda: fn.msum("x", 1, ONE), [1, 2], [1, 2]),
+        (lambda: fn.ma("x", 3, ONE), [1, NAN, 3, 4, 5], [_, _, _, _, 4]),
+        (lambda: fn.mvar("x", 2, ONE, ddof=0), [1, 2, 3, 4], [_, 0.25, 0.25, 0.25]),
+        (lambda: fn.mvar("x", 2, ONE, ddof=2), [1, 2, 3], [_, _, _]),
+        (lambda: fn.mstd("x", 3, ONE), [2, 2, 2, 2, 2], [_, _, 0, 0, 0]),
+        (lambda: fn.mmax("x", 3, ONE), [2, 3, 1, 5, 2, 3, 4], [2, 3, 3, 5, 5, 5, 4]),
+        (lambda: fn.mmax("x", 2, ONE), [-2, -1, -5, -3, -1], [-2, -1, -1, -3, -1]),
+        (lambda: fn.mmax("x", 2, ONE), [1, NAN, 3, 4], [1, _, _, 4]),
+        (lambda: fn.mmin("x", 3, ONE), [2, 3, 1, 5, 2, 3, 4], [2, 2, 1, 1, 1, 2, 2]),
+        (lambda: fn.rci("x", ONE, 5), [4, 1, 2, 3, 5], [_, _, _, _, 40]),
+        (lambda: fn.rci("x", ONE, 5), [-4, -1, -2, -3, -5], [_, _, _, _, -40]),
+        (lambda: fn.rci("x", ONE, 9), range(12), [_] * 8 + [100] * 4),
+        (lambda: fn.nancumsum("x", ONE), [NAN, 1, NAN, 2, 3, NAN, 4], [_, 1, _, 3, 6, _, 10]),
+        (lambda: fn.nancumsum("x", ONE), [1, INF, 2], [1, INF, INF]),
+        (lambda: fn.nancumprod("x", ONE), [2, NAN, 3, 4], [2, _, 6, 24]),
+        (lambda: fn.rcumsum("x", ONE), [1, 2, NAN, 4], [_, _, _, 4]),
+        (lambda: fn.cumcount("x", ONE), [1, 2, 1, 3, 2, 1, 3], [0, 0, 1, 0, 1, 2, 1]),
+        (lambda: fn.cumcount("x", ONE), [NAN, 1, NAN], [0, 0, 0]),
+        (lambda: fn.ffill("x", ONE), [1, NAN, NAN, 4, 5], [1, 1, 1, 4, 5]),
+        (lambda: fn.ffill("x", ONE), [NAN, INF, NAN], [_, INF, INF]),
+        (lambda: fn.bfill("x", ONE), [NAN, 2, NAN, 4, NAN], [2, 2, 4, 4, _]),
+        (lambda: fn.shift("x", 1, ONE), [1, 2, 3], [_, 1, 2]),
+        (lambda: fn.shift("x", -5, ONE), [1, 2, 3], [_, _, _]),
+        (lambda: fn.nanshift("x", ONE, 1), [1, NAN, 3, 4, NAN], [_, _, 1, 3, _]),
+        (lambda: fn.nanshift("x", ONE, -1), [1, NAN, 3, 4, NAN], [3, _, 4, _, _]),
+        (lambda: fn.nanshift("x", ONE, 2), [1, NAN, 3, 4, NAN], [_, _, _, 1, _]),
+        (lambda: fn.group_shift("x", F.col("pos") % 2 == 0, ONE), [1, 2, 3, 4, 5], [_, _, 1, _, 3]),
+        (lambda: fn.fillna("x", 7, posinf=1, neginf=-1), [NAN, INF, -INF, 2], [7, 1, -1, 2]),
+        (lambda: fn.nanones("x"), [NAN, 5, INF], [_, 1, 1]),
+        (lambda: fn.signif("x", 3), [0.1234, -12.34, 9.876, -9.999, 1.234e100, 1.234e-100, 0, NAN, INF, -INF], [0.123, -12.3, 9.88, -10, 1.23e100, 1.23e-100, 0, _, INF, -INF]),
+    ],
+)
+def test_goldens(spark, make, x, want):
+    assert same(column(series(spark, x).withColumn("out", make())), list(want))
+
+
+def test_spans_are_checked():
+    for make in (fn.msum, fn.ma, fn.mvar, fn.mmax, fn.mmin):
+        with pytest.raises(ValueError):
+            make("x", 0, ONE)
+
+
+def test_bollinger(spark):
+    made = series(spark, [100, 102, 101, 103, 105]).select("k", "pos", *(c.alias(k) for k, c in fn.bollinger_band("x", ONE, 3, 1.0).items()))
+    assert same(column(made, "upper"), [_, _, 101.8165, 102.8165, 104.6330], 1e-6)
+    assert same(column(made, "lower"), [_, _, 100.1835, 101.1835, 101.3670], 1e-6)
+
+
+def test_rcummax_takes_the_first_of_equals(spark):
+    made = series(spark, [3, 1, 3, 2]).select("k", "pos", *(c.alias(k) for k, c in fn.rcummax("x", "pos", ONE).items()))
+    assert column(made, "values") == [3, 3, 3, 2] and column(made, "indices") == [0, 2, 2, 3]
+
+
+@pytest.mark.parametrize("alpha", [0, 0.001, 0.3, 0.9, 1])
+@pytest.mark.parametrize("adjust", [True, False])
+def test_ema_against_pandas(spark, alpha, adjust):
+    rng = random.Random(3)
+    x = [rng.gauss(0, 1) for _ in range(300)]
+    got = column(op.ema(series(spark, x), "x", alpha, ONE, adjust=adjust, out="out"))
+    if alpha == 0:
+        want = list(pd.Series(x).expanding().mean()) if adjust else [x[0]] * len(x)
+    else:
+        want = list(pd.Series(x).ewm(alpha=alpha, adjust=adjust).mean())
+    assert same(got, want, 1e-9)
+
+
+def test_ema_goldens(spark):
+    assert same(column(op.ema(series(spark, [1, 2, 3, 4, 5]), "x", 0.5, ONE, out="out")), [1, 1.6667, 2.4286, 3.2667, 4.1613], 1e-4)
+    assert same(column(op.ema(series(spark, [1, NAN, 3, 4]), "x", 0.3, ONE, out="out")), [1, _, _, _])
+
+
+def _wilder(x, span):
+    d = np.diff(x)
+    out = [None] * len(x)
+    up, down = np.maximum(d, 0), np.maximum(-d, 0)
+    g, l = up[:span].mean(), down[:span].mean()
+    for i in range(span, len(x)):
+        if i > span:
+            g, l = g + (up[i - 1] - g) / span, l + (down[i - 1] - l) / span
+        out[i] = 100 * g / (g + l) if g + l else 0.0
+    return out
+
+
+def test_rsi(spark):
+    x = list(np.random.default_rng(5).normal(size=120).cumsum())
+    assert same(column(op.rsi(series(spark, x), "x", ONE, out="out")), _wilder(x, 14), 1e-9)
+    assert same(column(op.rsi(series(spark, [0] * 40), "x", ONE, out="out")), [_] * 14 + [0] * 26)
+    assert same(column(op.rsi(series(spark, [1, 2, 3]), "x", ONE, out="out")), [_, _, _])
+    assert same(column(op.rsi(series(spark, [1, 3, 2, NAN, 5, 6, 7]), "x", ONE, 2, use_sma=True, out="out")), [_, _, 200 / 3, _, _, _, 100])
+
+
+def test_gaussian_blur(spark):
+    want = [0.0864, 0.6494, 2.4324, 3.8310, 2.4324, 0.6494, 0.0864]
+    assert same(column(op.gaussian_blur(series(spark, [0, 0, 0, 10, 0, 0, 0]), "x", 1.0, ONE, out="out")), want, 1e-3)
+    assert same(column(op.gaussian_blur(series(spark, [0, 0, 1, 0, 0]), "x", 1.0, ONE, out="out")), [0.088, 0.259, 0.388, 0.259, 0.088], 1e-2)
+    broken = series(spark, [1, NAN, 1])
+    assert same(column(op.gaussian_blur(broken, "x", 1.0, ONE, out="out")), [1, 1, 1])
+    assert same(column(op.gaussian_blur(broken, "x", 1.0, ONE, compat=True, out="out")), [_, _, _])
+
+
+@pytest.mark.parametrize("sigma", [0.01, 0.1, 1, 10])
+def test_gaussian_weights_sum_to_one(sigma):
+    assert math.isclose(sum(op.gaussian_weights(sigma, math.ceil(9 * sigma))), 1)
+
+
+def test_skipna_makes_nancumsum_of_cumsum(spark):
+    df = series(spark, [NAN, 1, NAN, 2, 3, NAN, 4])
+    made = op.skipna(df, lambda s: F.sum("x").over(s.upto), "x", series=ONE, out="out")
+    assert same(column(made), [_, 1, _, 3, 6, _, 10])
+
+
+def test_shift_on_two_axes(spark):
+    df = series(spark, [1, 2, 3], [4, 5, 6], [7, 8, 9])
+    across = Series(["pos"], ["k"])
+    step = df.withColumn("s", fn.shift("x", -1, across)).withColumn("out", fn.shift("s", 1, ONE))
+    assert same(column(step), [_, 4, 5, _, 7, 8, _, _, _])
+
+
+def test_long_series_equal_plain_windows(spark):
+    rng = random.Random(8)
+    df = series(spark, [NAN if rng.random() < 0.1 else rng.random() for _ in range(500)], [rng.random() for _ in range(37)])
+    blocked = op.with_blocks(df, "pos", ["k"], rows_per_block=16, slice_width=50)
+    got = column(op.trailing_in_blocks(blocked, lambda s: fn.msum("x", 7, s), 7, ["k"], rows_per_block=16, out="out"))
+    assert same(got, column(df.withColumn("out", fn.msum("x", 7, ONE))))
+    got = column(op.cumulative_in_blocks(blocked, "x", ["k"], out="out"))
+    assert same(got, column(df.withColumn("out", fn.nancumsum("x", ONE))))
+    with pytest.raises(ValueError):
+        op.trailing_in_blocks(blocked, lambda s: fn.msum("x", 17, s), 17, ["k"], rows_per_block=16, out="out")
+
+
+def test_empty_table(spark):
+    empty = series(spark)
+    assert op.ema(empty, "x", 0.3, ONE).count() == 0
+    assert op.rsi(empty, "x", ONE).count() == 0
+    assert op.gaussian_blur(empty, "x", 1.0, ONE).count() == 0
+    assert empty.withColumn("out", fn.msum("x", 3, ONE)).count() == 0

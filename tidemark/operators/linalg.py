@@ -109,7 +109,7 @@ def _per_matrix(df: DataFrame, keys: list[str], names: Matrix, f: Callable[[np.n
         made = f(*_dense(table, row, column, value))
         n = len(next(iter(made.values())))
         first = table.slice(0, 1)
-        return pa.table({k: pa.concat_arrays([first.column(k).combine_chunks()] * n) if n else first.column(k).slice(0, 0) for k in keys} | {k: pa.array(v) for k, v in made.items()})
+        return pa.table({k: pa.concat_arrays([first.column(k).combine_chunks()] * n) if n else first.column(k).slice(0, 0) for k in keys} | {k: pa.array(v, table.schema.field(row).type if k == "r" else None) for k, v in made.items()})
 
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), fields])
     return rows.groupBy(*keys).applyInArrow(run, schema)

@@ -45,4 +45,4 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
 
 
 def sql_rounded(x: str, digits: int = 6) -> str:
-    return f"(round({x}, {digits}) + 0.0)"
+    return f"(round(({x})::DOUBLE, {digits}) + 0.0)"
