@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import mix
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,11 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: a step that a lost executor can't undo."""
-    spark = df.sparkSession
+    """Writes the rows to the shared folder and reads them back: a step that a lost executor can't undo.
+
+    Shuffle files behind the rows aren't needed then; Spark deletes them once
+    the driver has collected the garbage that refers to them, so that is done here.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(schema).parquet(path)
     out._tidemark_path = path
     return out
 
@@ -43,7 +54,7 @@ def discard(df: DataFrame) -> None:
 
 
 class BitFilter:
-    """A Bloom filter of fixed size over one bigint column, made by Spark.
+    """A Bloom filter of fixed size over one or two bigint columns, made by Spark.
 
     At most ``2**bits / 64`` words reach the driver, whatever the input.  It
     answers True for every value put in and for some others; a full filter lets
@@ -53,26 +64,30 @@ class BitFilter:
     def __init__(self, words: np.ndarray, bits: int):
         self.words, self.bits = words, bits
 
+    @staticmethod
+    def _slots(columns: list[np.ndarray], bits: int) -> list[np.ndarray]:
+        value = np.zeros(len(columns[0]), np.uint64)
+        for column in columns:
+            value = mix(value + column.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        return [(mix(value + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2)]
+
     @classmethod
-    def of(cls, values: DataFrame, column: str, bits: int = 22) -> BitFilter:
-        slot = F.explode(F.array(*(F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(column)), 64 - bits) for k in (1, 2)))).alias("slot")
-        rows = (
-            values.select(slot)
-            .groupBy(F.shiftright("slot", 6).alias("word"))
-            .agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("mask"))
-            .collect()
-        )
+    def of(cls, values: DataFrame, columns: list[str], bits: int = 23) -> BitFilter:
+        def run(batches):
+            words = np.zeros(1 << (bits - 6), np.uint64)
+            for batch in batches:
+                for slot in cls._slots([c.to_numpy() for c in batch.columns], bits):
+                    np.bitwise_or.at(words, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+            used = np.flatnonzero(words)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(words[used].view(np.int64))], names=["word", "mask"])
+
+        rows = values.select(*columns).na.drop().mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
         words = np.zeros(1 << (bits - 6), np.int64)
-        for word, mask in rows:
-            words[word] = mask
+        words[rows.column("word").to_numpy()] = rows.column("mask").to_numpy()
         return cls(words.view(np.uint64), bits)
 
-    def slots(self, df: DataFrame, column: str) -> DataFrame:
-        """Adds the column's slots, to be tested by ``has``."""
-        return df.withColumns({f"_slot{k}": F.shiftrightunsigned(F.xxhash64(F.lit(k), F.col(column)), 64 - self.bits) for k in (1, 2)})
-
-    def has(self, slot1: np.ndarray, slot2: np.ndarray) -> np.ndarray:
-        out = np.ones(len(slot1), bool)
-        for slot in (slot1, slot2):
+    def has(self, *columns: np.ndarray) -> np.ndarray:
+        out = np.ones(len(columns[0]), bool)
+        for slot in self._slots(list(columns), self.bits):
             out &= ((self.words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
         return out

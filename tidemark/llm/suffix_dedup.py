@@ -1,17 +1,21 @@
 """Removal of byte strings that stand earlier too, by distributed prefix doubling.
 
-Suffixes are ranked by growing prefixes, 25, 50 and 100 bytes, and a position
-leaves as soon as its rank is its own.
-
-* 25 bytes: only sampled positions are ranked.  Each 100-byte string has one
-  anchor, its least 25-byte prefix hash, the same wherever the string stands;
-  consecutive strings share theirs.  Spark sorts the anchors by rank, and an
-  anchor whose rank is unique leaves with all strings around it.
-* Anchors of equal rank whose strings are all the same in one, named by the rank
-  of the bytes they span, are decided together: all but the first are repeats.
-* 50 and 100 bytes: where spans of one rank differ, each position of the first
-  of each kind gets the pair of ranks (p, p + 50); Spark sorts the pairs, and
-  equal pairs are equal 100-byte strings: the threshold is reached.
+Positions are ranked by growing prefixes, and leave as soon as their rank is
+their own, or the threshold of 100 bytes is reached.  Spark sorts positions with
+their pairs of ranks at each length:
+
+* 40 bytes, at sampled positions.  Each 100-byte string has one anchor, the
+  place of its least 40-byte hash, the same wherever the string stands;
+  consecutive strings share theirs and make a run.  An anchor whose rank is
+  unique leaves with its run.
+* 93 bytes (ranks at p and p + 47), for cells of eight consecutive strings of
+  the runs left: the bytes all eight share.  A unique rank leaves with its cell.
+* 100 bytes (ranks at p and p + 50), for the single strings of the cells left.
+
+Runs and cells of equal rank whose bytes are the same from end to end are
+decided at once, all but the first being repeats; only the first of each kind
+goes on.  Later lengths are ranked in a further pass over the texts, which knows
+what is left from a filter of fixed size; so no text is shuffled for it.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from .common import BitFilter, saved
 from .kernels import _Powers, mix, text_buffer
 
 LENGTH = 100
-FIRST = 25
+FIRST = 40
 SPAN = LENGTH - FIRST + 1
+CELL = 8
 BLOCK = 1 << 20
 
 _U = np.uint64
@@ -49,16 +54,15 @@ def _ranks(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return mix((total[ends] - total[starts]) * backward[starts] + (ends - starts).astype(_U))
 
 
-def anchor_runs(data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of consecutive 100-byte strings with one anchor: (key, ctx, first start, how many).
+def anchor_runs(data: np.ndarray, total: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive 100-byte strings with one anchor: (key, ctx, first start, how many, anchor).
 
-    data holds several texts, the k-th from starts[k] to ends[k].
+    data holds several texts, the k-th from starts[k] to ends[k]; total its prefix sums.
     """
-    none = tuple(np.zeros(0, t) for t in (_U, _U, np.int64, np.int64))
+    none = tuple(np.zeros(0, t) for t in (_U, _U, np.int64, np.int64, np.int64))
     count = len(data) - LENGTH + 1
     if count <= 0:
         return none
-    total = _prefix_sums(data)
     _, backward = _Powers.upto(len(total))
     grams = mix((total[FIRST:] - total[:-FIRST]) * backward[: len(data) - FIRST + 1])
     # The hash's upper bits, then the place: the least is the leftmost of the least hashes.
@@ -84,7 +88,33 @@ def anchor_runs(data: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> tuple
     n = np.diff(np.append(begin, len(at)))
     lo, anchor = at[begin], anchor[begin]
     spans = _ranks(total, lo, lo + n - 1 + LENGTH)
-    return grams[anchor], mix(spans + (anchor - lo).astype(_U) * _U(0x9E3779B97F4A7C15)), lo, n
+    return grams[anchor], mix(spans + (anchor - lo).astype(_U) * _U(0x9E3779B97F4A7C15)), lo, n, anchor
+
+
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of counts[k] parts of k: k, and the part's number."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def cells_of(total: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cells of runs, cut at fixed distances before the anchor: (key, ctx, first start, how many)."""
+    near, far = (anchor - lo - n + 1) // CELL, (anchor - lo) // CELL
+    of, part = _spread(far - near + 1)
+    end = anchor[of] - CELL * (near[of] + part)  # the grid's last start of the cell
+    first, last = np.maximum(lo[of], end - CELL + 1), np.minimum(lo[of] + n[of] - 1, end)
+    middle, core = end + (LENGTH - CELL + 2) // 2, end + LENGTH - CELL + 1
+    key = mix(_ranks(total, end, middle) + _ranks(total, middle, core) * _U(0x9E3779B97F4A7C15))
+    ctx = mix(_ranks(total, first, last + LENGTH) + (end - first).astype(_U) * _U(0x9E3779B97F4A7C15))
+    return key, ctx, first, last - first + 1
+
+
+def strings_of(total: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Single strings of cells: the pair of their halves' ranks, and where they start."""
+    of, part = _spread(n)
+    start = lo[of] + part
+    half = start + LENGTH // 2
+    return _ranks(total, start, half), _ranks(total, half, start + LENGTH), start, np.ones(len(start), np.int64)
 
 
 def _pieces(offsets: np.ndarray, order: np.ndarray):
@@ -105,26 +135,31 @@ def _pieces(offsets: np.ndarray, order: np.ndarray):
         yield lot
 
 
-def _first_known(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray) -> np.ndarray:
-    """Marks rows, in order of document and place, that repeat an earlier one of the batch."""
+def _first_known(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """Marks rows, in order of document and place, that repeat one from an earlier place of the batch."""
     mixed = mix(key + ctx * _U(0xD6E8FEB86659FD93))
     order = np.argsort(mixed, kind="stable")
-    same = (key[order][1:] == key[order][:-1]) & (ctx[order][1:] == ctx[order][:-1])
+    new = np.ones(len(key), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (ctx[order][1:] != ctx[order][:-1])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
     known = np.zeros(len(key), bool)
-    known[order[1:]] = same
+    known[order] = (doc[order] != doc[first]) | (lo[order] != lo[first])
     return known
 
 
 def _emit(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarray, n: np.ndarray):
     """Rows of one batch.  Repeats within it are decided here, which spares the sort the groups of many copies."""
-    known = _first_known(doc, key, ctx)
+    known = _first_known(doc, key, ctx, lo)
     key = np.where(known, mix(doc.astype(_U)), key)  # decided rows go anywhere
     for at in range(0, len(doc), 100_000):
         part = slice(at, at + 100_000)
         yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ctx[part].view(np.int64)), pa.array(doc[part]), pa.array(lo[part]), pa.array(n[part].astype(np.int32)), pa.array(known[part])], names=_NAMES)
 
 
-def anchors(source: DataFrame) -> DataFrame:
+def level(source: DataFrame, *left: BitFilter) -> DataFrame:
+    """Rows to rank: of all runs; given what is left of them, of their cells; given those left too, of their strings."""
+    shared = [source.sparkSession.sparkContext.broadcast(x) for x in left]
+
     def run(batches):
         for batch in batches:
             data, offsets = text_buffer(batch.column("text"))
@@ -134,11 +169,23 @@ def anchors(source: DataFrame) -> DataFrame:
                 joined = np.concatenate([data[low:high] for _, low, high in lot])
                 lengths = np.array([high - low for _, low, high in lot])
                 ends = np.cumsum(lengths)
-                key, ctx, lo, n = anchor_runs(joined, ends, ends - lengths)
-                text = np.searchsorted(ends, lo, "right")
-                row = np.array([r for r, _, _ in lot])[text]
-                shift = np.array([low for _, low, _ in lot]) - (ends - lengths)
-                out.append((ids[row], key, ctx, lo + shift[text] - offsets[row], n))
+                total = _prefix_sums(joined)
+                key, ctx, lo, n, anchor = anchor_runs(joined, total, ends, ends - lengths)
+                rows = np.array([r for r, _, _ in lot])
+                shift = np.array([low for _, low, _ in lot]) - (ends - lengths) - offsets[rows]
+
+                def places(lo, ends=ends, rows=rows, shift=shift):
+                    text = np.searchsorted(ends, lo, "right")
+                    return ids[rows[text]], lo + shift[text]
+
+                if shared:
+                    keep = shared[0].value.has(*places(lo))
+                    key, ctx, lo, n = cells_of(total, lo[keep], n[keep], anchor[keep])
+                if len(shared) > 1:
+                    keep = shared[1].value.has(*places(lo))
+                    key, ctx, lo, n = strings_of(total, lo[keep], n[keep])
+                doc, start = places(lo)
+                out.append((doc, key, ctx, start, n))
             if out:
                 yield from _emit(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
@@ -155,6 +202,7 @@ def ranked(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         last_key = last_ctx = None
+        place = np.zeros((2, 1), np.int64)  # of the first row of the last kind
         pending = None  # the first row of the last key, as long as no second kind has come
         for batch in batches:
             known = batch.column("known").to_numpy(zero_copy_only=False)
@@ -171,7 +219,12 @@ def ranked(rows: DataFrame) -> DataFrame:
                 if last_key is not None and key[0] == last_key:
                     new_key[0], new_ctx[0] = False, ctx[0] != last_ctx
                 last_key, last_ctx = key[-1], ctx[-1]
-                repeats.append(np.stack([doc[~new_ctx], lo[~new_ctx], n[~new_ctx]]))
+                # Rows of the first one's own place, of a document that is there twice, repeat nothing.
+                at = np.maximum.accumulate(np.where(new_ctx, np.arange(1, len(key) + 1), 0))
+                firsts = np.concatenate([place, np.stack([doc, lo])], axis=1)[:, at]
+                place = firsts[:, -1:]
+                again = (doc != firsts[0]) | (lo != firsts[1])
+                repeats.append(np.stack([doc[again], lo[again], n[again]]))
                 f = np.flatnonzero(new_ctx)
                 if len(f):
                     of_key = new_key[f]
@@ -190,52 +243,13 @@ def ranked(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "doc_id bigint, lo bigint, n int, open boolean")
 
 
-def _texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and text of what the filter lets through."""
-    some = BitFilter.of(wanted, "doc_id", 23)
-    shared = source.sparkSession.sparkContext.broadcast(some)
-
-    def run(batches):
-        for batch in batches:
-            has = shared.value.has(batch.column("_slot1").to_numpy().astype(np.int64), batch.column("_slot2").to_numpy().astype(np.int64))
-            yield batch.filter(pa.array(has)).select(["doc_id", "text"])
-
-    return some.slots(source, "doc_id").mapInArrow(run, "doc_id bigint, text string")
-
-
-def rank_pairs(source: DataFrame, opened: DataFrame) -> DataFrame:
-    """The pair of 50-byte ranks at each position of the open runs."""
-    half = LENGTH // 2
-    runs = opened.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy()
-            runs = batch.column("runs").to_pylist()
-            out = []
-            for row in np.argsort(ids, kind="stable").tolist():
-                text = data[offsets[row] : offsets[row + 1]]
-                places = np.unique(np.concatenate([np.arange(r["lo"], r["lo"] + r["n"]) for r in runs[row]]))
-                places = places[places <= len(text) - LENGTH]
-                # Long texts are named part by part.
-                for part in np.split(places, np.flatnonzero(places[1:] // BLOCK != places[:-1] // BLOCK) + 1):
-                    if len(part):
-                        base = int(part[0])
-                        total = _prefix_sums(text[base : int(part[-1]) + LENGTH])
-                        at = part - base
-                        out.append((np.full(len(part), ids[row]), _ranks(total, at, at + half), _ranks(total, at + half, at + LENGTH), part, np.ones(len(part), np.int64)))
-            if out:
-                yield from _emit(*(np.concatenate(x) for x in zip(*out, strict=True)))
-
-    return _texts_of(source, runs.select("doc_id")).join(runs, "doc_id").mapInArrow(run, _ROWS)
-
-
 def repeated_runs(source: DataFrame) -> DataFrame:
     """``doc_id, lo, n``: the n 100-byte strings from byte lo on stand earlier too."""
-    found = saved(ranked(anchors(source)))
-    exact = saved(ranked(rank_pairs(source, found.where("open"))))
-    return found.where("not open").union(exact.where("not open")).select("doc_id", "lo", "n")
+    runs = saved(ranked(level(source)))
+    left = BitFilter.of(runs.where("open"), ["doc_id", "lo"], 24)
+    cells = saved(ranked(level(source, left)))
+    strings = saved(ranked(level(source, left, BitFilter.of(cells.where("open"), ["doc_id", "lo"], 24))))
+    return runs.where("not open").union(cells.where("not open")).union(strings.where("not open")).select("doc_id", "lo", "n")
 
 
 def _merged(runs: list[dict], size: int) -> np.ndarray:
@@ -266,19 +280,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     given = source.where("doc_id is not null and text is not null")
     runs = saved(repeated_runs(given).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
-    some = BitFilter.of(runs, "doc_id", 23)
+    some = BitFilter.of(runs, ["doc_id"])
     shared = source.sparkSession.sparkContext.broadcast(some)
 
     def digest(batches):
         for batch in batches:
             id_known = batch.column("doc_id").is_valid()
-            has = shared.value.has(batch.column("_slot1").to_numpy().astype(np.int64), batch.column("_slot2").to_numpy().astype(np.int64)) & id_known.to_numpy(zero_copy_only=False)
+            has = shared.value.has(pa.compute.fill_null(batch.column("doc_id"), 0).to_numpy()) & id_known.to_numpy(zero_copy_only=False)
             texts = pa.compute.fill_null(batch.column("text"), "")
             hashes = [None if h else hashlib.sha256(t.encode()).hexdigest() for h, t in zip(has.tolist(), texts.to_pylist(), strict=True)]
             some = pa.compute.if_else(pa.array(has), texts, pa.scalar(None, texts.type))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), some, pa.compute.binary_length(texts).cast(pa.int64()), pa.array(hashes, pa.string())], names=["doc_id", "text", "n_bytes", "sha"])
 
-    rows = some.slots(source, "doc_id").mapInArrow(digest, "doc_id bigint, text string, n_bytes bigint, sha string")
+    rows = source.mapInArrow(digest, "doc_id bigint, text string, n_bytes bigint, sha string")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
