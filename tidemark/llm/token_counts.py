@@ -26,7 +26,7 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N
 PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-KEPT_PIECES = 200_000
+KEPT_PIECES = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +54,11 @@ class PrefixCounter:
         self.tokens = {as_bytes(token) for token in spec["model"]["vocab"]}
         pairs = (merge.split(" ") if isinstance(merge, str) else merge for merge in spec["model"]["merges"])
         self.rank = {(as_bytes(a), as_bytes(b)): k for k, (a, b) in enumerate(pairs)}
+        #: The merge that makes each token, -1 for a byte, and its two parts.
+        self.made = {token: (-1, token, token) for token in self.tokens}
+        for (a, b), k in self.rank.items():
+            if self.made.get(a + b, (0,))[0] == -1:
+                self.made[a + b] = (k, a, b)
         self.longest = max(map(len, self.tokens))
         self.special = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) + ")") if spec["added_tokens"] else None
         self.split = regex.compile(SPLIT)
@@ -67,35 +72,45 @@ class PrefixCounter:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _merged(self, data: bytes) -> list[bytes]:
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 40))
-            pair = (parts[at], parts[at + 1])
-            if pair not in self.rank:
-                break
-            parts[at : at + 2] = [pair[0] + pair[1]]
-        return parts
-
     def _fit(self, left: bytes, right: bytes) -> bool:
+        """Whether two tokens stay apart: undoing their merges from the last, none across the border came earlier."""
         key = (left, right)
-        if key not in self.fits:
+        found = self.fits.get(key)
+        if found is None:
             if len(self.fits) >= KEPT_PIECES:
                 self.fits.clear()
-            self.fits[key] = self._merged(left + right) == [left, right]
-        return self.fits[key]
+            found = self.fits[key] = self._apart(left, right)
+        return found
+
+    def _apart(self, left: bytes, right: bytes) -> bool:
+        limit = len(self.rank)
+        while True:
+            if self.rank.get((left, right), limit) < limit:
+                return False
+            (left_made, _, left_end), (right_made, right_start, _) = self.made[left], self.made[right]
+            if left_made > right_made:
+                limit, left = left_made, left_end
+            elif right_made >= 0:
+                # Merges of one rank go from left to right.
+                limit, right = right_made + 1, right_start
+            else:
+                return True
 
     def byte_table(self, data: bytes) -> array:
         """Tokens of each of a piece's byte prefixes, from the empty one on."""
-        n, tokens, longest = len(data), self.tokens, self.longest
-        count, last = array("I", bytes(4 * (n + 1))), [0] * (n + 1)
+        n, tokens, longest, fits = len(data), self.tokens, self.longest, self.fits
+        count, last = [0] * (n + 1), [b""] * (n + 1)
         for end in range(1, n + 1):
             for start in range(max(0, end - longest), end):
                 token = data[start:end]
-                if token in tokens and (not start or self._fit(data[start - last[start] : start], token)):
-                    count[end], last[end] = count[start] + 1, end - start
+                if token in tokens:
+                    if start:
+                        fit = fits.get((last[start], token))
+                        if not (self._fit(last[start], token) if fit is None else fit):
+                            continue
+                    count[end], last[end] = count[start] + 1, token
                     break
-        return count
+        return array("I", count)
 
     def piece(self, piece: str) -> int:
         """Tokens of a whole piece."""
