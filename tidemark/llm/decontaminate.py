@@ -41,7 +41,7 @@ class Block:
             hashes.append(h)
             items.append(np.full(len(h), item))
             places.append(p)
-        hashes, items, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (hashes, items, places))
+        hashes, items, places = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (items, np.int64), (places, np.int64)))
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.items, self.places = hashes[order], items[order], places[order]
         # First look: whether any seed has the same upper 16 bits.

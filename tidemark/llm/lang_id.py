@@ -32,7 +32,10 @@ SNIPPET_WORDS = (2, 4, 8, 16)
 
 def bucket_counts(text: bytes) -> np.ndarray:
     """How often each bucket of n-grams occurs in a text; n-grams don't cross words."""
-    clean = b" " + b" ".join(text.translate(_CLEAN).split()) + b" "
+    words = text.translate(_CLEAN).split()
+    if not words:
+        return np.zeros(1 << BUCKET_BITS, np.int64)
+    clean = b" " + b" ".join(words) + b" "
     data = np.frombuffer(clean, np.uint8).astype(np.uint32)
     space = data == 32
     out = np.zeros(1 << BUCKET_BITS, np.int64)
@@ -45,7 +48,7 @@ def bucket_counts(text: bytes) -> np.ndarray:
                 inner = inner[: len(gram)] | space[order - 2 : order - 2 + len(gram)]
             else:
                 inner = inner[: len(gram)]
-        bad = inner | (space[: len(gram)] & space[order - 1 : order - 1 + len(gram)])
+        bad = space if order == 1 else inner
         hashed = ((gram ^ (gram >> np.uint32(15))) * _SEEDS[order - 1]) >> np.uint32(32 - BUCKET_BITS)
         out += np.bincount(hashed[~bad], minlength=1 << BUCKET_BITS)
     return out
