@@ -33,7 +33,7 @@ class Block:
 
     def __init__(self, ids: list, texts: list[str]):
         self.ids = ids
-        data, offsets = text_buffer(pa.array(texts, pa.string()))
+        data, offsets = text_buffer(pa.compute.utf8_lower(pa.array(texts, pa.string())))
         self.words, self.at = word_hashes(data, offsets, ALNUM)
         hashes, items, places = [], [], []
         for item, (start, end) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
@@ -86,7 +86,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     (all, if it has fewer) stands with at least ``least`` of the words equal at
     their positions.  n_places counts the places, n_same is the most equal words
     at one place, n_words the item's length.  Words are runs of letters, digits
-    and non-ASCII characters, case of A-Z ignored.  An item shorter than a mask
+    and non-ASCII characters, case ignored.  An item shorter than a mask
     (10 words) is found nowhere, nor is a null or empty text, a null id on
     either side, or anything in an empty table.  Repeated rows of docs count
     each as documents of their own; repeated items are reported each once.
@@ -110,7 +110,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
             block = shared.value
             for batch in batches:
-                data, offsets = text_buffer(batch.column(1))
+                data, offsets = text_buffer(pa.compute.utf8_lower(batch.column(1)))
                 rows = []
                 for low, high in chunks(offsets):
                     inner = offsets[low : high + 1] - offsets[low]
