@@ -151,6 +151,15 @@ def test_long_series_equal_plain_windows(spark):
         op.trailing_in_blocks(blocked, lambda s: fn.msum("x", 17, s), 17, ["k"], rows_per_block=16, out="out")
 
 
+@pytest.mark.parametrize("span", [1, 4, 7, 60])
+def test_wide_windows_equal_plain_ones(spark, span):
+    rng = random.Random(span)
+    df = series(spark, [NAN if rng.random() < 0.05 else rng.random() for _ in range(50)], [rng.random() for _ in range(8)])
+    for name in ("msum", "ma", "mmax", "mmin"):
+        got = column(getattr(op, f"wide_{name}")(df, "x", span, ONE, out="out"))
+        assert same(got, column(df.withColumn("out", getattr(fn, name)("x", span, ONE)))), name
+
+
 def test_empty_table(spark):
     empty = series(spark)
     assert op.ema(empty, "x", 0.3, ONE).count() == 0

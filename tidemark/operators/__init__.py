@@ -7,5 +7,6 @@ from .linalg import eigh, einsum, nanpca, orthogonalize, orthonormalize, pca, pc
 from .long_series import cumulative_in_blocks, trailing_in_blocks, with_blocks
 from .randoms import rand_table, randint_table, randn_table, randperm, with_rand, with_randn
 from .soft_topk import soft_topk, soft_topk_bottomk
+from .wide import wide_ma, wide_mmax, wide_mmin, wide_msum
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -214,6 +214,8 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         f"WITH {EVENTS} SELECT user_id, event_id, {sql_rounded('CASE WHEN x IS NOT NULL AND count(x) OVER w = 5 THEN avg(x) OVER w END')} AS result FROM e WINDOW w AS (PARTITION BY user_id, x IS NULL ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
     ),
     "apply_for_axis": (apply_for_axis, f"WITH {EVENTS} SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER ({BY_USER}) AS i FROM e) WHERE i % 2 = 1"),
+    "msum_wide": (_stepped(lambda df: op.wide_msum(df, "value", 30, USER, out="result")), _sql(_trailing(30), result="CASE WHEN count(value) OVER w = 30 THEN sum(value) OVER w END")),
+    "mmax_wide": (_stepped(lambda df: op.wide_mmax(df, "x", 30, USER, out="result")), _sql(_trailing(30), result=f"CASE WHEN {_COUNT} THEN max(x) OVER w END")),
     "msum_long_series": (
         _long(lambda df: op.trailing_in_blocks(df, lambda s: fn.msum("x", 5, s), 5, [], rows_per_block=1000, out="result")),
         f"WITH {EVENTS} SELECT event_id, {sql_rounded(_full(5, 'sum(x) OVER w'), 4)} AS result FROM e WINDOW w AS (ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
