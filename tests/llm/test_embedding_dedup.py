@@ -72,3 +72,12 @@ def test_many_copies_are_not_paired(spark):
     rows = [(k, [1.0, 2.0, 3.0], 0) for k in range(3000)] + [(4000, [1.0, 2.0, 3.01], 0)]
     got = run(spark, rows)
     assert got[0] == (3000, 0, True) and got[4000] == (3000, 0, False)
+
+
+def test_links_of_a_cluster_far_wider_than_the_window(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=16)
+    rows = [(k, [float(x) for x in base + 0.11 * rng.normal(size=16)], 1) for k in range(150)]
+    want = brute(rows)
+    got = run(spark, rows, window=4, block_rows=40)
+    assert max(n for n, _, _ in want.values()) > 60 and got == want

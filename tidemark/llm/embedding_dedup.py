@@ -3,7 +3,11 @@
 Each pass names a vector by the concatenated signs of random projections, sorts
 vectors lexicographically by that name and compares each with the bounded
 window of its neighbours.  Close vectors agree in most signs, so they stand side
-by side in some pass; the verified pairs of all passes are united.
+by side in some pass; the verified pairs of all passes are united to components.
+
+A window holds few of the links of a large cluster.  So links are counted
+within each component afterwards, exactly: its vectors are cut into blocks, and
+each pair of blocks is multiplied in a task that gives counts, not pairs.
 """
 
 from __future__ import annotations
@@ -54,8 +58,7 @@ def _neighbours(keyed: DataFrame, window: int) -> DataFrame:
         before: list[tuple] = []
         for batch in batches:
             groups = zip(*(batch.column(c).to_pylist() for c in ("pass", "label", "size", "bucket")), strict=True)
-            scaled = [v / np.abs(v).max() for v in map(np.asarray, batch.column("vector").to_pylist())]
-            units = [v / np.linalg.norm(v) for v in scaled]
+            units = [_unit([v])[0] for v in batch.column("vector").to_pylist()]
             now = before + list(zip(groups, batch.column("vec_id").to_pylist(), units, strict=True))
             us, vs = [], []
             for size in {x[0][2] for x in now}:
@@ -78,20 +81,54 @@ def _neighbours(keyed: DataFrame, window: int) -> DataFrame:
     return keyed.repartition(parts, *keys).sortWithinPartitions(*keys, "key", "vec_id").mapInArrow(run, "u bigint, v bigint")
 
 
-def near_vectors(vectors: DataFrame, *, passes: int = 16, window: int = 32, bucket_rows: int = 20_000) -> DataFrame:
+def _unit(vectors: list[list[float]]) -> np.ndarray:
+    rows = np.array(vectors, float)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
+def _link_counts(members: DataFrame, block_rows: int) -> DataFrame:
+    """``rep, others``: how many other vectors of its component each is linked with, copies counted.
+
+    A vector goes to each pair of blocks that its own is one of, so a group
+    holds two blocks, whatever the component's size.
+    """
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    placed = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "copies", "vector")
+
+    def count(keys, table):
+        i, j = keys[1].as_py(), keys[2].as_py()
+        block, reps = table.column("block").to_numpy(), table.column("rep").to_numpy()
+        copies, units = table.column("copies").to_numpy(), _unit(table.column("vector").to_pylist())
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        near = units[left] @ units[right].T >= LEAST_COSINE
+        if i == j:
+            np.fill_diagonal(near, False)
+            made = [(reps[left], near @ copies[right])]
+        else:
+            made = [(reps[left], near @ copies[right]), (reps[right], near.T @ copies[left])]
+        return pa.table({"rep": pa.array(np.concatenate([r for r, _ in made]), pa.int64()), "others": pa.array(np.concatenate([n for _, n in made]), pa.int64())})
+
+    return dealt.groupBy("component", "i", "j").applyInArrow(count, "rep bigint, others bigint").groupBy("rep").agg(F.sum("others").alias("others"))
+
+
+def near_vectors(vectors: DataFrame, *, passes: int = 16, window: int = 32, bucket_rows: int = 20_000, block_rows: int = 512) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of each row of ``vec_id, embedding, label``.
 
     Vectors of one label (and one length) are linked when their cosine in double
     precision is at least 0.98.  Equal vectors are found by grouping, and one
     stands for them in the passes; n_links counts all of them.  No pair below
-    0.98 is linked; a pair above is found if it comes within the window in a
-    pass.  A vector that is null, zero or holds a null or a non-finite
+    0.98 is linked.  Components are those of the pairs that come within the
+    window in a pass; n_links counts all links within the component.  A vector that is null, zero or holds a null or a non-finite
     component, or whose label or vec_id is null, is linked with nothing: it is
     its own component (null without vec_id).  Repeated rows of a vec_id are one
     vector and come back each; an empty table gives no rows.
 
     bucket_rows: a task of a pass sorts about so many rows, chosen by the key's
-    first bits; sizes beyond follow equal keys, and stream.
+    first bits; sizes beyond follow equal keys, and stream.  block_rows: two
+    blocks of about so many vectors are counted against each other in a task.
     """
     values = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", values.alias("vector"))
@@ -102,10 +139,9 @@ def near_vectors(vectors: DataFrame, *, passes: int = 16, window: int = 32, buck
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, largest / bucket_rows)))))
     links = saved(_neighbours(_keyed(classes.select("label", "vec_id", "vector"), passes, bits), window).distinct())
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sizes = classes.select(F.col("vec_id").alias("v"), "copies")
-    degree = both.join(sizes, "v").groupBy(F.col("u").alias("rep")).agg(F.sum("copies").alias("others"))
-    joined = connected_components(links).select(F.col("node").alias("rep"), "component")
+    joined = saved(connected_components(links).select(F.col("node").alias("rep"), "component"))
+    members = classes.select(F.col("vec_id").alias("rep"), "copies", "vector").join(joined, "rep")
+    degree = _link_counts(members, block_rows)
     reps = classes.select("label", "vector", F.col("vec_id").alias("rep"), "copies").join(degree, "rep", "left").join(joined, "rep", "left")
     named = reps.select("label", "vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     members = usable.join(named, ["label", "vector"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
