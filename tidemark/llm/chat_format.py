@@ -17,6 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import slices
+
+#: Rows whose tokens a task holds as Python objects.
+SLICE = 256
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Ids that follow the tokenizer's own 50,257.
 START_ID, END_ID = 50257, 50258
@@ -82,7 +87,7 @@ def format_turns(turns: DataFrame, *, path: str | None = None) -> DataFrame:
     def run(batches):
         segments = Segments.open(path)
         newline = segments.encode(["\n"])[0]
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             roles, texts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             heads = segments.encode([escape_role(role) + "\n" for role in roles])
             bodies = segments.encode([escape(text) for text in texts])
@@ -139,7 +144,7 @@ def read_back(formatted: DataFrame, *, path: str | None = None) -> DataFrame:
         decode = Segments.open(path).decode
         kinds = [to_arrow_type(conv), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         now, last = None, None
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             rows = []
             for conv_id, place, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("place").to_pylist(), batch.column("ids").to_pylist(), batch.column("loss_mask").to_pylist(), strict=True):
                 if place == 0:

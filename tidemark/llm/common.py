@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller ones, for work whose Python objects are much larger than the rows."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
     set_already = spark.conf.get("spark.checkpoint.dir", None)
@@ -91,3 +99,19 @@ class BitFilter:
         for slot in self._slots(list(columns), self.bits):
             out &= ((self.words[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
         return out
+
+    @classmethod
+    def fitting(cls, values: DataFrame, columns: list[str], count: int) -> BitFilter | None:
+        """A filter that few other values pass, or None if it would take more than 16 MB."""
+        bits = max(16, (8 * count - 1).bit_length())
+        return cls.of(values, columns, bits) if bits <= 27 else None
+
+    def picked(self, df: DataFrame, *columns: str) -> DataFrame:
+        """The rows of df whose columns it lets through."""
+        shared = df.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.has(*(batch.column(c).to_numpy() for c in columns))))
+
+        return df.na.drop(subset=list(columns)).mapInArrow(run, df.schema)
