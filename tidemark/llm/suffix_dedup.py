@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, saved
+from .common import BitFilter, discard, saved
 from .kernels import _Powers, mix, text_buffer
 
 LENGTH = 100
@@ -244,12 +244,17 @@ def ranked(rows: DataFrame) -> DataFrame:
 
 
 def repeated_runs(source: DataFrame) -> DataFrame:
-    """``doc_id, lo, n``: the n 100-byte strings from byte lo on stand earlier too."""
+    """``doc_id, runs``: in each run (lo, n) the n 100-byte strings from byte lo on stand earlier too."""
     runs = saved(ranked(level(source)))
     left = BitFilter.of(runs.where("open"), ["doc_id", "lo"], 24)
     cells = saved(ranked(level(source, left)))
     strings = saved(ranked(level(source, left, BitFilter.of(cells.where("open"), ["doc_id", "lo"], 24))))
-    return runs.where("not open").union(cells.where("not open")).union(strings.where("not open")).select("doc_id", "lo", "n")
+    levels = (runs, cells, strings)
+    found = runs.union(cells).union(strings).where("not open")
+    per_doc = saved(found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
+    for table in levels:
+        discard(table)
+    return per_doc
 
 
 def _merged(runs: list[dict], size: int) -> np.ndarray:
@@ -279,7 +284,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     given = source.where("doc_id is not null and text is not null")
-    runs = saved(repeated_runs(given).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
+    runs = repeated_runs(given)
     some = BitFilter.of(runs, ["doc_id"])
     shared = source.sparkSession.sparkContext.broadcast(some)
 
