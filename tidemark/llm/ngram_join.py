@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, saved
+from .common import BitFilter, discard, saved
 from .components import connected_components
 from .kernels import chunks, shingle_sets, text_buffer
 
 WORDS = 5
 #: Two sets are linked when 100 times their intersection is at least 75 times their union.
 PART, WHOLE = 75, 100
-SKETCH_BITS = 18
+SKETCH_BITS = 22
+SKETCH_PART = 1 << 14
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -46,21 +47,24 @@ def prefix_length(n: int) -> int:
     return n - -(-PART * n // WHOLE) + 1 if n else 0
 
 
-def suffix_allows(x: np.ndarray, y: np.ndarray, least: int, depth: int = 3) -> bool:
-    """Whether two sorted sets may share ``least`` values, judged by the sizes of their parts.
+def signature(found: np.ndarray) -> bytes:
+    """Sizes of a set's parts by the upper bits of the hash: half as many parts as values, or more."""
+    bits = max(0, len(found).bit_length() - 1)
+    sizes = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(found), np.int64), minlength=1 << bits)
+    return sizes.astype(np.uint8).tobytes() if len(found) and sizes.max() < 256 else b""
 
-    The sets are cut at a value of the larger; what one part holds more than its
-    counterpart can't be shared.
-    """
 
-    def bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
-        if not depth or len(x) < 2 or len(y) < 2:
-            return min(len(x), len(y))
-        cut = x[len(x) // 2]
-        i, j = len(x) // 2, int(np.searchsorted(y, cut))
-        return bound(x[:i], y[:j], depth - 1) + bound(x[i:], y[j:], depth - 1)
+def suffix_allows(x: bytes, y: bytes, least: int) -> bool:
+    """Whether sets with these signatures may share ``least`` values.
 
-    return bound(x, y, depth) >= least
+    What one part holds more than its counterpart can't be shared.  The finer
+    signature is folded to the parts of the other; an empty one tells nothing.
+    """
+    if not x or not y:
+        return True
+    a, b = (np.frombuffer(s, np.uint8).astype(np.int64) for s in sorted((x, y), key=len))
+    b = b.reshape(len(a), -1).sum(1)
+    return int(np.minimum(a, b).sum()) >= least
 
 
 def shared_count(x: np.ndarray, y: np.ndarray) -> int:
@@ -75,9 +79,9 @@ def shared_count(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """Suffix filter, then the exact test."""
+    """The exact test."""
     least = least_overlap(len(x), len(y))
-    return min(len(x), len(y)) >= least and suffix_allows(x, y, least) and shared_count(x, y) >= least
+    return min(len(x), len(y)) >= least and shared_count(x, y) >= least
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -92,52 +96,53 @@ def _sets(batch: pa.RecordBatch):
 
 
 def set_sizes(source: DataFrame) -> DataFrame:
-    """``doc_id, n, name`` of each row, its set's size and 128-bit name; and rows (null, bucket, -, count) of the frequency sketch.
+    """``doc_id, n, name, data`` of each row: its set's size, 128-bit name and signature; and rows of the frequency sketch.
 
     The sketch counts n-grams over all documents in a fixed number of buckets
-    by hash: ``n`` is the bucket, ``seen`` its count in one task.
+    by hash.  A task gives its counts in parts: ``n`` is a part's first bucket,
+    ``data`` the counts from there on.
     """
 
     def run(batches):
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            n, names, buckets = [], [], [np.zeros(0, np.int64)]
+            n, names, signatures = [], [], []
             for _, found in _sets(batch):
                 n.append(len(found))
                 names.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                buckets.append((found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64))
-            sketch += np.bincount(np.concatenate(buckets), minlength=1 << SKETCH_BITS)
-            empty = pa.nulls(len(n), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), empty, pa.array([False] * len(n))], names=["doc_id", "n", "name", "counts", "sketch"])
-        part = 1 << 12
-        rows = [k for k in range(0, len(sketch), part) if sketch[k : k + part].any()]
+                signatures.append(signature(found))
+                np.add.at(sketch, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary()), pa.array([False] * len(n))], names=["doc_id", "n", "name", "data", "sketch"])
+        rows = [k for k in range(0, len(sketch), SKETCH_PART) if sketch[k : k + SKETCH_PART].any()]
+        packed = [pa.compress(sketch[k : k + SKETCH_PART].astype("<u4").tobytes(), codec="zstd", asbytes=True) for k in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array([sketch[k : k + part].astype("<u4").tobytes() for k in rows], pa.binary()), pa.array([True] * len(rows))],
-            names=["doc_id", "n", "name", "counts", "sketch"],
+            [pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(packed, pa.binary()), pa.array([True] * len(rows))],
+            names=["doc_id", "n", "name", "data", "sketch"],
         )
 
-    return source.mapInArrow(run, "doc_id bigint, n bigint, name binary, counts binary, sketch boolean")
+    return source.mapInArrow(run, "doc_id bigint, n bigint, name binary, data binary, sketch boolean")
 
 
 def frequency_levels(sizes: DataFrame) -> np.ndarray:
-    """The level of each bucket of the sketch: twice the logarithm of its count over the mean."""
+    """The level of each bucket of the sketch: 256 times the logarithm of its count over all documents."""
 
     def add(keys, table):
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
-        return pa.table({"n": pa.array([keys[0].as_py()], pa.int64()), "total": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        total = np.zeros(SKETCH_PART, np.int64)
+        for part in table.column("data").to_pylist():
+            total += np.frombuffer(pa.decompress(part, 4 * SKETCH_PART, codec="zstd", asbytes=True), "<u4")
+        level = np.floor(256 * np.log2(total + 1.0)).astype("<u2")
+        return pa.table({"n": pa.array([keys[0].as_py()], pa.int64()), "level": pa.array([level.tobytes()], pa.binary())})
 
-    counts = np.zeros(1 << SKETCH_BITS)
-    for start, total in sizes.where("sketch").select("n", "counts").groupBy("n").applyInArrow(add, "n bigint, total binary").collect():
-        part = np.frombuffer(total, "<i8")
-        counts[start : start + len(part)] = part
-    mean = max(1.0, float(counts.mean()))
-    return np.clip(np.floor(2 * np.log2(np.maximum(counts, 1) / mean)), 0, 255).astype(np.uint64)
+    levels = np.zeros(1 << SKETCH_BITS, np.uint16)
+    for start, part in sizes.where("sketch").select("n", "data").groupBy("n").applyInArrow(add, "n bigint, level binary").collect():
+        levels[start : start + SKETCH_PART] = np.frombuffer(part, "<u2")
+    return levels
 
 
 def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set in the global order: by level, then by hash."""
-    key = (levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56)) | (found >> np.uint64(8))
-    return found[np.argsort(key, kind="stable")]
+    """A set in the global order: by the level of the bucket, then by hash."""
+    level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    return found[np.argsort((level << np.uint64(48)) | (found >> np.uint64(16)), kind="stable")]
 
 
 def prefixes(source: DataFrame, levels: np.ndarray) -> DataFrame:
@@ -173,8 +178,12 @@ def postings(prefixed: DataFrame) -> DataFrame:
 
 
 def _possible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
-    """Length filter and positional filter at one shared prefix n-gram."""
-    overlap = F.least(pos_a, pos_b) + 1 + F.least(n_a - pos_a - 1, n_b - pos_b - 1)
+    """Length filter, and positional filter as it holds at the first n-gram that two sets share.
+
+    Nothing before it is shared, so what follows in both must make up the
+    overlap.  A linked pair passes there; rows of its later n-grams may not.
+    """
+    overlap = F.least(n_a - pos_a, n_b - pos_b)
     return (WHOLE * F.least(n_a, n_b) >= PART * F.greatest(n_a, n_b)) & (overlap >= _least_overlap_column(n_a, n_b))
 
 
@@ -217,17 +226,16 @@ def shared_postings(posted: DataFrame) -> DataFrame:
 
 def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """``doc_id, n, tokens``: the packed sets of the wanted documents, each sorted."""
-    some = BitFilter.of(wanted, "doc_id", 23)
+    some = BitFilter.of(wanted, ["doc_id"])
     shared = source.sparkSession.sparkContext.broadcast(some)
 
     def run(batches):
         for batch in batches:
-            has = shared.value.has(batch.column("_slot1").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("_slot2").to_numpy(zero_copy_only=False).astype(np.int64))
-            batch = batch.filter(pa.array(has))
+            batch = batch.filter(pa.array(shared.value.has(batch.column("doc_id").to_numpy())))
             found = [x for _, x in _sets(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["doc_id", "n", "tokens"])
 
-    rows = some.slots(source.where("doc_id is not null"), "doc_id").mapInArrow(run, "doc_id bigint, n int, tokens binary")
+    rows = source.where("doc_id is not null").mapInArrow(run, "doc_id bigint, n int, tokens binary")
     return rows.join(wanted, "doc_id", "left_semi")
 
 
@@ -239,15 +247,35 @@ def _crossing(shared: DataFrame, joined: DataFrame) -> DataFrame:
     placed = saved(placed.select("token", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
     # Groups of one component are done; elsewhere only what the pivot's component lacks meets the group.
     apart = placed.where("component <> pivot_component")
-    x = apart.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "pos", "component")))
-    y = placed.join(apart.select("token").distinct(), "token", "left_semi").select("token", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "pos", "component")))
+    names = ("doc_id", "n", "pos", "component", "pivot_component")
+    x = apart.select("token", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = placed.join(apart.select("token").distinct(), "token", "left_semi").select("token", *(F.col(c).alias(f"y_{c}") for c in names))
     possible = _possible(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_component") != F.col("y_component")) & possible)
+    # Two that are both apart would meet twice.
+    once = (F.col("y_component") == F.col("y_pivot_component")) | (F.col("x_doc_id") < F.col("y_doc_id"))
+    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_component") != F.col("y_component")) & once & possible)
     return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def suffix_filtered(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that the suffix filter lets through."""
+    signatures = BitFilter.of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), ["doc_id"]).picked(signatures, "doc_id")
+    left = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("data").alias("x"))
+    right = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("data").alias("y"))
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "x", "y")]
+            keep = [suffix_allows(x, y, least_overlap(a, b)) for a, b, x, y in zip(*columns, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
+    return joined.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are linked, each tested once."""
+    sets = saved(sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
 
@@ -257,7 +285,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    found = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
+    discard(sets)
+    return found
 
 
 def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,23 +306,32 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     source = _source(docs, id_col, text_col)
     sizes = saved(set_sizes(source))
     levels = frequency_levels(sizes)
-    rows = sizes.where("not sketch").select("doc_id", "n", "name")
+    rows = sizes.where("not sketch").select("doc_id", "n", "name", "data")
     classes = saved(rows.where("doc_id is not null and n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    prefixed = prefixes(source, levels).join(reps, ["doc_id", "n"], "left_semi")
+    # A copy that stands for itself beside its class only repeats the class's links, so a filter will do
+    # to leave copies out; beyond its bound, they are left out by a join.
+    some = BitFilter.fitting(reps, ["doc_id"], classes.count())
+    known = source.where("doc_id is not null")
+    prefixed = prefixes(some.picked(known, "doc_id") if some else known, levels)
+    if some is None:
+        prefixed = prefixed.join(reps, ["doc_id", "n"], "left_semi")
     shared = saved(shared_postings(postings(prefixed)))
-    sets = saved(sets_of(source, shared.select("doc_id").distinct()).join(reps, ["doc_id", "n"], "left_semi"))
     # First round: each document with the pivot of each of its groups.
     possible = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
+    signatures = rows.select("doc_id", "n", "data")
     pairs = saved(shared.where((F.col("doc_id") > F.col("pivot")) & possible).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = saved(verified(pairs, sets))
+    links = verified(saved(suffix_filtered(pairs, signatures)), source)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Second round: pairs of a group that cross components, at least one of them not in the pivot's.
-    crossing = saved(verified(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti"), sets))
+    more = saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti"))
+    crossing = verified(saved(suffix_filtered(more, signatures)), source)
+    discard(shared)
+    discard(pairs)
     if crossing.limit(1).count():
         joined = connected_components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(crossing.select("a", "b")))
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return rows.drop("data").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
