@@ -106,12 +106,13 @@ class BitFilter:
         bits = max(16, (8 * count - 1).bit_length())
         return cls.of(values, columns, bits) if bits <= 27 else None
 
+    def pass_on(self, batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+        """The rows of the batches whose columns it lets through; the columns hold no nulls."""
+        for batch in batches:
+            yield batch.filter(pa.array(self.has(*(batch.column(c).to_numpy() for c in columns))))
+
     def picked(self, df: DataFrame, *columns: str) -> DataFrame:
         """The rows of df whose columns it lets through."""
         shared = df.sparkSession.sparkContext.broadcast(self)
 
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(shared.value.has(*(batch.column(c).to_numpy() for c in columns))))
-
-        return df.na.drop(subset=list(columns)).mapInArrow(run, df.schema)
+        return df.na.drop(subset=list(columns)).mapInArrow(lambda batches: shared.value.pass_on(batches, *columns), df.schema)

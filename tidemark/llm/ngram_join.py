@@ -16,13 +16,14 @@ components are those of all links.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, discard, saved
+from .common import BitFilter, discard, saved, slices
 from .components import connected_components
 from .kernels import chunks, shingle_sets, text_buffer
 
@@ -31,6 +32,7 @@ WORDS = 5
 PART, WHOLE = 75, 100
 SKETCH_BITS = 22
 SKETCH_PART = 1 << 14
+POSTING = "token bigint, doc_id bigint, n int, pos int"
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -145,36 +147,44 @@ def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return found[np.argsort((level << np.uint64(48)) | (found >> np.uint64(16)), kind="stable")]
 
 
-def prefixes(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``doc_id, n, tokens``: each row's prefix, packed."""
-    shared = source.sparkSession.sparkContext.broadcast(levels)
-
-    def run(batches):
-        for batch in batches:
+def _prefix_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``doc_id, n, tokens`` of each row: its set's size and its prefix, packed."""
+    for batch in batches:
+        for rows in slices([batch], 1_000):
             n, tokens = [], []
-            for _, found in _sets(batch):
+            for _, found in _sets(rows):
                 n.append(len(found))
-                tokens.append(rare_first(found, shared.value)[: prefix_length(len(found))].astype(">u8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "tokens"])
+                tokens.append(rare_first(found, levels)[: prefix_length(len(found))].astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "tokens"])
 
-    return source.mapInArrow(run, "doc_id bigint, n int, tokens binary")
 
-
-def postings(prefixed: DataFrame) -> DataFrame:
+def _posting_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``token, doc_id, n, pos``: a row for each n-gram of each prefix."""
-
-    def run(batches):
-        for batch in batches:
-            lengths = pa.compute.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-            tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), ">u8").astype(np.uint64).view(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            index = pa.array(row)
-            for start in range(0, len(tokens), 100_000):
-                part = slice(start, start + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), batch.column("doc_id").take(index[part]), batch.column("n").take(index[part]), pa.array(pos[part], pa.int32())], names=["token", "doc_id", "n", "pos"])
-
-    return prefixed.select("doc_id", "n", "tokens").mapInArrow(run, "token bigint, doc_id bigint, n int, pos int")
+    for batch in batches:
+        lengths = pa.compute.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<i8")
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        index = pa.array(row)
+        for start in range(0, len(tokens), 100_000):
+            part = slice(start, start + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), batch.column("doc_id").take(index[part]), batch.column("n").take(index[part]), pa.array(pos[part], pa.int32())], names=["token", "doc_id", "n", "pos"])
+
+
+def prefix_postings(source: DataFrame, levels: np.ndarray, reps: DataFrame, count: int) -> DataFrame:
+    """``token, doc_id, n, pos``: the postings of the documents of ``reps`` (``doc_id, n``), whose rows ``count`` bounds.
+
+    A copy that stands for itself beside its class only repeats the class's
+    links, so a filter will do to leave copies out, and texts become postings in
+    one Python step; beyond the filter's bound, copies are left out by a join.
+    """
+    context = source.sparkSession.sparkContext
+    shared, some = context.broadcast(levels), BitFilter.fitting(reps, ["doc_id"], count)
+    if some is None:
+        packed = source.mapInArrow(lambda batches: _prefix_batches(batches, shared.value), "doc_id bigint, n int, tokens binary")
+        return packed.join(reps, ["doc_id", "n"], "left_semi").select("doc_id", "n", "tokens").mapInArrow(_posting_batches, POSTING)
+    known = context.broadcast(some)
+    return source.mapInArrow(lambda batches: _posting_batches(_prefix_batches(known.value.pass_on(batches, "doc_id"), shared.value)), POSTING)
 
 
 def _possible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -230,8 +240,7 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(some)
 
     def run(batches):
-        for batch in batches:
-            batch = batch.filter(pa.array(shared.value.has(batch.column("doc_id").to_numpy())))
+        for batch in shared.value.pass_on(batches, "doc_id"):
             found = [x for _, x in _sets(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["doc_id", "n", "tokens"])
 
@@ -309,14 +318,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     rows = sizes.where("not sketch").select("doc_id", "n", "name", "data")
     classes = saved(rows.where("doc_id is not null and n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    # A copy that stands for itself beside its class only repeats the class's links, so a filter will do
-    # to leave copies out; beyond its bound, they are left out by a join.
-    some = BitFilter.fitting(reps, ["doc_id"], classes.count())
-    known = source.where("doc_id is not null")
-    prefixed = prefixes(some.picked(known, "doc_id") if some else known, levels)
-    if some is None:
-        prefixed = prefixed.join(reps, ["doc_id", "n"], "left_semi")
-    shared = saved(shared_postings(postings(prefixed)))
+    shared = saved(shared_postings(prefix_postings(source.where("doc_id is not null"), levels, reps, classes.count())))
     # First round: each document with the pivot of each of its groups.
     possible = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     signatures = rows.select("doc_id", "n", "data")
