@@ -78,25 +78,35 @@ class LanguageModel:
             yield self.languages[best], score, score < self.least_score
 
 
-def train(features: np.ndarray, labels: np.ndarray, classes: int, *, epochs: int = 12, batch: int = 32, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def dense(features: list[tuple[np.ndarray, np.ndarray]], rows: np.ndarray) -> np.ndarray:
+    """Some rows of features (buckets and their values) as a matrix."""
+    out = np.zeros((len(rows), 1 << BUCKET_BITS), np.float32)
+    for k, row in enumerate(rows.tolist()):
+        used, values = features[row]
+        out[k, used] = values
+    return out
+
+
+def train(features: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, classes: int, *, epochs: int = 12, batch: int = 32, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings and linear layer by stochastic gradient descent; returns their product and the bias.
 
-    features: each row's n-gram counts divided by their sum.  Rows are drawn in
-    shuffled order, classes in equal weight.
+    features: each row's buckets and their n-gram counts divided by the row's
+    sum; a matrix is made of a few rows at a time.  Rows are drawn in shuffled
+    order, classes in equal weight.
     """
     rng = np.random.default_rng(seed)
-    table = rng.normal(0, 0.1, (features.shape[1], DIMENSION)).astype(np.float32)
+    table = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSION)).astype(np.float32)
     layer = rng.normal(0, 0.5, (DIMENSION, classes)).astype(np.float32)
     bias = np.zeros(classes, np.float32)
     share = np.bincount(labels, minlength=classes).astype(np.float32)
     weight = (len(labels) / np.maximum(share, 1) / max(1, (share > 0).sum()))[labels]
-    scale = 1.0 / max(1e-9, float(np.mean((features**2).sum(1))))  # averages are short vectors
+    scale = 1.0 / max(1e-9, float(np.mean([(values**2).sum() for _, values in features])))  # averages are short vectors
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         order = rng.permutation(len(labels))
         for start in range(0, len(order), batch):
             rows = order[start : start + batch]
-            x = features[rows]
+            x = dense(features, rows)
             hidden = x @ table
             logits = hidden @ layer + bias
             odds = np.exp(logits - logits.max(1, keepdims=True))
@@ -171,21 +181,23 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     most = 2 * (1 + len(SNIPPET_WORDS)) * rows_per_language * len(names)
     sample = labelled.where(draw < bound).select("text", "lang").mapInArrow(run, "lang int, part int, used binary, n binary").limit(most).toArrow()
-    lang = sample.column("lang").to_numpy()
-    order = np.argsort([x + y for x, y in zip(sample.column("used").to_pylist(), sample.column("n").to_pylist(), strict=True)]) if len(lang) else []
-    features = np.zeros((len(lang), 1 << BUCKET_BITS), np.float32)
-    for row, (used, n) in enumerate(zip(sample.column("used").to_pylist(), sample.column("n").to_pylist(), strict=True)):
-        values = np.frombuffer(n, "<u4").astype(np.float32)
-        features[row, np.frombuffer(used, "<u2")] = values / values.sum()
-    features, lang = features[order], lang[order]  # rows come in any order; training must not depend on it
-    if not len(lang):
+    # Rows come in any order; training must not depend on it.
+    rows = sorted(zip(sample.column("used").to_pylist(), sample.column("n").to_pylist(), sample.column("lang").to_pylist(), strict=True), key=lambda row: (row[0] + row[1], row[2]))
+    del sample
+    if not rows:
         return LanguageModel(names, np.zeros((1 << BUCKET_BITS, len(names)), np.float32), np.zeros(len(names), np.float32), 1.0, 0.0)
+    features, lang = [], np.array([label for _, _, label in rows])
+    for used, n, _ in rows:
+        values = np.frombuffer(n, "<u4").astype(np.float32)
+        features.append((np.frombuffer(used, "<u2"), values / values.sum()))
     held = np.arange(len(lang)) % 5 == 0
     if held.all():
         held[:] = False
-    weights, bias = train(features[~held], lang[~held], len(names))
-    probe = held if held.any() else ~held
-    temperature, least = calibrate(features[probe] @ weights + bias, lang[probe], reject_share)
+    learned = np.flatnonzero(~held)
+    weights, bias = train([features[k] for k in learned], lang[learned], len(names))
+    probe = np.flatnonzero(held) if held.any() else learned
+    logits = np.concatenate([dense(features, probe[k : k + 256]) @ weights + bias for k in range(0, len(probe), 256)])
+    temperature, least = calibrate(logits, lang[probe], reject_share)
     return LanguageModel(names, weights, bias, temperature, least)
 
 
