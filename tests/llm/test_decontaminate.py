@@ -1,5 +1,6 @@
 import random
 import re
+from itertools import combinations
 
 import pytest
 
@@ -79,3 +80,38 @@ def test_neighbouring_rows_don_t_make_an_overlap(spark):
     halves = [(1, " ".join(item.split()[:10])), (2, " ".join(item.split()[10:]))]
     d = spark.createDataFrame(halves, "doc_id bigint, text string").coalesce(1)
     assert find_overlaps(d, spark.createDataFrame([(0, item)], "item_id bigint, text string")).count() == 0
+
+
+def changed(item, places):
+    return " ".join(f"x{k}" if k in places else w for k, w in enumerate(item.split()))
+
+
+def test_15_of_20_words_wherever_the_others_are(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    texts = [changed(item, set(places)) for places in combinations(range(20), 5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(0, item)], "item_id bigint, text string")
+    assert find_overlaps(docs, items).where("n_same = 15 and best_window = 15").count() == len(texts) == 15504
+    six = spark.createDataFrame([(k, changed(item, set(range(k, 20, 3)[:6]))) for k in range(3)], docs.schema)
+    assert find_overlaps(six, items).count() == 0
+
+
+def test_every_fourth_word_changed(spark):
+    item = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(k, changed(item, set(range(k, 200, 4)))) for k in range(4)], "doc_id bigint, text string")
+    found = find_overlaps(docs, spark.createDataFrame([(0, item)], "item_id bigint, text string"))
+    assert [r.n_same for r in found.orderBy("doc_id").collect()] == [150] * 4
+
+
+def test_items_of_any_length(spark):
+    """Each item under 20 words by itself, with all sets of a quarter of its words changed."""
+    docs, items = [], []
+    for n in range(1, 20):
+        item = " ".join(f"n{n}w{k}" for k in range(n))
+        items.append((n, item))
+        docs += [(n, changed(item, set(places))) for places in combinations(range(n), n // 4)]
+        # With one more changed it is no overlap.
+        docs.append((-n, changed(item, set(range(n // 4 + 1)))))
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    rows = find_overlaps(d, b).collect()
+    assert all(r.doc_id == r.item_id for r in rows) and len(rows) == sum(k > 0 for k, _ in docs)

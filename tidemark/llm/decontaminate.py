@@ -1,9 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
 Fixed masks over a few consecutive words ignore some of the positions, so a
-hash of the rest survives a substituted word.  Training hashes are joined to the
-benchmark's; around each hit the two texts are laid over each other and the
-overlap is verified, substitutions allowed.
+hash of the rest survives a substituted word.  The masks are such that every
+overlap asked for holds a seed, wherever its changed words are.  Training hashes
+are joined to the benchmark's; around each hit the two texts are laid over each
+other and the overlap is verified, substitutions allowed.
 
 The benchmark is a stated query set: it is read in blocks of bounded size, and
 each block is held against all documents.
@@ -11,6 +12,8 @@ each block is held against all documents.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,48 +21,86 @@ from pyspark.sql import functions as F
 
 from .kernels import ALNUM, chunks, masked_hashes, text_buffer, word_hashes
 
-#: Fixed masks: words at a 0 may differ.
-MASKS = ("1101101011", "1110010111", "1011101101")
+#: Fixed masks: words at a 0 may differ.  One of them is free of changed words in
+#: each of the ways to change at most 5 of 20 words.
+MASKS = ("111011", "1110001001", "11111")
+#: Hits that are looked at together.
+HITS = 1 << 15
 
 
-def _seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Seed hashes of all masks and the word each begins at."""
-    made = [masked_hashes(words, mask, k + 1) for k, mask in enumerate(MASKS)]
-    return np.concatenate(made), np.concatenate([np.arange(len(x)) for x in made])
+def masks_for(size: int, need: int) -> tuple[str, ...]:
+    """Masks one of which falls on equal words wherever ``need`` of ``size`` words are equal."""
+    changed = size - need
+    # The changed words leave changed + 1 runs, the longest of this many words at least.
+    run = max(1, -(-need // (changed + 1)))
+    if run < 5 and size >= 20 and changed <= 5:
+        return MASKS
+    return ("1" * min(run, 10),)
 
 
-class Block:
-    """Some benchmark items: their words and an index of their seeds."""
+class Index:
+    """The seeds of one mask in a block's items."""
 
-    def __init__(self, ids: list, texts: list[str]):
-        self.ids = ids
-        data, offsets = text_buffer(pa.compute.utf8_lower(pa.array(texts, pa.string())))
-        self.words, self.at = word_hashes(data, offsets, ALNUM)
-        hashes, items, places = [], [], []
-        for item, (start, end) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
-            h, p = _seeds(self.words[start:end])
-            hashes.append(h)
-            items.append(np.full(len(h), item))
-            places.append(p)
-        hashes, items, places = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((hashes, np.uint64), (items, np.int64), (places, np.int64)))
+    def __init__(self, hashes: np.ndarray, items: np.ndarray, places: np.ndarray):
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.items, self.places = hashes[order], items[order], places[order]
         # First look: whether any seed has the same upper 16 bits.
         self.upper = np.zeros(1 << 16, bool)
         self.upper[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
-    def hits(self, seeds: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, seeds: np.ndarray):
+        """Items hit, the seed's place in them and in the text, a bounded number at a time."""
+        at = np.flatnonzero(self.upper[(seeds >> np.uint64(48)).astype(np.int64)])
+        low, high = np.searchsorted(self.hashes, seeds[at], "left"), np.searchsorted(self.hashes, seeds[at], "right")
+        at, low, counts = at[high > low], low[high > low], (high - low)[high > low]
+        ends = np.cumsum(counts)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, HITS):
+            number = np.arange(first, min(first + HITS, int(ends[-1])))
+            seed = np.searchsorted(ends, number, "right")
+            entry = low[seed] + number - (ends - counts)[seed]
+            yield self.items[entry], self.places[entry], at[seed]
+
+
+class Block:
+    """Some benchmark items: their words and an index of their seeds."""
+
+    def __init__(self, ids: list, texts: list[str], window: int = 20, least: float = 0.75):
+        self.ids = ids
+        data, offsets = text_buffer(pa.compute.utf8_lower(pa.array(texts, pa.string())))
+        self.words, self.at = word_hashes(data, offsets, ALNUM)
+        self.sizes = np.minimum(np.diff(self.at), window)
+        self.needs = np.array([math.ceil(least * int(size)) for size in self.sizes], np.int64)
+        made: dict[str, list] = {}
+        for item, (start, end) in enumerate(zip(self.at[:-1], self.at[1:], strict=True)):
+            for mask in masks_for(int(self.sizes[item]), int(self.needs[item])) if self.sizes[item] > 0 else ():
+                h = masked_hashes(self.words[start:end], mask, 1)
+                made.setdefault(mask, []).append((h, np.full(len(h), item), np.arange(len(h))))
+        self.indexes = {mask: Index(*(np.concatenate(x) for x in zip(*parts, strict=True))) for mask, parts in made.items()}
+
+    def likely(self, words: np.ndarray, items: np.ndarray, places: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+        """Of these hits, which have a window around the seed that holds enough equal words; rows are not told apart."""
+        keep = np.zeros(len(items), bool)
+        for size in np.unique(self.sizes[items]).tolist():
+            of = np.flatnonzero(self.sizes[items] == size)
+            reach = np.arange(span - size, size)
+            mine, theirs = at[of, None] + reach, places[of, None] + reach
+            inside = (mine >= 0) & (mine < len(words)) & (theirs >= 0) & (theirs < np.diff(self.at)[items[of], None])
+            theirs = theirs + self.at[items[of], None]
+            same = inside & (words[np.clip(mine, 0, len(words) - 1)] == self.words[np.clip(theirs, 0, len(self.words) - 1)])
+            sums = np.zeros((len(of), len(reach) + 1), np.int32)
+            np.cumsum(same, axis=1, out=sums[:, 1:])
+            keep[of] = (sums[:, size:] - sums[:, :-size]).max(axis=1) >= self.needs[items[of]]
+        return keep
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items hit and where in the text they would begin, each pair once."""
-        likely = np.flatnonzero(self.upper[(seeds >> np.uint64(48)).astype(np.int64)])
-        if not len(likely):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        seeds, places = seeds[likely], places[likely]
-        low, high = np.searchsorted(self.hashes, seeds, "left"), np.searchsorted(self.hashes, seeds, "right")
-        counts = high - low
-        if not counts.any():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        entry = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        pairs = np.unique(np.stack([self.items[entry], np.repeat(places, counts) - self.places[entry]]), axis=1)
+        found = [np.zeros((2, 0), np.int64)]
+        for mask, index in self.indexes.items():
+            # Seeds that cross from one row into the next hit nothing that verification would keep.
+            for items, places, at in index.hits(masked_hashes(words, mask, 1)):
+                keep = self.likely(words, items, places, at, len(mask))
+                found.append(np.unique(np.stack([items[keep], (at - places)[keep]]), axis=1))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pairs[0], pairs[1]
 
     def overlap(self, words: np.ndarray, item: int, start: int, window: int, least: float) -> tuple[int, int]:
@@ -84,10 +125,10 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
     A document holds an item where a window of ``window`` consecutive words of it
     (all, if it has fewer) stands with at least ``least`` of the words equal at
-    their positions.  n_places counts the places, n_same is the most equal words
-    at one place, n_words the item's length.  Words are runs of letters, digits
-    and non-ASCII characters, case ignored.  An item shorter than a mask
-    (10 words) is found nowhere, nor is a null or empty text, a null id on
+    their positions; each such place is found.  n_places counts the places, n_same
+    is the most equal words at one place, n_words the item's length.  Words are
+    runs of letters, digits and non-ASCII characters, case ignored.  An item
+    without words is found nowhere, nor is a null or empty text, a null id on
     either side, or anything in an empty table.  Repeated rows of docs count
     each as documents of their own; repeated items are reported each once.
 
@@ -115,9 +156,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
                 for low, high in chunks(offsets):
                     inner = offsets[low : high + 1] - offsets[low]
                     words, at = word_hashes(data[offsets[low] : offsets[high]], inner, ALNUM)
-                    # Seeds that cross from one row into the next hit nothing that verification would keep.
-                    seeds, places = _seeds(words)
-                    hit_items, begins = block.hits(seeds, places)
+                    hit_items, begins = block.hits(words)
                     if not len(hit_items):
                         continue
                     # The row of a hit is that of its middle; an item may begin before its row does.
@@ -149,11 +188,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         texts.append(row.text)
         running += len(row.text)
         if running >= block_bytes:
-            part = search(Block(ids, texts))
+            part = search(Block(ids, texts, window, least))
             found = part if found is None else found.unionByName(part)
             ids, texts, running = [], [], 0
     if ids or found is None:
-        part = search(Block(ids, texts))
+        part = search(Block(ids, texts, window, least))
         found = part if found is None else found.unionByName(part)
     return found
 
