@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark import operators as op
+from tidemark import plans
 
 
 def coordinates(spark, array):
@@ -118,3 +119,24 @@ def test_randperm(spark):
         values = [r.value for r in op.randperm(spark, 300, buckets=buckets).orderBy("id").collect()]
         assert sorted(values) == list(range(300)) and values != sorted(values)
     assert op.randperm(spark, 0).count() == 0
+
+
+def embeddings(spark, tmp_path, n, labels=3):
+    """A table of n vectors of 64 coordinates, as the queries read it."""
+    x = np.random.default_rng(6).normal(1, 1, (n, 64)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist(), k % labels) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+    df.repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return x.astype(float)
+
+
+def test_orthonormalize_query_has_all_vectors_whole(spark, tmp_path):
+    x = embeddings(spark, tmp_path, 50)
+    rows = {r.vec_id: r.vector for r in plans.queries()["orthonormalize"](spark, str(tmp_path)).collect()}
+    assert sorted(rows) == list(range(50))
+    for first in range(0, 50, 4):
+        made = []
+        for v in x[first : first + 4]:
+            for u in made:
+                v = v - v @ u * u
+            made.append(v / np.linalg.norm(v))
+        assert np.allclose([rows[first + k] for k in range(len(made))], made)
