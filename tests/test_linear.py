@@ -1,11 +1,12 @@
 import numpy as np
 import pytest
-from helpers import NAN
+from helpers import NAN, same
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark import operators as op
 from tidemark import plans
+from tidemark.operators.linalg import covariance, covariance_of_vectors
 
 
 def coordinates(spark, array):
@@ -140,3 +141,40 @@ def test_orthonormalize_query_has_all_vectors_whole(spark, tmp_path):
                 v = v - v @ u * u
             made.append(v / np.linalg.norm(v))
         assert np.allclose([rows[first + k] for k in range(len(made))], made)
+
+
+def test_decompositions_have_all_coordinates(spark, tmp_path):
+    x = embeddings(spark, tmp_path, 300)
+    holes = np.where((np.arange(300)[:, None] + np.arange(64)) % 10 == 0, NAN, x)
+
+    def pairwise(a):
+        have, a = ~np.isnan(a), np.nan_to_num(a)
+        n, sums = have.T.astype(float) @ have, a.T @ have
+        return (a.T @ a - sums * sums.T / n) / (n - 1)
+
+    for name, value, vector, of in (
+        ("eigh", "eigenvalue", "eigenvector", lambda s: x[s].T @ x[s]),
+        ("pca_cov", "explained_variance", "component", lambda s: x[s].T @ x[s]),
+        ("pca", "explained_variance", "component", lambda s: np.cov(x[s].T)),
+        ("nanpca", "explained_variance", "component", lambda s: pairwise(holes[s])),
+    ):
+        rows = plans.queries()[name](spark, str(tmp_path)).collect()
+        for label in range(3):
+            want = of(np.arange(300) % 3 == label)
+            own = sorted((r for r in rows if r.label == label), key=lambda r: r.k)
+            values, vectors = np.array([r[value] for r in own]), np.array([r[vector] for r in own])
+            assert vectors.shape == (64, 64)
+            expected = np.linalg.eigvalsh(want)
+            assert np.allclose(values, expected if name == "eigh" else expected[::-1], atol=1e-4)
+            assert np.allclose(vectors @ vectors.T, np.eye(64), atol=2e-3)
+            assert np.abs(vectors @ want - values[:, None] * vectors).max() < 1e-3 * np.abs(values).max()
+
+
+def test_covariance_of_vectors(spark):
+    rows = [(0, [1e9 + 1, 2.0, None]), (0, [1e9 + 2, NAN, 1.0]), (0, [1e9 + 4, 5.0, 3.0]), (0, [1e9 + 7, 6.0]), (1, [1.0, 2.0]), (None, [1.0, 1.0]), (0, None)]
+    df = spark.createDataFrame([(s, *row) for s, row in enumerate(rows)], "s int, b int, v array<double>").repartition(3)
+    cells = df.select("s", "b", F.posexplode("v").alias("d", "x"))
+    for skip in (False, True):
+        got = {(r.b, r.r, r.c): r.x for r in covariance_of_vectors(df, ["b"], "v", skip_missing=skip).collect()}
+        want = {(r.b, r.r, r.c): r.x for r in covariance(cells, ["b"], "s", "d", "x", skip_missing=skip).collect()}
+        assert set(got) == set(want) and same([got[k] for k in want], list(want.values()), 1e-6)

@@ -170,6 +170,88 @@ def covariance(df: DataFrame, keys: list[str], section: str, dimension: str, val
     return half.union(half.where("r > c").select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), "x"))
 
 
+def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """``keys, r, c, n, n_all, x, y, xy`` for each pair r >= c of an array column's coordinates.
+
+    Over the rows that have both: their number, the sums of each and of the
+    products; n_all counts rows with a missing value too.  Tasks add up whole
+    matrices, so a row never meets itself in a join.  Rows with a missing key
+    are left out.
+    """
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_vector")).dropna(subset=[*keys, "_vector"])
+    kinds = [rows.schema[k].dataType for k in keys]
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [*map(to_arrow_type, kinds), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+        names = [*keys, "r", "c", "n", "n_all", "x", "y", "xy"]
+        sums: dict[tuple, np.ndarray] = {}
+
+        def rows_of(key: tuple, total: np.ndarray) -> pa.RecordBatch:
+            r, c = np.nonzero(np.tril(total[1]))
+            n, n_all, x, xy = total[0][r, c], total[1][r, c], total[2], total[3][r, c]
+            columns = [*([k] * len(r) for k in key), r, c, n.astype(np.int64), n_all.astype(np.int64), x[r, c], x[c, r], xy]
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, types, strict=True)], names=names)
+
+        for batch in batches:
+            vectors = batch.column(len(keys))
+            lengths = vectors.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            width = int(lengths.max(initial=0))
+            there = np.arange(width) < lengths[:, None]
+            values = np.full(there.shape, np.nan)
+            values[there] = vectors.flatten().to_numpy(zero_copy_only=False)
+            tuples = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) or [()] * len(lengths)
+            codes: dict[tuple, int] = {}
+            of = np.array([codes.setdefault(k, len(codes)) for k in tuples], np.int64)
+            for key, code in codes.items():
+                v, t = values[of == code], there[of == code].astype(float)
+                have = (~np.isnan(v)).astype(float)
+                endless = np.isinf(v).astype(float)
+                finite = np.where(np.isfinite(v), v, 0.0)
+                xy = finite.T @ finite
+                xy[(endless.T @ have + have.T @ endless) > 0] = np.nan
+                made = np.stack([have.T @ have, t.T @ t, finite.T @ have, xy])
+                old = sums.get(key)
+                if old is not None and old.shape[1] != width:
+                    most = max(old.shape[1], width)
+                    old, made = (np.pad(a, ((0, 0), (0, most - a.shape[1]), (0, most - a.shape[1]))) for a in (old, made))
+                sums[key] = made if old is None else old + made
+            if sum(a.nbytes for a in sums.values()) > 64 << 20:
+                yield from (rows_of(*item) for item in sums.items())
+                sums = {}
+        yield from (rows_of(*item) for item in sums.items())
+
+    fields = [*(f"`{k}` {kind.simpleString()}" for k, kind in zip(keys, kinds, strict=True)), "r int, c int, n bigint, n_all bigint, x double, y double, xy double"]
+    added = [F.sum(k).alias(k) for k in ("n", "n_all", "x", "y", "xy")]
+    return rows.mapInArrow(run, ", ".join(fields)).groupBy(*keys, "r", "c").agg(*added)
+
+
+def _both_triangles(half: DataFrame, keys: list[str]) -> DataFrame:
+    both = F.when(F.col("r") > F.col("c"), F.array(F.struct("r", "c"), F.struct(F.col("c").alias("r"), F.col("r").alias("c")))).otherwise(F.array(F.struct("r", "c")))
+    return half.select(*keys, F.explode(both).alias("_at"), "x").select(*keys, "_at.r", "_at.c", "x")
+
+
+def gram_of_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """``keys, r, c, x``: sums of products of each pair of an array column's coordinates; missing ones are zeros."""
+    return _both_triangles(pair_sums(df, keys, vector).select(*keys, "r", "c", F.col("xy").alias("x")), keys)
+
+
+def covariance_of_vectors(df: DataFrame, keys: list[str], vector: str, *, skip_missing: bool, ddof: int = 1) -> DataFrame:
+    """As covariance, of an array column's coordinates."""
+    # Sums of products lose no digits once values are near zero; the shift itself cancels out.
+    cells = df.dropna(subset=keys).select(*keys, F.posexplode(vector).alias("_at", "_x"))
+    mean = cells.groupBy(*keys, "_at").agg(F.avg(present("_x")).alias("_m"))
+    mean = mean.withColumn("_m", F.when(F.abs("_m") < float("inf"), F.col("_m")).otherwise(0.0))
+    means = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("_means"))
+    # Shorter vectors stay so.
+    near = F.transform(F.col(vector).cast("array<double>"), lambda x, k: x - F.get("_means", k))
+    sums = pair_sums(df.join(means, keys).select(*keys, near.alias("_near")), keys, "_near")
+    value = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - ddof)
+    enough = F.col("n") > ddof if skip_missing else (F.col("n") > ddof) & (F.col("n") == F.col("n_all"))
+    return _both_triangles(sums.select(*keys, "r", "c", F.when(enough & (F.col("n") > 0), value).alias("x")), keys)
+
+
 def pca(df: DataFrame, keys: list[str], section: str, dimension: str, value: str) -> DataFrame:
     """Principal components of the sample covariance over sections."""
     return pca_cov(covariance(df, keys, section, dimension, value, skip_missing=False), keys)

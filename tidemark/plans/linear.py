@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 
 from .. import operators as op
-from ..operators.linalg import covariance
+from ..operators.linalg import covariance, covariance_of_vectors, gram_of_vectors
 from ..sources import read_table
 from .common import Query, rounded, sql_rounded
 
-#: Coordinates of the embeddings that the dense decompositions use, of 64.
+#: Coordinates of the embeddings that the matrices with SQL beside them use, of 64; the decompositions use all.
 DIMENSIONS = 6
 
 
@@ -56,7 +56,8 @@ def orthogonalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return einsum_gram(spark, sf_dir).select("label", F.col("a").alias("r"), F.col("b").alias("c"), "x")
+    x = read_table(spark, sf_dir, "embeddings", ["label", "embedding"])
+    return gram_of_vectors(x, ["label"], "embedding").withColumn("x", rounded("x"))
 
 
 def eigh(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,8 @@ def _components(df: DataFrame) -> DataFrame:
 
 
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(op.pca(cells(spark, sf_dir).where(F.col("idx") < DIMENSIONS), ["label"], "vec_id", "idx", "x"))
+    x = read_table(spark, sf_dir, "embeddings", ["label", "embedding"])
+    return _components(op.pca_cov(covariance_of_vectors(x, ["label"], "embedding", skip_missing=False), ["label"]))
 
 
 def pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +103,10 @@ def pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nanpca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(op.nanpca(_with_holes(spark, sf_dir), ["label"], "vec_id", "idx", "x"))
+    x = read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"])
+    holes = F.transform("embedding", lambda v, k: F.when((F.col("vec_id") + k) % 10 == 0, F.lit(float("nan"))).otherwise(v.cast("double")))
+    x = x.select("label", holes.alias("embedding"))
+    return _components(op.pca_cov(covariance_of_vectors(x, ["label"], "embedding", skip_missing=True), ["label"]))
 
 
 def rand(spark: SparkSession, sf_dir: str) -> DataFrame:
