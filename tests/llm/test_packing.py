@@ -63,3 +63,20 @@ def test_items_that_never_fit_together(spark):
     docs = spark.createDataFrame([(k, "on " * 60) for k in range(30)], "doc_id bigint, text string").repartition(4)
     rows = pack(docs, capacity=100, group_bins=4).collect()
     assert len({r.sequence_id for r in rows}) == 30
+
+
+def test_ids_of_every_code_point(library):
+    """Each code point alone, after a sign and before a letter: the ids are the library's."""
+    own = WordIds(PATH)
+    texts = [f":{chr(c)}a" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(texts), 50_000):
+        part = texts[start : start + 50_000]
+        want = library.encode_batch(part, add_special_tokens=False)
+        for text, w in zip(part, want, strict=True):
+            assert np.frombuffer(own.ids(text), "<u4").tolist() == w.ids, ascii(text)
+
+
+def test_null_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "on the", 7, 8), (None, None, 7, 8), (1, "on", 7, 8)], "doc_id bigint, text string, bin int, length int")
+    rows = pack(docs, capacity=100).collect()
+    assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 2), (True, 1), (True, 3)]

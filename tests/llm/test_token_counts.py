@@ -1,3 +1,5 @@
+from itertools import accumulate
+
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -51,3 +53,20 @@ def test_budgets(spark, library):
     assert len(library.encode(text[:kept], add_special_tokens=False).ids) <= 7
     assert all(len(library.encode(text[:i], add_special_tokens=False).ids) > 7 for i in range(kept + 1, len(text) + 1))
     assert rows[2].prefix_tokens == [0] and rows[2].kept_chars == 0
+
+
+def test_pieces_of_every_code_point(library):
+    """Between letters, digits and spaces each code point is split as the library splits it."""
+    counter = PrefixCounter(PATH)
+    codes = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    for start in range(0, len(codes), 5_000):
+        text = "".join(f"a{c}1 {c}!" for c in codes[start : start + 5_000])
+        ends = [end for _, (_, end) in library.pre_tokenizer.pre_tokenize_str(text)]
+        assert ends == list(accumulate(map(len, counter.pieces(text))))
+
+
+def test_prefixes_of_an_empty_table_and_of_repeats(spark):
+    docs = spark.createDataFrame([(1, "ab cd"), (1, "ab cd"), (None, "")], "doc_id bigint, text string")
+    rows = prefix_token_counts(docs).collect()
+    assert sorted(len(r.prefix_tokens) for r in rows) == [1, 6, 6]
+    assert prefix_token_counts(docs.where("false")).count() == 0

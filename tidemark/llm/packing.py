@@ -8,40 +8,38 @@ a round joins nothing more.
 
 from __future__ import annotations
 
-import re
-import unicodedata
 import zlib
 from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import discard, saved
-from .token_counts import byte_letters
 
-#: Fixed value of the tokenizer's format: its words.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
 KEPT_WORDS = 200_000
+KEPT_BYTES = 64
 
 
 class WordIds:
-    """Ids of a word-level BPE file; the ids of words seen before are kept, up to a bound."""
+    """The library's ids of whole texts, by a tokenizer file that drops white space.
+
+    White space always ends a word, and neither normalising nor merging reaches
+    across it.  So a text's ids are those of its parts between ASCII spaces, each
+    by the library itself; the ids of short parts seen before are kept, up to a
+    bound.
+    """
 
     _open: dict[str, WordIds] = {}
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.letters = byte_letters()
-        self.words = regex.compile(WORDS)
-        specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
 
     @classmethod
     def open(cls, path: str) -> WordIds:
@@ -49,21 +47,18 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _word(self, word: str) -> bytes:
-        if len(self.known) >= KEPT_WORDS:
-            self.known.clear()
-        tokens = self.model.tokenize("".join(self.letters[byte] for byte in word.encode()))
-        found = self.known[word] = np.array([token.id for token in tokens], "<u4").tobytes()
-        return found
+    def _part(self, part: bytes) -> bytes:
+        ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(part) <= KEPT_BYTES:
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
 
     def ids(self, text: str) -> bytes:
         """The library's ids as little-endian unsigned 32-bit integers."""
-        if self.special.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         known = self.known
-        return b"".join([known.get(word) or self._word(word) for word in self.words.findall(text.lower())])
+        return b"".join([known[part] if part in known else self._part(part) for part in text.encode().split()])
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 #: Fixed values of the tokenizer's format: how it splits texts, and its printable bytes.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -62,6 +63,10 @@ class PrefixCounter:
         self.longest = max(map(len, self.tokens))
         self.special = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) + ")") if spec["added_tokens"] else None
         self.split = regex.compile(SPLIT)
+        self.splitter = Tokenizer.from_file(path).pre_tokenizer
+        #: What stands for a character when texts are split: itself if `regex` classes it as the library does.
+        self.stand_in = {chr(c): chr(c) for c in range(128)}
+        self.plain_letters = set(self.stand_in)
         self.fits: dict[tuple[bytes, bytes], bool] = {}
         self.known: dict[str, int] = {}
         self.tables: dict[str, array] = {}
@@ -112,6 +117,38 @@ class PrefixCounter:
                     break
         return array("I", count)
 
+    def _class(self, char: str) -> str:
+        """A letter, digit, space or sign of the class that the library's own splitter gives to a character."""
+        together = lambda before: len(self.splitter.pre_tokenize_str(before + char)) == 1
+        return "a" if together("a") else "1" if together("1") else "!" if together("!") else " "
+
+    def shadow(self, text: str) -> str:
+        """The text with a stand-in for each character that `regex` and the library class apart.
+
+        The two follow different versions of Unicode; the library's word counts.
+        """
+        if text.isascii():
+            return text
+        new = set(text) - self.plain_letters
+        if new:
+            for char in [c for c in new if c not in self.stand_in]:
+                own = self._class(char)
+                agreed = {"a": r"\p{L}", "1": r"\p{N}", "!": r"[^\p{White_Space}\p{L}\p{N}]", " ": r"\p{White_Space}"}[own]
+                self.stand_in[char] = char if regex.fullmatch(agreed, char) else {"a": "é", "1": "²", "!": "¡", " ": "\xa0"}[own]
+            self.plain_letters.update(char for char in new if self.stand_in[char] == char)
+            if not new <= self.plain_letters:
+                return "".join(map(self.stand_in.__getitem__, text))
+        return text
+
+    def pieces(self, text: str) -> list[str]:
+        """The library's pieces of a text without special strings."""
+        shadow = self.shadow(text)
+        found = self.split.findall(shadow)
+        if shadow is text:
+            return found
+        ends = list(accumulate(map(len, found), initial=0))
+        return [text[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
     def piece(self, piece: str) -> int:
         """Tokens of a whole piece."""
         found = self.known.get(piece)
@@ -149,7 +186,7 @@ class PrefixCounter:
             if special:
                 count += 1
                 continue
-            for piece in self.split.findall(segment):
+            for piece in self.pieces(segment):
                 found = known.get(piece)
                 count += self.piece(piece) if found is None else found
         return count
@@ -180,18 +217,18 @@ class PrefixCounter:
     def _plain(self, text: str) -> np.ndarray:
         out = np.zeros(len(text) + 1, np.int64)
         before, at = 0, 0
-        for piece in self.split.findall(text):
+        for piece in self.pieces(text):
             end = at + len(piece)
             if piece in _CONTRACTIONS:
                 for i in range(1, len(piece)):
-                    out[at + i] = before + sum(map(self.piece, self.split.findall(piece[:i])))
+                    out[at + i] = before + sum(map(self.piece, self.pieces(piece[:i])))
                 out[end] = before + self.piece(piece)
             else:
                 out[at : end + 1] = before + np.frombuffer(self.piece_table(piece), np.uint32)
             before, at = int(out[end]), end
-        for run in regex.finditer(r"\p{White_Space}{2,}", text):
+        for run in regex.finditer(r"\p{White_Space}{2,}", self.shadow(text)):
             start, stop = run.span()
-            out[start : stop + 1] = out[start] + np.frombuffer(self.piece_table(run.group()), np.uint32)
+            out[start : stop + 1] = out[start] + np.frombuffer(self.piece_table(text[start:stop]), np.uint32)
         return out
 
     def longest_within(self, text: str, budget: int) -> int:
