@@ -44,3 +44,17 @@ def test_edges(spark):
 def test_repeated_rows_are_at_the_same_place(spark):
     made = run(spark, [(1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")])
     assert made == [(1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "", 3)]
+
+
+def test_a_column_with_the_name_of_a_helper_stays(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", 7), (2, "a\nb\nc", 8)], "doc_id bigint, text string, _tidemark_id int")
+    rows = remove_repeated_lines(docs, removed_col="gone").orderBy("doc_id").collect()
+    assert [(r.text, r._tidemark_id, r.gone) for r in rows] == [("a\nb\nc", 7, 0), ("", 8, 3)]
+
+
+def test_very_many_lines(spark):
+    """Work in proportion to the lines: one text of 100,000, half of them repeated."""
+    lines = [f"line {k}" for k in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines[:50_000])), (2, "\n".join(lines))], "doc_id bigint, text string")
+    rows = remove_repeated_lines(docs).orderBy("doc_id").collect()
+    assert [r.lines_removed for r in rows] == [0, 50_000] and rows[1].text == "\n".join(lines[50_000:])

@@ -89,3 +89,13 @@ def test_filters_keep_all_links(x, y):
     assert linked == (len(x) + len(y) > 0 and shared >= least_overlap(len(x), len(y)))
     if linked:
         assert set(x[: prefix_length(len(x))].tolist()) & set(y[: prefix_length(len(y))].tolist())
+
+
+def test_structured_words_are_told_apart(spark):
+    """The Thue-Morse word of 1,024 letters and its complement, which polynomial hashes modulo 2**64 confuse."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    _, got = run(spark, [(1, word), (2, other), (3, word[:512] + other[:511]), (4, word)])
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 1)}

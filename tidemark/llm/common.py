@@ -26,10 +26,20 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(start, rows)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, or a longer one that is no column of the tables (in any case of letters)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one, but on one machine only."""
     set_already = spark.conf.get("spark.checkpoint.dir", None)
     if not set_already:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_already = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", set_already)
     return set_already.rstrip("/")

@@ -6,6 +6,7 @@ boundaries only to keep the temporary arrays small.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,9 @@ _U = np.uint64
 _BASE = _U(0x9E6C63D0876A9A47)  # odd, so that it has an inverse modulo 2**64
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 CHUNK_BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -96,11 +100,26 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tup
     first[edges] = inside[edges]
     last[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    forward, backward = _Powers.upto(n + 1)
-    total = np.zeros(n + 1, _U)
-    np.cumsum(codes.astype(_U) * forward[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * backward[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
-    return hashes, np.searchsorted(starts, offsets)
+    return _byte_hashes((codes - 1).astype(np.uint8), starts, ends - starts), np.searchsorted(starts, offsets)
+
+
+def _byte_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word's bytes, eight at a time; long words get a cryptographic one."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # at each byte it and the next seven
+    out = mix(sizes.astype(_U) + _U(0x9E3779B97F4A7C15))
+    left, at = sizes, np.arange(len(sizes))
+    for lane in range(LONG_WORD // 8):
+        part = eight[starts[at] + 8 * lane] & _FIRST_BYTES[np.minimum(left, 8)]
+        out[at] = mix((out[at] ^ part) * _U(0xD6E8FEB86659FD93) + _U(lane + 1))
+        more = left > 8
+        at, left = at[more], left[more] - 8
+        if not len(at):
+            return out
+    for k in at.tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : starts[k] + sizes[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Lines of a window.
 LINES = 3
 
@@ -33,7 +35,7 @@ def later_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     return windows.join(first, ["h1", "h2"]).where(here > F.col("first")).select("doc_id", "pos")
 
 
-def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "lines_removed") -> DataFrame:
     """The rows of docs with ``lines_removed`` (int), their texts without repeated lines.
 
     Windows of three consecutive lines (cut at ``\\n``) are compared over all
@@ -43,16 +45,19 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     without doc_id, and a null text (0 lines removed).  Windows of three blank
     lines don't count.  A text of which all lines go is empty; the row stays.
     Rows that share a doc_id stand at the same place: they aren't earlier than
-    each other, and each loses the lines found in either.  Other columns stay.
+    each other, and each loses the lines found in either.  An empty table gives
+    no rows.  Other columns stay; one named ``removed_col`` is replaced.
     """
-    mark, covered = "_tidemark_id", "_tidemark_covered"
+    mark, covered, cut, left = (unused(f"_tidemark_{name}", docs) for name in ("id", "covered", "lines", "kept"))
     starts = later_windows(docs, id_col=id_col, text_col=text_col)
     per_doc = starts.groupBy(F.col("doc_id").alias(mark)).agg(F.collect_set("pos").alias(covered))
-    lines = F.split(F.col(text_col), "\n", -1)
-    positions = F.array_distinct(F.flatten(F.transform(F.col(covered), lambda p: F.sequence(p, p + LINES - 1))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
-    text = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    removed = F.size(lines) - F.size(kept)
-    out = docs.join(per_doc, F.col(id_col) == F.col(mark), "left")
     found = F.col(covered).isNotNull() & F.col(text_col).isNotNull()
-    return out.select(*(F.when(found, text).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != "lines_removed"), F.when(found, removed).otherwise(0).alias("lines_removed"))
+    # Lines and kept positions are columns of their own, made once a row; each is read several times below.
+    lines = F.when(found, F.split(F.col(text_col), "\n", -1))
+    positions = F.array_distinct(F.flatten(F.transform(F.col(covered), lambda p: F.sequence(p, p + LINES - 1))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), positions)
+    out = docs.join(per_doc, F.col(id_col) == F.col(mark), "left").withColumn(cut, lines).withColumn(left, kept)
+    text = F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(cut), i)), "\n")
+    removed = F.size(cut) - F.size(left)
+    columns = [F.when(found, text).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns if c != removed_col]
+    return out.select(*columns, F.when(found, removed).otherwise(0).alias(removed_col))
