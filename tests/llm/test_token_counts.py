@@ -56,9 +56,10 @@ def test_budgets(spark, library):
 
 
 def test_pieces_of_every_code_point(library):
-    """Between letters, digits and spaces each code point is split as the library splits it."""
+    """Between letters, digits and signs each code point is split as the library splits it."""
     counter = PrefixCounter(PATH)
-    codes = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    planes = [*range(0x80, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)]  # the others have no characters
+    codes = list(map(chr, planes))
     for start in range(0, len(codes), 100):
         text = "".join(f"a{c}1 {c}!" for c in codes[start : start + 100])
         ends = [end for _, (_, end) in library.pre_tokenizer.pre_tokenize_str(text)]

@@ -1,10 +1,13 @@
 """Licence scan by a positional index of rare words.
 
-Each template is a run of words with its label.  The words of all templates get
-their inverse document frequency from the whole corpus.  A file looks up its
-rarest licence words in the templates' postings (word to template and relative
-position); hits that agree on where the template would begin are one candidate,
-which is verified: mandatory key phrases word by word, the rest by IDF weight.
+Each template is a run of words with its label and the key phrases that it must
+hold.  The words of all templates get their inverse document frequency from the
+whole corpus, and postings: in which template's anchor phrase, and where there.
+A file's licence words are looked up from the highest IDF on.  The postings of
+one template are intersected by relative position, that is, by where its anchor
+phrase would begin; each place that all of the looked-up words agree on is a
+candidate.  It is verified: key phrases word by word, the rest by the weight of
+the words that stand around it in the template's order.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import math
 from collections import defaultdict
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +32,7 @@ NOTICES = (
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license",)),
     ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation", ("gnu affero general public license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("source and binary forms",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify and or distribute this software",)),
     ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("apache license version 2",)),
@@ -37,6 +41,15 @@ NOTICES = (
     ("cc0", "to the extent possible under law the author has waived all copyright and related rights cc0 1 0 universal", ("cc0 1 0",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software",)),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without prior written permission", ("all rights reserved",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("alter it and redistribute it freely",)),
+    ("bsl-1", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", ("boost software license",)),
+    ("wtfpl", "do what the fuck you want to public license", ("what the fuck you want to public license",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ("eclipse public license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("the above copyright notice and this permission notice shall be included",)),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("governing permissions and limitations under the license",)),
+    ("gpl-2-or-later", "either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("version 2 of the license or at your option any later version",)),
+    ("gpl-3-or-later", "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("version 3 of the license or at your option any later version",)),
 )
 
 _WORDS = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -60,50 +73,91 @@ def templates() -> list[Template]:
     return made + [Template(label, tuple(words_of(text)), tuple(tuple(words_of(key)) for key in keys), False) for label, text, keys in NOTICES]
 
 
-def _holds(words: list[bytes], at: int, phrase: tuple[bytes, ...]) -> bool:
-    return at >= 0 and tuple(words[at : at + len(phrase)]) == phrase
+def _places(words: list[bytes], phrase: tuple[bytes, ...], low: int, high: int) -> bool:
+    """Whether the phrase stands somewhere within words[low:high]."""
+    n = len(phrase)
+    return any(tuple(words[at : at + n]) == phrase for at in range(max(0, low), min(high, len(words)) - n + 1))
+
+
+def weight_in_order(template: tuple[bytes, ...], words: list[bytes], idf: dict[bytes, float]) -> float:
+    """The greatest weight of template words that stand in these words in the template's order."""
+    found = np.array(words, object)
+    best = np.zeros(len(words) + 1)
+    for word in template:
+        best[1:] = np.maximum(best[1:], best[:-1] + idf[word] * (found == word))
+        best = np.maximum.accumulate(best)
+    return float(best[-1])
 
 
 class PositionalIndex:
-    """Postings of each template's rarest words, and the look-up of a file in them."""
-
-    def __init__(self, idf: dict[bytes, float], rare_words: int = 3, least: float = 0.7):
-        self.templates, self.idf, self.least = templates(), idf, least
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, template in enumerate(self.templates):
-            # A whole phrase holds its rarest word, so one is enough to find each base phrase.
-            rarest = sorted(set(template.words), key=lambda w: (-idf[w], w))[: 1 if template.base else rare_words]
-            for position, word in enumerate(template.words):
-                if word in rarest:
-                    self.postings[word].append((t, position))
-        self.rare = frozenset(self.postings)
-        self.weight = [sum(idf[w] for w in template.words) or 1.0 for template in self.templates]
+    """Postings of the words of each template's anchor phrase, and the look-up of a file in them.
+
+    The anchor is the key phrase of the greatest IDF.  A template's words stand
+    in a file with up to ``slack`` words more or fewer on either side.
+    """
+
+    def __init__(self, idf: dict[bytes, float], rare_words: int = 3, least: float = 0.7, slack: int = 6):
+        self.templates, self.idf, self.rare_words, self.least, self.slack = templates(), idf, rare_words, least, slack
+        self.anchor = [max(template.keys, key=lambda key: (sum(map(idf.__getitem__, key)), key)) for template in self.templates]
+        self.offset = [next(at for at in range(len(x.words)) if x.words[at : at + len(key)] == key) for x, key in zip(self.templates, self.anchor, strict=True)]
+        self.needed = [frozenset(w for key in template.keys for w in key) for template in self.templates]
+        self.weight = [sum(map(idf.__getitem__, template.words)) for template in self.templates]
+        self.postings: dict[bytes, dict[int, list[int]]] = {word: {} for word in idf}
+        for t, key in enumerate(self.anchor):
+            for position, word in enumerate(key):
+                self.postings[word].setdefault(t, []).append(position)
+        # Highest IDF first; words of one IDF in their own order.
+        self.ranked = sorted(idf, key=lambda w: (-idf[w], w))
+        self.place_of = {word: k for k, word in enumerate(self.ranked)}
+        self.vocabulary = frozenset(idf)
+
+    def candidates(self, t: int, rarest_first: list[bytes], positions: dict[bytes, list[int]]) -> list[int]:
+        """Where the anchor of template t may begin: what the postings of the file's rarest words agree on."""
+        agreed: set[int] | None = None
+        looked_up = [w for w in rarest_first if t in self.postings[w]][: self.rare_words]
+        for word in looked_up:
+            starts = {at - relative for at in positions[word] for relative in self.postings[word][t]}
+            agreed = starts if agreed is None else agreed & starts
+            if not agreed:
+                break
+        return sorted(agreed or ())
+
+    def share(self, t: int, words: list[bytes], at: int) -> float:
+        """How much of template t, by weight, stands around its anchor at ``at``; 0 if a key phrase lacks."""
+        template = self.templates[t]
+        start = at - self.offset[t]
+        low, high = max(0, start - self.slack), start + len(template.words) + self.slack
+        if not all(_places(words, key, low, high) for key in template.keys):
+            return 0.0
+        return min(1.0, weight_in_order(template.words, words[low:high], self.idf) / self.weight[t])
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, str]], set[str], float]:
         """Base places (start, label), labels of all kinds, and the best share of a template's weight."""
-        found = self.rare.intersection(words)
-        if not found:
+        held = self.vocabulary.intersection(words)
+        possible = [t for t, needed in enumerate(self.needed) if needed <= held]
+        if not possible:
             return [], set(), 0.0
-        starts: dict[tuple[int, int], float] = defaultdict(float)
+        rarest_first = sorted(held, key=self.place_of.__getitem__)
+        wanted = {w for t in possible for w in self.anchor[t]}
+        positions: dict[bytes, list[int]] = defaultdict(list)
         for position, word in enumerate(words):
-            if word in found:
-                for t, relative in self.postings[word]:
-                    starts[t, position - relative] += self.idf[word]
+            if word in wanted:
+                positions[word].append(position)
         places, labels, best = set(), set(), 0.0
-        for t, start in starts:
-            template = self.templates[t]
-            if template.base:
-                if _holds(words, start, template.words):
-                    places.add((start, template.label))
+        for t in possible:
+            template, anchor = self.templates[t], self.anchor[t]
+            for at in self.candidates(t, rarest_first, positions):
+                if at < 0 or tuple(words[at : at + len(anchor)]) != anchor:
+                    continue
+                if template.base:
+                    places.add((at, template.label))
                     labels.add(template.label)
                     best = 1.0
-                continue
-            low, high = max(0, start), start + len(template.words)
-            same = sum(self.idf[w] for k, w in enumerate(template.words) if 0 <= start + k < len(words) and words[start + k] == w)
-            share = min(1.0, same / self.weight[t])
-            if share >= self.least and all(any(_holds(words, at, key) for at in range(max(0, low - 2), high + 2)) for key in template.keys):
-                labels.add(template.label)
-                best = max(best, share)
+                elif template.label not in labels or best < 1.0:
+                    share = self.share(t, words, at)
+                    if share >= self.least:
+                        labels.add(template.label)
+                        best = max(best, share)
         return sorted(places), labels, best
 
 
@@ -127,15 +181,21 @@ def word_idf(docs: DataFrame, *, text_col: str = "text") -> dict[bytes, float]:
     return {word: math.log((1 + rows) / (1 + counted.get(word, 0))) + 1e-3 for word in vocabulary}
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 3, least: float = 0.7) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rare_words: int = 3, least: float = 0.7, slack: int = 6) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of each row's whole text.
 
     n_base counts all places of base phrases; first_word and last_word are their
     smallest and largest start (null without any).  A null or empty text has no
     words, no labels (empty strings) and score 0.  Repeated rows are scanned
-    each; an empty table gives no rows; other columns are not read.
+    each, and so is a row without doc_id; an empty table gives no rows; other
+    columns are not read.
+
+    rare_words: of how many of a file's highest-IDF words the postings of a
+    template are intersected.  least: share of a notice's weight that must stand
+    around its key phrases, in order, with up to ``slack`` words more on a side.
+    score is the greatest such share, 1 for a base phrase.
     """
-    index = PositionalIndex(word_idf(docs, text_col=text_col), rare_words, least)
+    index = PositionalIndex(word_idf(docs, text_col=text_col), rare_words, least, slack)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
