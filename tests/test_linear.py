@@ -113,6 +113,13 @@ def test_random_moments(spark):
     assert (row[0], row[1]) == (-2, 2) and abs(row[2]) < 0.1
     with pytest.raises(ValueError):
         fn.randint(1, 1, "id")
+    # Neighbours tell nothing of each other, nor do other streams and seeds.
+    df = spark.range(20_000).select(fn.rand("id").alias("a"), fn.rand(F.col("id") + 1).alias("b"), fn.rand("id", stream=1).alias("c"), fn.rand("id", seed=43).alias("d"), fn.rand(F.lit(5), "id").alias("e"))
+    x = np.array(df.toPandas())
+    assert np.abs(np.corrcoef(x.T) - np.eye(5)).max() < 0.03 and np.abs(x.mean(0) - 0.5).max() < 0.01 and np.abs(x.var(0) - 1 / 12).max() < 0.003
+    counts = np.histogram2d(x[:, 0], x[:, 1], bins=10)[0]
+    assert ((counts - 200) ** 2 / 200).sum() < 200  # chi square of 99 degrees
+    assert spark.range(-50, 50).select(fn.hash62(F.col("id") * (1 << 40)).alias("h")).distinct().count() == 100
 
 
 def test_randperm(spark):
@@ -140,7 +147,7 @@ def test_orthonormalize_query_has_all_vectors_whole(spark, tmp_path):
             for u in made:
                 v = v - v @ u * u
             made.append(v / np.linalg.norm(v))
-        assert np.allclose([rows[first + k] for k in range(len(made))], made)
+        assert np.allclose([rows[first + k] for k in range(len(made))], made, atol=1e-5)
 
 
 def test_decompositions_have_all_coordinates(spark, tmp_path):
@@ -158,7 +165,7 @@ def test_decompositions_have_all_coordinates(spark, tmp_path):
         ("pca", "explained_variance", "component", lambda s: np.cov(x[s].T)),
         ("nanpca", "explained_variance", "component", lambda s: pairwise(holes[s])),
     ):
-        rows = plans.queries()[name](spark, str(tmp_path)).collect()
+        rows = plans.queries()[f"{name}_rows"](spark, str(tmp_path)).collect()
         for label in range(3):
             want = of(np.arange(300) % 3 == label)
             own = sorted((r for r in rows if r.label == label), key=lambda r: r.k)
@@ -178,3 +185,40 @@ def test_covariance_of_vectors(spark):
         got = {(r.b, r.r, r.c): r.x for r in covariance_of_vectors(df, ["b"], "v", skip_missing=skip).collect()}
         want = {(r.b, r.r, r.c): r.x for r in covariance(cells, ["b"], "s", "d", "x", skip_missing=skip).collect()}
         assert set(got) == set(want) and same([got[k] for k in want], list(want.values()), 1e-6)
+
+
+def test_missing_values_give_null(spark):
+    hole = [(0, 0, 1.0), (0, 1, NAN), (1, 0, None), (1, 1, 2.0)]
+    df = spark.createDataFrame(hole, "r int, c int, x double")
+    other = spark.createDataFrame([(0, 0, 1.0), (1, 0, 0.0)], "r int, c int, x double")
+    rows = {(r.i0, r.i1): r.x for r in op.einsum("ij,jk->ik", (df, ["r", "c"]), (other, ["r", "c"])).collect()}
+    assert rows == {(0, 0): None, (1, 0): None}
+    ones = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 2.0)], "r int, c int, x double")
+    rows = {(r.i0, r.i1): r.x for r in op.project((ones, ["r", "c"]), (df, ["r", "c"])).collect()}
+    assert rows == {(0, 0): None, (0, 1): None, (1, 0): None, (1, 1): None}
+    assert op.einsum("ii->", (df, ["r", "c"])).first().x == 3.0
+
+
+def test_decompositions_of_matrices_with_holes(spark):
+    good = [(0, r, c, float(4 * (r == c) + 1)) for r in range(3) for c in range(3)]
+    hole = [(1, r, c, NAN if (r, c) == (2, 0) else 1.0) for r in range(3) for c in range(3)]
+    upper = [(2, r, c, None if (r, c) == (0, 1) else float(r == c)) for r in range(2) for c in range(2)]
+    df = spark.createDataFrame(good + hole + upper, "b int, r int, c int, x double")
+    rows = op.eigh(df, ["b"]).orderBy("b", "k").collect()
+    assert same([r.eigenvalue for r in rows], [4, 4, 7, None, None, None, 1, 1]) and [r.eigenvector is None for r in rows] == [False] * 3 + [True] * 3 + [False] * 2
+    assert same([r.explained_variance for r in op.pca_cov(df, ["b"]).orderBy("b", "k").collect()], [7, 4, 4] + [None] * 5)
+    assert [r.vector is None for r in op.orthonormalize(df.where("b < 2"), ["b"]).orderBy("b", "r").collect()] == [False] * 3 + [True] * 3
+    # A matrix of which only one triangle has rows.
+    half = spark.createDataFrame([(0, 1, 0, 2.0)], "b int, r int, c int, x double")
+    assert same([r.eigenvalue for r in op.eigh(half, ["b"]).orderBy("k").collect()], [-2, 2])
+
+
+def test_pca_with_a_missing_value(spark):
+    rng = np.random.default_rng(9)
+    rows = [(b, s, d, None if (b, s, d) == (1, 3, 1) else float(x)) for b in range(2) for (s, d), x in np.ndenumerate(rng.normal(size=(20, 3)))]
+    df = spark.createDataFrame(rows, "b int, s int, d int, x double")
+    found = {r.b: r.explained_variance is None for r in op.pca(df, ["b"], "s", "d", "x").collect()}
+    assert found == {0: False, 1: True}
+    assert all(r.explained_variance is not None for r in op.nanpca(df, ["b"], "s", "d", "x").collect())
+    alone = df.where("b = 0").withColumn("x", F.when((F.col("d") == 0) & (F.col("s") > 0), F.lit(NAN)).otherwise(F.col("x")))
+    assert all(r.explained_variance is None for r in op.nanpca(alone, ["b"], "s", "d", "x").collect())

@@ -22,6 +22,6 @@ from .reductions import (
     slope,
 )
 from .scans import bfill, cumcount, ffill, group_shift, nancumprod, nancumsum, nanshift, rcummax, rcumsum, shift, stable_rank
-from .scalars import fillna, nanones, rand, randint, randn, signif
+from .scalars import fillna, hash62, nanones, rand, randint, randn, signif
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -29,13 +29,44 @@ def signif(x: ColumnLike, decimals: int = 6) -> Column:
     return F.when(F.abs(v) == math.inf, v).otherwise(F.rint(v * scale) / scale)
 
 
-def _bits(seed: int, stream: int, ids: tuple[ColumnLike, ...]) -> Column:
-    return F.xxhash64(F.lit(seed), F.lit(stream), *map(as_column, ids))
+#: Rounds of the hash behind random columns: bits to flip, a multiplier below 2**30, and a prime just below 2**31.
+#: Flipping bits and multiplying modulo a prime are each linear; together they are not.
+ROUNDS = ((1779033703, 1032193391, 2147483629), (1013904242, 784588716, 2147483587), (1359893119, 630360016, 2147483563), (528734635, 950706376, 2147483647))
+PRIME = ROUNDS[-1][2]
+
+
+def start_of(seed: int, stream: int) -> int:
+    """Where the hash of a stream begins."""
+    return (seed * 69621 + stream * 40692 + 12345) % PRIME
+
+
+def _hash31(seed: int, stream: int, ids: tuple[ColumnLike, ...]) -> Column:
+    """From 0 to 2**31 - 2, in bigint arithmetic that can't overflow, so that any engine gives the same."""
+    made = F.lit(start_of(seed, stream)).cast("bigint")
+    for column in ids:
+        number = as_column(column).cast("bigint")
+        low = F.pmod(number, F.lit(PRIME))
+        high = F.pmod(F.floor(F.shiftright(number, 31)), F.lit(PRIME))
+        for part in (low, high):
+            made = made + part
+            for flipped, times, prime in ROUNDS:
+                made = F.pmod(made.bitwiseXOR(F.lit(flipped).cast("bigint")) * F.lit(times) + F.lit(1), F.lit(prime))
+    return made
+
+
+def hash62(*ids: ColumnLike, seed: int = 42, stream: int = 0) -> Column:
+    """A bigint from 0 to below 2**62, a function of the seed and the row's ids alone."""
+    return _hash31(seed, 2 * stream, ids) * F.lit(1 << 31) + _hash31(seed, 2 * stream + 1, ids)
 
 
 def rand(*ids: ColumnLike, seed: int = 42, stream: int = 0) -> Column:
-    """Uniform in [0, 1), a function of the seed and the row's ids alone."""
-    return F.shiftrightunsigned(_bits(seed, stream, ids), 11).cast("double") * F.lit(2.0**-53)
+    """Uniform in [0, 1), a function of the seed and the row's ids alone.
+
+    Ids are whole numbers; an id of another type goes in as a hash of it, such as
+    ``F.xxhash64("name")``.  NULL where an id is.
+    """
+    fine = F.floor(_hash31(seed, 2 * stream + 1, ids) / F.lit(512.0)).cast("double") / F.lit(float(1 << 22))
+    return (_hash31(seed, 2 * stream, ids).cast("double") + fine) / F.lit(float(PRIME))
 
 
 def randn(*ids: ColumnLike, seed: int = 42) -> Column:
@@ -48,4 +79,4 @@ def randint(low: int, high: int, *ids: ColumnLike, seed: int = 42) -> Column:
     """Integers from low to high - 1."""
     if high <= low:
         raise ValueError("high must be above low")
-    return F.lit(low) + F.pmod(_bits(seed, 3, ids), F.lit(high - low))
+    return F.lit(low) + F.pmod(hash62(*ids, seed=seed, stream=3), F.lit(high - low))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -10,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.reductions import covar, nancovar
 from ..series import Series, divide, present
 
 
@@ -39,6 +39,8 @@ def _subscripts(equation: str, ranks: list[int]) -> tuple[list[list[str]], list[
 def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "x") -> DataFrame:
     """Sum of products over coordinate rows; absent coordinates are zeros.
 
+    A missing value makes every sum that it enters NULL, as it does an infinite
+    value times zero or less another.
     An operand is a table with its index columns, in order, and a value column.
     The result has a column i0, i1, ... for each index and the value.  Indices
     that only one operand has and the result lacks are summed before the join;
@@ -54,7 +56,7 @@ def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "
             if first != k:
                 same = same & (F.col(columns[k]) == F.col(columns[first]))
         own = list(dict.fromkeys(names))
-        term = df.where(same).select(*(F.col(columns[names.index(n)]).alias(n) for n in own), F.col(value).cast("double").alias(f"_v{number}"))
+        term = df.where(same).select(*(F.col(columns[names.index(n)]).alias(n) for n in own), F.coalesce(F.col(value).cast("double"), F.lit(math.nan)).alias(f"_v{number}"))
         elsewhere = {n for k, other in enumerate(inputs) if k != number for n in other} | set(output)
         kept = [n for n in own if n in elsewhere]
         if len(kept) < len(own):
@@ -72,7 +74,8 @@ def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "
             made, have = made.groupBy(*rest).agg(F.sum("_v").alias("_v")), rest
     if len(set(output)) < len(output) or not set(output) <= set(have):
         raise ValueError("the result names an index that no operand has, or one twice")
-    total = made.groupBy(*output).agg(F.sum("_v").alias(value)) if output else made.agg(F.sum("_v").alias(value))
+    # NaN stays NaN in products and sums, and becomes NULL at the end.
+    total = made.groupBy(*output).agg(present(F.sum("_v")).alias(value)) if output else made.agg(present(F.sum("_v")).alias(value))
     return total.select(*(F.col(n).alias(f"i{k}") for k, n in enumerate(output)), value)
 
 
@@ -92,29 +95,34 @@ def orthogonalize(df: DataFrame, x: str, y: str, keys: list[str], *, out: str =
 Matrix = tuple[str, str, str]
 
 
-def _dense(table: pa.Table, row: str, column: str, value: str) -> tuple[np.ndarray, list, list]:
-    rows, at_row = np.unique(table.column(row).to_numpy(), return_inverse=True)
-    columns, at_column = np.unique(table.column(column).to_numpy(), return_inverse=True)
+def _dense(table: pa.Table, row: str, column: str, value: str, square: bool) -> tuple[np.ndarray, list]:
+    """The matrix, with zeros where there is no row and NaN where the value is missing, and the names of its rows."""
+    r, c = table.column(row).to_numpy(), table.column(column).to_numpy()
+    rows, at_row = np.unique(np.concatenate([r, c]) if square else r, return_inverse=True)
+    columns, at_column = (rows, at_row[len(r) :]) if square else np.unique(c, return_inverse=True)
     matrix = np.zeros((len(rows), len(columns)))
-    matrix[at_row, at_column] = table.column(value).to_numpy()
-    return matrix, rows.tolist(), columns.tolist()
+    matrix[at_row[: len(r)], at_column] = table.column(value).to_numpy()
+    return matrix, rows.tolist()
 
 
-def _per_matrix(df: DataFrame, keys: list[str], names: Matrix, f: Callable[[np.ndarray, list, list], dict], fields: str) -> DataFrame:
-    """Applies f to each group's matrix; it returns columns of Python lists."""
+def _per_matrix(df: DataFrame, keys: list[str], names: Matrix, f: Callable[[np.ndarray, list], dict], fields: str, *, square: bool = True) -> DataFrame:
+    """Applies f to each group's matrix; it returns columns of Python lists.  Rows without a row or column name are left out."""
     row, column, value = names
-    rows = df.select(*keys, row, column, F.col(value).cast("double").alias(value))
+    rows = df.select(*keys, row, column, F.col(value).cast("double").alias(value)).dropna(subset=[row, column])
 
     def run(table):
-        made = f(*_dense(table, row, column, value))
+        made = f(*_dense(table, row, column, value, square))
         n = len(next(iter(made.values())))
         first = table.slice(0, 1)
-        return pa.table({k: pa.concat_arrays([first.column(k).combine_chunks()] * n) if n else first.column(k).slice(0, 0) for k in keys} | {k: pa.array(v, table.schema.field(row).type if k == "r" else None) for k, v in made.items()})
+        return pa.table({k: pa.concat_arrays([first.column(k).combine_chunks()] * n) if n else first.column(k).slice(0, 0) for k in keys} | {k: pa.array(v, _KINDS.get(k, table.schema.field(row).type)) for k, v in made.items()})
 
     schema = ", ".join([*(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys), fields])
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
+_KINDS = {"k": pa.int64(), "eigenvalue": pa.float64(), "explained_variance": pa.float64(), **dict.fromkeys(("eigenvector", "component", "vector"), pa.list_(pa.float64()))}
+
+
 def _signed(vectors: np.ndarray) -> np.ndarray:
     """Rows with their largest entry (of equals the first) made positive: signs are free, so they are fixed."""
     at = np.argmax(np.round(np.abs(vectors), 9), axis=1)
@@ -122,36 +130,54 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
     return vectors * np.where(signs == 0, 1.0, signs)[:, None]
 
 
+def _symmetric(matrix: np.ndarray, lower: bool) -> tuple[list, list]:
+    """Ascending eigenvalues and signed eigenvectors; None for all of them if the triangle that is read has a hole or an infinity."""
+    if not np.isfinite(np.tril(matrix) if lower else np.triu(matrix)).all():
+        return [None] * len(matrix), [None] * len(matrix)
+    values, vectors = np.linalg.eigh(matrix, UPLO="L" if lower else "U")
+    return values.tolist(), _signed(vectors.T).tolist()
+
+
 def eigh(df: DataFrame, keys: list[str], names: Matrix = ("r", "c", "x"), *, lower: bool = True) -> DataFrame:
-    """``keys, k, eigenvalue, eigenvector``: ascending; of the matrix only one triangle is read."""
+    """``keys, k, eigenvalue, eigenvector``: ascending; of the matrix only one triangle is read.
 
-    def f(matrix, rows, columns):
-        values, vectors = np.linalg.eigh(matrix, UPLO="L" if lower else "U")
-        return {"k": list(range(len(values))), "eigenvalue": values.tolist(), "eigenvector": _signed(vectors.T).tolist()}
+    Absent coordinates are zeros.  A missing or infinite value in the triangle
+    makes all of the matrix's eigenvalues and eigenvectors NULL.
+    """
+
+    def f(matrix, rows):
+        values, vectors = _symmetric(matrix, lower)
+        return {"k": list(range(len(values))), "eigenvalue": values, "eigenvector": vectors}
 
     return _per_matrix(df, keys, names, f, "k bigint, eigenvalue double, eigenvector array<double>")
 
 
 def orthonormalize(df: DataFrame, keys: list[str], names: Matrix = ("r", "c", "x")) -> DataFrame:
-    """``keys, r, vector``: the rows of each matrix made orthonormal in order, as Gram and Schmidt do."""
+    """``keys, r, vector``: the rows of each matrix made orthonormal in order, as Gram and Schmidt do.
+
+    Absent coordinates are zeros.  With a missing or infinite value all of the
+    matrix's vectors are NULL.
+    """
 
-    def f(matrix, rows, columns):
+    def f(matrix, rows):
         if matrix.shape[0] > matrix.shape[1]:
             raise ValueError("more vectors than dimensions")
+        if not np.isfinite(matrix).all():
+            return {"r": rows, "vector": [None] * len(rows)}
         q, r = np.linalg.qr(matrix.T)
         signs = np.sign(np.diag(r))
         return {"r": rows, "vector": (q * np.where(signs == 0, 1.0, signs)[None, :]).T.tolist()}
 
     kind = df.schema[names[0]].dataType.simpleString()
-    return _per_matrix(df, keys, names, f, f"r {kind}, vector array<double>")
+    return _per_matrix(df, keys, names, f, f"r {kind}, vector array<double>", square=False)
 
 
 def pca_cov(df: DataFrame, keys: list[str], names: Matrix = ("r", "c", "x")) -> DataFrame:
-    """``keys, k, explained_variance, component`` of covariance matrices, by falling variance."""
+    """``keys, k, explained_variance, component`` of covariance matrices, by falling variance; NULL as in eigh."""
 
-    def f(matrix, rows, columns):
-        values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
-        return {"k": list(range(len(values))), "explained_variance": values[::-1].tolist(), "component": _signed(vectors.T[::-1]).tolist()}
+    def f(matrix, rows):
+        values, vectors = _symmetric((matrix + matrix.T) / 2, True)
+        return {"k": list(range(len(values))), "explained_variance": values[::-1], "component": vectors[::-1]}
 
     return _per_matrix(df, keys, names, f, "k bigint, explained_variance double, component array<double>")
 
@@ -159,24 +185,27 @@ def pca_cov(df: DataFrame, keys: list[str], names: Matrix = ("r", "c", "x")) ->
 def covariance(df: DataFrame, keys: list[str], section: str, dimension: str, value: str, *, skip_missing: bool, ddof: int = 1) -> DataFrame:
     """``keys, r, c, x``: covariances of each pair of dimensions over the sections both have rows for.
 
-    A section's rows meet each other, which is the matrix's own size for each
-    section; sums are combined before they are shuffled.
+    A section's rows become one array over the group's dimensions, whose matrices
+    of sums are added up in tasks: no row meets another in a join.  A section has
+    one row of a dimension at most; rows with a null key, section or dimension
+    are left out.
     """
-    a = df.select(*keys, section, F.col(dimension).alias("r"), F.col(value).alias("_a"))
-    b = df.select(*keys, section, F.col(dimension).alias("c"), F.col(value).alias("_b"))
-    lower = a.join(b, [*keys, section]).where("r >= c")
-    kind = nancovar if skip_missing else covar
-    half = lower.groupBy(*keys, "r", "c").agg(kind("_a", "_b", ddof).alias("x"))
-    return half.union(half.where("r > c").select(*keys, F.col("c").alias("r"), F.col("r").alias("c"), "x"))
+    rows = df.dropna(subset=[*keys, section, dimension]).select(*keys, F.col(section).alias("_section"), F.col(dimension).alias("_at"), F.coalesce(F.col(value).cast("double"), F.lit(math.nan)).alias("_x"))
+    names = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_names"))
+    sections = rows.groupBy(*keys, "_section").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_map"))
+    join = (lambda a: a.join(names, keys)) if keys else (lambda a: a.crossJoin(F.broadcast(names)))  # one row
+    vectors = join(sections).select(*keys, F.transform("_names", lambda name: F.try_element_at("_map", name)).alias("_vector"))
+    found = join(_vector_covariance(vectors, keys, "_vector", skip_missing, ddof))
+    return found.select(*keys, F.get("_names", F.col("r")).alias("r"), F.get("_names", F.col("c")).alias("c"), "x")
 
 
 def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """``keys, r, c, n, n_all, x, y, xy`` for each pair r >= c of an array column's coordinates.
 
     Over the rows that have both: their number, the sums of each and of the
-    products; n_all counts rows with a missing value too.  Tasks add up whole
-    matrices, so a row never meets itself in a join.  Rows with a missing key
-    are left out.
+    products; n_all counts rows with NaN too, but not those with a NULL or a
+    shorter array.  Tasks add up whole matrices, so a row never meets itself in
+    a join.  Rows with a missing key are left out.
     """
     rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_vector")).dropna(subset=[*keys, "_vector"])
     kinds = [rows.schema[k].dataType for k in keys]
@@ -200,7 +229,9 @@ def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
             width = int(lengths.max(initial=0))
             there = np.arange(width) < lengths[:, None]
             values = np.full(there.shape, np.nan)
-            values[there] = vectors.flatten().to_numpy(zero_copy_only=False)
+            flat = vectors.flatten()
+            values[there] = flat.to_numpy(zero_copy_only=False)
+            there[there] = flat.is_valid().to_numpy(zero_copy_only=False)
             tuples = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys))), strict=True)) or [()] * len(lengths)
             codes: dict[tuple, int] = {}
             of = np.array([codes.setdefault(k, len(codes)) for k in tuples], np.int64)
@@ -238,25 +269,34 @@ def gram_of_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def covariance_of_vectors(df: DataFrame, keys: list[str], vector: str, *, skip_missing: bool, ddof: int = 1) -> DataFrame:
-    """As covariance, of an array column's coordinates."""
+    """As covariance, of an array column's coordinates; NULL and NaN are missing, a shorter array has no row."""
+    holes = F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(math.nan)))
+    return _vector_covariance(df.select(*keys, holes.alias("_vector")), keys, "_vector", skip_missing, ddof)
+
+
+def _vector_covariance(df: DataFrame, keys: list[str], vector: str, skip_missing: bool, ddof: int) -> DataFrame:
     # Sums of products lose no digits once values are near zero; the shift itself cancels out.
     cells = df.dropna(subset=keys).select(*keys, F.posexplode(vector).alias("_at", "_x"))
     mean = cells.groupBy(*keys, "_at").agg(F.avg(present("_x")).alias("_m"))
     mean = mean.withColumn("_m", F.when(F.abs("_m") < float("inf"), F.col("_m")).otherwise(0.0))
     means = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("_means"))
     # Shorter vectors stay so.
-    near = F.transform(F.col(vector).cast("array<double>"), lambda x, k: x - F.get("_means", k))
-    sums = pair_sums(df.join(means, keys).select(*keys, near.alias("_near")), keys, "_near")
+    near = F.transform(F.col(vector), lambda x, k: x - F.get("_means", k))
+    joined = df.join(means, keys) if keys else df.crossJoin(F.broadcast(means))  # one row
+    sums = pair_sums(joined.select(*keys, near.alias("_near")), keys, "_near")
     value = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - ddof)
     enough = F.col("n") > ddof if skip_missing else (F.col("n") > ddof) & (F.col("n") == F.col("n_all"))
-    return _both_triangles(sums.select(*keys, "r", "c", F.when(enough & (F.col("n") > 0), value).alias("x")), keys)
+    return _both_triangles(sums.select(*keys, "r", "c", F.when(enough & (F.col("n") > 0), present(value)).alias("x")), keys)
 
 
 def pca(df: DataFrame, keys: list[str], section: str, dimension: str, value: str) -> DataFrame:
-    """Principal components of the sample covariance over sections."""
+    """Principal components of the sample covariance over sections; NULL for a group with a missing value."""
     return pca_cov(covariance(df, keys, section, dimension, value, skip_missing=False), keys)
 
 
 def nanpca(df: DataFrame, keys: list[str], section: str, dimension: str, value: str) -> DataFrame:
-    """Principal components of pairwise covariances; with missing values a variance may be negative."""
+    """Principal components of pairwise covariances; with missing values a variance may be negative.
+
+    NULL for a group in which a pair of dimensions has fewer than two common rows.
+    """
     return pca_cov(covariance(df, keys, section, dimension, value, skip_missing=True), keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rand, randint, randn
+from ..functions.scalars import hash62, rand, randint, randn
 
 
 def rand_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
@@ -42,8 +42,8 @@ def randperm(spark: SparkSession, n: int, seed: int = 42, buckets: int | None =
     from pyspark.sql import Window
 
     ranges = buckets or max(1, n // 1_000_000)
-    rows = spark.range(n).withColumn("_h", F.xxhash64(F.lit(seed), "id"))
-    rows = rows.withColumn("_range", F.floor((F.shiftrightunsigned("_h", 1) / F.lit(2.0**63)) * ranges))
+    rows = spark.range(n).withColumn("_h", hash62("id", seed=seed, stream=4))
+    rows = rows.withColumn("_range", F.floor(F.col("_h") / F.lit(2.0**62) * ranges))
     rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy("_range").orderBy("_h", "id")) - 1)
     counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")

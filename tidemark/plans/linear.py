@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+import math
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .. import operators as op
+from ..functions.scalars import PRIME, ROUNDS, start_of
 from ..operators.linalg import covariance, covariance_of_vectors, gram_of_vectors
 from ..sources import read_table
 from .common import Query, rounded, sql_rounded
 
-#: Coordinates of the embeddings that the matrices with SQL beside them use, of 64; the decompositions use all.
-DIMENSIONS = 6
-
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``vec_id, label, idx, x``: the embeddings' coordinates as rows."""
@@ -38,7 +37,7 @@ def einsum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def einsum_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gram matrices of each label's coordinates: bsi,bsj->bij."""
-    x = cells(spark, sf_dir).where(F.col("idx") < DIMENSIONS)
+    x = cells(spark, sf_dir)
     made = op.einsum("bsi,bsj->bij", (x, ["label", "vec_id", "idx"]), (x, ["label", "vec_id", "idx"]))
     return made.select(F.col("i0").alias("label"), F.col("i1").alias("a"), F.col("i2").alias("b"), rounded("x").alias("x"))
 
@@ -60,65 +59,113 @@ def _gram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gram_of_vectors(x, ["label"], "embedding").withColumn("x", rounded("x"))
 
 
-def eigh(spark: SparkSession, sf_dir: str) -> DataFrame:
+def eigh_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eigenvalues and eigenvectors of each label's Gram matrix."""
     made = op.eigh(_gram(spark, sf_dir), ["label"])
     return made.select("label", "k", rounded("eigenvalue", 4).alias("eigenvalue"), F.transform("eigenvector", lambda v: rounded(v, 4)).alias("eigenvector"))
 
 
+def _rebuilt(parts: DataFrame, value: str, vector: str, sign: int) -> DataFrame:
+    """``label, r, c, x, same, ordered``: each matrix put together again from its values and vectors.
+
+    x is the sum of value times vector times vector, same the sum without the
+    values (1 on the diagonal, else 0, as vectors are orthonormal), and ordered
+    how many values follow the one before in the order asked for, or equal it.
+    """
+    order = Window.partitionBy("label").orderBy("k")
+    follows = F.coalesce((F.col(value) - F.lag(value).over(order)) * sign >= 0, F.lit(True)).cast("int")
+    rows = parts.select("label", "k", value, vector, follows.alias("follows"))
+    rows = rows.select("*", F.posexplode(vector).alias("r", "a")).select("label", "follows", value, "r", "a", F.posexplode(vector).alias("c", "b"))
+    share = F.col("a") * F.col("b")
+    made = rows.groupBy("label", "r", "c").agg(rounded(F.sum(F.col(value) * share), 4).alias("x"), rounded(F.sum(share), 4).alias("same"), F.sum("follows").alias("ordered"))
+    return made
+
+
+def eigh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label's Gram matrix, rebuilt from what eigh gives."""
+    return _rebuilt(op.eigh(_gram(spark, sf_dir), ["label"]), "eigenvalue", "eigenvector", 1)
+
+
 def orthonormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, in blocks of four, whole."""
     rows = cells(spark, sf_dir).withColumn("b", F.floor(F.col("vec_id") / 4))
-    return op.orthonormalize(rows, ["b"], ("vec_id", "idx", "x")).withColumnRenamed("r", "vec_id")
+    made = op.orthonormalize(rows, ["b"], ("vec_id", "idx", "x"))
+    return made.select("b", F.col("r").alias("vec_id"), F.transform("vector", lambda x: rounded(x, 5)).alias("vector"))
 
 
-def _with_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = cells(spark, sf_dir).where(F.col("idx") < DIMENSIONS)
-    return x.withColumn("x", F.when((F.col("vec_id") + F.col("idx")) % 10 == 0, F.lit(float("nan"))).otherwise(F.col("x")))
+def _vectors(spark: SparkSession, sf_dir: str, holes: bool) -> DataFrame:
+    """``label, embedding``, with NaN in every tenth cell where holes are asked for."""
+    x = read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"])
+    cut = F.transform("embedding", lambda v, k: F.when((F.col("vec_id") + k) % 10 == 0, F.lit(float("nan"))).otherwise(v.cast("double")))
+    return x.select("label", (cut if holes else F.col("embedding")).alias("embedding"))
 
 
 def _covariance(skip: bool) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = _with_holes(spark, sf_dir) if skip else cells(spark, sf_dir).where(F.col("idx") < DIMENSIONS)
-        return covariance(x, ["label"], "vec_id", "idx", "x", skip_missing=skip).select("label", "r", "c", rounded("x").alias("x"))
+        made = covariance_of_vectors(_vectors(spark, sf_dir, skip), ["label"], "embedding", skip_missing=skip)
+        return made.select("label", "r", "c", rounded("x").alias("x"))
 
     return query
 
 
+def covariance_of_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from rows of coordinates, a tenth of which are missing."""
+    x = cells(spark, sf_dir)
+    x = x.withColumn("x", F.when((F.col("vec_id") + F.col("idx")) % 10 == 0, F.lit(float("nan"))).otherwise(F.col("x")))
+    return covariance(x, ["label"], "vec_id", "idx", "x", skip_missing=True).select("label", "r", "c", rounded("x").alias("x"))
+
+
 def _covariance_sql(skip: bool) -> str:
     x = "CASE WHEN (vec_id + idx) % 10 = 0 THEN NULL ELSE x END" if skip else "x"
-    return f"WITH {CELLS}, h AS (SELECT vec_id, label, idx, {x} AS x FROM c WHERE idx < {DIMENSIONS}) SELECT a.label, a.idx::INT AS r, b.idx::INT AS c, {sql_rounded('covar_samp(a.x, b.x)')} AS x FROM h a JOIN h b USING (label, vec_id) GROUP BY a.label, a.idx, b.idx"
+    return f"WITH {CELLS}, h AS (SELECT vec_id, label, idx, {x} AS x FROM c) SELECT a.label, a.idx::INT AS r, b.idx::INT AS c, {sql_rounded('covar_samp(a.x, b.x)')} AS x FROM h a JOIN h b USING (label, vec_id) GROUP BY a.label, a.idx, b.idx"
+
+
+def _rebuilt_sql(matrix: str) -> str:
+    """The matrix itself, from SQL for ``label, r, c, x``."""
+    return f"SELECT label, r, c, {sql_rounded('x', 4)} AS x, (r = c)::INT::DOUBLE AS same, count(*) OVER (PARTITION BY label, r) AS ordered FROM ({matrix})"
 
 
 def _components(df: DataFrame) -> DataFrame:
     return df.select("label", "k", rounded("explained_variance", 4).alias("explained_variance"), F.transform("component", lambda v: rounded(v, 4)).alias("component"))
 
 
-def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = read_table(spark, sf_dir, "embeddings", ["label", "embedding"])
-    return _components(op.pca_cov(covariance_of_vectors(x, ["label"], "embedding", skip_missing=False), ["label"]))
+def _pca(holes: bool) -> Query:
+    def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = covariance_of_vectors(_vectors(spark, sf_dir, holes), ["label"], "embedding", skip_missing=holes)
+        return op.pca_cov(x, ["label"])
 
+    return parts
 
-def pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _components(op.pca_cov(_gram(spark, sf_dir), ["label"]))
 
+def _pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.pca_cov(_gram(spark, sf_dir), ["label"])
 
-def nanpca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = read_table(spark, sf_dir, "embeddings", ["vec_id", "label", "embedding"])
-    holes = F.transform("embedding", lambda v, k: F.when((F.col("vec_id") + k) % 10 == 0, F.lit(float("nan"))).otherwise(v.cast("double")))
-    x = x.select("label", holes.alias("embedding"))
-    return _components(op.pca_cov(covariance_of_vectors(x, ["label"], "embedding", skip_missing=True), ["label"]))
+
+def _component_rows(parts: Query) -> Query:
+    """Variances and components themselves."""
+    return lambda spark, sf_dir: _components(parts(spark, sf_dir))
+
+
+def _component_matrix(parts: Query) -> Query:
+    """The matrix rebuilt from variances and components."""
+    return lambda spark, sf_dir: _rebuilt(parts(spark, sf_dir), "explained_variance", "component", -1)
+
+
+def _rows(spark: SparkSession, sf_dir: str) -> int:
+    """As many random numbers as there are events."""
+    return read_table(spark, sf_dir, "events", ["event_id"]).count()
 
 
 def rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.rand_table(spark, 10_000)
+    return op.rand_table(spark, _rows(spark, sf_dir))
 
 
 def randn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.randn_table(spark, 10_000)
+    return op.randn_table(spark, _rows(spark, sf_dir)).select("id", rounded("value", 9).alias("value"))
 
 
 def randint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.randint_table(spark, -5, 6, 10_000)
+    return op.randint_table(spark, -5, 6, _rows(spark, sf_dir))
 
 
 def rand_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +173,60 @@ def rand_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def randn_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.with_randn(read_table(spark, sf_dir, "customer", ["c_custkey"]), "c_custkey")
+    return op.with_randn(read_table(spark, sf_dir, "customer", ["c_custkey"]), "c_custkey").select("c_custkey", rounded("randn", 9).alias("randn"))
 
 
 def randperm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each value once; ids and values are checked as sets."""
-    made = op.randperm(spark, 5_000, buckets=4)
-    return made.agg(F.count_distinct("id").alias("ids"), F.count_distinct("value").alias("values"), F.min("value").alias("least"), F.max("value").alias("most"), F.sum("value").alias("total"))
+    """A permutation as long as the event table, from four ranges of the hash."""
+    return op.randperm(spark, _rows(spark, sf_dir), buckets=4)
+
+
+def hash_sql(x: str, stream: int, seed: int = 42) -> str:
+    """The 31-bit hash of functions.scalars in SQL."""
+    made = str(start_of(seed, stream))
+    for part in (f"(({x}) % {PRIME} + {PRIME}) % {PRIME}", f"(({x}) >> 31) % {PRIME}"):
+        made = f"{made} + {part}"
+        for flipped, times, prime in ROUNDS:
+            made = f"((xor(({made})::BIGINT, {flipped}) * {times} + 1) % {prime})"
+    return f"({made})"
+
+
+def rand_sql(x: str, stream: int = 0) -> str:
+    return f"(({hash_sql(x, 2 * stream)}::DOUBLE + floor({hash_sql(x, 2 * stream + 1)} / 512.0)::DOUBLE / 4194304.0::DOUBLE) / {PRIME}.0::DOUBLE)"
+
+
+def hash62_sql(x: str, stream: int) -> str:
+    return f"({hash_sql(x, 2 * stream)} * 2147483648 + {hash_sql(x, 2 * stream + 1)})"
+
+
+def randn_sql(x: str) -> str:
+    return sql_rounded(f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {rand_sql(x, 1)})) * cos({2 * math.pi!r}::DOUBLE * {rand_sql(x, 2)})", 9)
+
+
+_IDS = "ids AS (SELECT (row_number() OVER () - 1)::BIGINT AS id FROM events)"
+
+#: Gram and Schmidt, a vector of each block of four at a time: its share of each one before is taken off.
+_ORTHONORMAL = """WITH RECURSIVE v AS (
+  SELECT vec_id, vec_id // 4 AS b, row_number() OVER (PARTITION BY vec_id // 4 ORDER BY vec_id) AS k, embedding::DOUBLE[] AS e FROM embeddings
+), step AS (
+  SELECT b, 0::BIGINT AS k, NULL::BIGINT AS vec_id, NULL::DOUBLE[] AS u, []::DOUBLE[][] AS made FROM (SELECT DISTINCT b FROM v)
+  UNION ALL
+  SELECT b, k, vec_id, u, list_append(made, u) FROM (
+    SELECT b, k, vec_id, made, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w))) AS u FROM (
+      SELECT v.b, v.k, v.vec_id, step.made,
+        list_transform(range(len(e)), lambda i: e[i + 1] - coalesce(list_sum(list_transform(step.made, lambda m: list_dot_product(m, e) * m[i + 1])), 0)) AS w
+      FROM step JOIN v ON v.b = step.b AND v.k = step.k + 1))
+)
+SELECT b, vec_id, list_transform(u, lambda x: round(x, 5) + 0.0) AS vector FROM step WHERE k > 0"""
 
 
 _MEAN = f"WITH {CELLS}, w AS (SELECT label, idx, avg(x) AS x FROM c GROUP BY label, idx)"
 
+_GRAM = f"WITH {CELLS} SELECT a.label, a.idx::INT AS r, b.idx::INT AS c, {sql_rounded('sum(a.x * b.x)')} AS x FROM c a JOIN c b USING (label, vec_id) GROUP BY a.label, a.idx, b.idx"
+
 PLANS: dict[str, tuple[Query, str | None]] = {
     "einsum": (einsum, f"{_MEAN} SELECT vec_id, w.label, {sql_rounded('sum(c.x * w.x)')} AS x FROM c JOIN w USING (idx) GROUP BY vec_id, w.label"),
-    "einsum_gram": (einsum_gram, f"WITH {CELLS} SELECT a.label, a.idx::INT AS a, b.idx::INT AS b, {sql_rounded('sum(a.x * b.x)')} AS x FROM c a JOIN c b USING (label, vec_id) WHERE a.idx < {DIMENSIONS} AND b.idx < {DIMENSIONS} GROUP BY a.label, a.idx, b.idx"),
+    "einsum_gram": (einsum_gram, f"WITH {CELLS} SELECT a.label, a.idx::INT AS a, b.idx::INT AS b, {sql_rounded('sum(a.x * b.x)')} AS x FROM c a JOIN c b USING (label, vec_id) GROUP BY a.label, a.idx, b.idx"),
     "project": (project, f"{_MEAN} SELECT vec_id, w.label, {sql_rounded('sum(c.x * w.x)')} AS x FROM c JOIN w USING (idx) GROUP BY vec_id, w.label"),
     "orthogonalize": (
         orthogonalize,
@@ -147,17 +234,22 @@ PLANS: dict[str, tuple[Query, str | None]] = {
     ),
     "covariance": (_covariance(False), _covariance_sql(False)),
     "nancovariance": (_covariance(True), _covariance_sql(True)),
-    "eigh": (eigh, None),
-    "orthonormalize": (orthonormalize, None),
-    "pca_cov": (pca_cov, None),
-    "pca": (pca, None),
-    "nanpca": (nanpca, None),
-    "rand": (rand, None),
-    "rand_like": (rand_like, None),
-    "randn": (randn, None),
-    "randn_like": (randn_like, None),
-    "randint": (randint, None),
-    "randperm": (randperm, "SELECT 5000 AS ids, 5000 AS values, 0 AS least, 4999 AS most, sum(i)::BIGINT AS total FROM range(5000) r(i)"),
+    "covariance_of_cells": (covariance_of_cells, _covariance_sql(True)),
+    "eigh": (eigh, _rebuilt_sql(_GRAM)),
+    "eigh_rows": (eigh_rows, None),
+    "orthonormalize": (orthonormalize, _ORTHONORMAL),
+    "pca_cov": (_component_matrix(_pca_cov), _rebuilt_sql(_GRAM)),
+    "pca_cov_rows": (_component_rows(_pca_cov), None),
+    "pca": (_component_matrix(_pca(False)), _rebuilt_sql(_covariance_sql(False))),
+    "pca_rows": (_component_rows(_pca(False)), None),
+    "nanpca": (_component_matrix(_pca(True)), _rebuilt_sql(_covariance_sql(True))),
+    "nanpca_rows": (_component_rows(_pca(True)), None),
+    "rand": (rand, f"WITH {_IDS} SELECT id, {rand_sql('id')} AS value FROM ids"),
+    "rand_like": (rand_like, f"SELECT c_custkey, {rand_sql('c_custkey')} AS rand FROM customer"),
+    "randn": (randn, f"WITH {_IDS} SELECT id, {randn_sql('id')} AS value FROM ids"),
+    "randn_like": (randn_like, f"SELECT c_custkey, {randn_sql('c_custkey')} AS randn FROM customer"),
+    "randint": (randint, f"WITH {_IDS} SELECT id, -5 + {hash62_sql('id', 3)} % 11 AS value FROM ids"),
+    "randperm": (randperm, f"WITH {_IDS} SELECT id, row_number() OVER (ORDER BY {hash62_sql('id', 4)}, id) - 1 AS value FROM ids"),
 }
 
 

@@ -93,6 +93,32 @@ def _soft(f, name: str) -> Query:
     return query
 
 
+def soft_sql(anchors: list[float], masses: list[str], result: str, epsilon: float = 0.1, rounds: int = 200) -> str:
+    """The transport's iteration, each round a step of the recursion: a group's state is a number for each anchor."""
+    n = range(1, len(anchors) + 1)
+    cost = ", ".join(f"power((x - m) / greatest(s, 1e-6) - ({a!r}), 2)" for a in anchors)
+    kernel = [f"kernel[{k}] + v[{k}]" for k in n]
+    top = f"greatest({', '.join(kernel)})"
+    u = f"-ln(n) - ({top} + ln({' + '.join(f'exp({x} - {top})' for x in kernel)}))"
+    # Here the greatest of each column is taken off before summing too.
+    steps = ", ".join(f"ln({mass}) - (max(kernel[{k}] + u) + ln(sum(exp(kernel[{k}] + u - t[{k}]))))" for k, mass in zip(n, masses, strict=True))
+    tops = ", ".join(f"max(kernel[{k}] + u) OVER (PARTITION BY c_nationkey)" for k in n)
+    return f"""WITH RECURSIVE g AS (
+      SELECT c_nationkey, c_custkey, c_acctbal AS x, count(*) OVER w AS n, avg(c_acctbal) OVER w AS m, coalesce(stddev_samp(c_acctbal) OVER w, 0) AS s
+      FROM customer WINDOW w AS (PARTITION BY c_nationkey)
+    ), c AS (SELECT *, [{cost}] AS cost FROM g), k AS (
+      SELECT c_nationkey, c_custkey, n::DOUBLE AS n, list_transform(cost, lambda y: -y / max(list_max(cost)) OVER (PARTITION BY c_nationkey) / {epsilon}) AS kernel FROM c
+    ), state AS (
+      SELECT c_nationkey, 0 AS i, list_transform({anchors!r}, lambda a: 0.0::DOUBLE) AS v FROM (SELECT DISTINCT c_nationkey FROM k)
+      UNION ALL
+      SELECT c_nationkey, min(i) + 1 AS i, [{steps}] AS v FROM (
+        SELECT *, [{tops}] AS t FROM (SELECT k.*, i, {u} AS u FROM state JOIN k USING (c_nationkey) WHERE i < {rounds})
+      ) GROUP BY c_nationkey
+    ), last AS (SELECT k.*, v, before FROM k JOIN (SELECT c_nationkey, v FROM state WHERE i = {rounds}) USING (c_nationkey) JOIN (SELECT c_nationkey, v AS before FROM state WHERE i = {rounds - 1}) USING (c_nationkey)),
+    plan AS (SELECT c_nationkey, c_custkey, n, list_transform(range({len(anchors)}), lambda j: exp(kernel[j + 1] + u + v[j + 1])) AS p FROM (SELECT * EXCLUDE (v, before), v, {u.replace('v[', 'before[')} AS u FROM last))
+    SELECT c_nationkey, c_custkey, {sql_rounded(result)} AS result FROM plan"""
+
+
 def _moments(flavour: str) -> str:
     return f"""WITH {EVENTS}, c AS (SELECT user_id, x - avg(x) OVER (PARTITION BY user_id) AS d FROM e WHERE x IS NOT NULL),
     m AS (SELECT user_id, count(*)::DOUBLE AS n, avg(d * d) AS m2, avg(d * d * d) AS m3, avg(d * d * d * d) AS m4 FROM c GROUP BY user_id)
@@ -146,6 +172,6 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY x NULLS LAST, c_custkey) - 1 AS place, x AS values, c_custkey AS indices FROM c""",
     ),
     "signif": (signif, "SELECT o_orderkey, round_even(o_totalprice * power(10.0, 3 - ceil(log10(abs(o_totalprice)))), 0) / power(10.0, 3 - ceil(log10(abs(o_totalprice)))) AS result FROM orders"),
-    "soft_topk": (_soft(op.soft_topk, "soft_topk"), None),
-    "soft_topk_bottomk": (_soft(op.soft_topk_bottomk, "soft_topk_bottomk"), None),
+    "soft_topk": (_soft(op.soft_topk, "soft_topk"), soft_sql([-1.0, 1.0], ["(max(n) - 1) / max(n)", "1 / max(n)"], "p[2] * n")),
+    "soft_topk_bottomk": (_soft(op.soft_topk_bottomk, "soft_topk_bottomk"), soft_sql([-1.0, 0.0, 1.0], ["1 / max(n)", "(max(n) - 2) / max(n)", "1 / max(n)"], "(p[3] - p[1]) * n")),
 }

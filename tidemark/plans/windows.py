@@ -105,15 +105,14 @@ def rci_sql(period: int) -> str:
 
 
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily sums of the first users: days by users, with natural holes."""
-    df = events(spark, sf_dir).where("user_id < 8")
-    daily = df.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.sum("value").alias("x"))
+    """Daily sums of all users: days by users, with natural holes."""
+    daily = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.sum("value").alias("x"))
     days, users = daily.select("day").distinct(), daily.select("user_id").distinct()
-    grid = days.join(F.broadcast(users))  # eight users at most
+    grid = users.join(F.broadcast(days))  # a calendar: 366 rows a year
     return grid.join(daily, ["day", "user_id"], "left").withColumn("half", F.col("user_id") % 2)
 
 
-PANEL = f"""{EVENTS}, daily AS (SELECT ts::DATE AS day, user_id, sum(value) AS x FROM e WHERE user_id < 8 GROUP BY 1, 2),
+PANEL = f"""{EVENTS}, daily AS (SELECT ts::DATE AS day, user_id, sum(value) AS x FROM e GROUP BY 1, 2),
   panel AS (SELECT day, user_id, x, user_id % 2 AS half FROM (SELECT DISTINCT day FROM daily) CROSS JOIN (SELECT DISTINCT user_id FROM daily) LEFT JOIN daily USING (day, user_id))"""
 
 
