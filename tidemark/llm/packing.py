@@ -8,6 +8,8 @@ a round joins nothing more.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -19,18 +21,28 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .common import discard, saved
+from .token_counts import byte_letters
 
-KEPT_WORDS = 200_000
-KEPT_BYTES = 64
+#: Characters whose class, case and composition no version of Unicode has changed: ASCII and
+#: the letters of Latin-1 and Latin Extended-A, but for the capital I with a dot, which has two in lower case.
+SURE = "\x00-\x7fÀ-ÖØ-öø-įı-ſ"
+#: Fixed value of the tokenizer's format: its words, as far as they are of those, in lower case.
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t-\ra-zß-öø-ſ0-9]+")
+#: Runs without ASCII white space that hold another character.
+BEYOND = re.compile(rf"([^ \t-\r]*[^{SURE}][^ \t-\r]*)")
+KEPT_WORDS = 300_000
+KEPT_LETTERS = 64
 
 
 class WordIds:
-    """The library's ids of whole texts, by a tokenizer file that drops white space.
+    """Ids of whole texts by a tokenizer file that lower-cases and drops white space.
 
     White space always ends a word, and neither normalising nor merging reaches
-    across it.  So a text's ids are those of its parts between ASCII spaces, each
-    by the library itself; the ids of short parts seen before are kept, up to a
-    bound.
+    across it.  So a text's ids are those of its parts between white space.  A
+    part goes to the library whole, which alone knows its version of Unicode,
+    unless it is of the sure characters; those are cut into words here, which go
+    to the library's model.  The ids of short parts and words seen before are
+    kept, up to a bound.
     """
 
     _open: dict[str, WordIds] = {}
@@ -39,7 +51,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = dict(enumerate(byte_letters()))
+        specials = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def open(cls, path: str) -> WordIds:
@@ -47,18 +63,31 @@ class WordIds:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _part(self, part: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(part.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= KEPT_BYTES:
+    def _keep(self, part: str, ids: list[int]) -> bytes:
+        found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= KEPT_LETTERS:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            self.known[part] = ids
-        return ids
+            self.known[part] = found
+        return found
+
+    def _whole(self, part: str) -> bytes:
+        return self._keep(part, self.tokenizer.encode(part, add_special_tokens=False).ids)
+
+    def _word(self, word: str) -> bytes:
+        return self._keep(word, [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))])
 
     def ids(self, text: str) -> bytes:
         """The library's ids as little-endian unsigned 32-bit integers."""
-        known = self.known
-        return b"".join([known[part] if part in known else self._part(part) for part in text.encode().split()])
+        if self.special.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        known, out = self.known, []
+        for k, part in enumerate(BEYOND.split(text)):
+            if k % 2:
+                out.append(known.get(part) or self._whole(part))
+            else:
+                out += [known.get(word) or self._word(word) for word in WORDS.findall(part.lower())]
+        return b"".join(out)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
