@@ -3,7 +3,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tidemark.llm.lang_id import ORDERS, UNKNOWN, bucket_counts, calibrate, fit, predict
+from tidemark.llm.lang_id import ORDERS, UNKNOWN, best_temperature, bounds, bucket_counts, fit, length_class, predict
 
 SYLLABLES = {"aa": ["tha", "ing", "ed", "ou", "wh"], "bb": ["ère", "eau", "ment", "qué", "oi"], "cc": ["ung", "sch", "ich", "ü", "keit"]}
 
@@ -64,5 +64,60 @@ def test_calibration():
     labels = rng.integers(0, 3, 2000)
     logits = rng.normal(size=(2000, 3))
     logits[np.arange(2000), labels] += 2
-    temperature, least = calibrate(logits * 5, labels, 0.01)
-    assert 2 < temperature < 3.2 and 0 < least <= 0.5
+    assert 2 < best_temperature(logits * 5, labels) < 3.2
+    values, lengths = rng.normal(size=3000), np.repeat([0, 2, 5], 1000)
+    values[lengths == 5] += 10
+    low = bounds(values, lengths, 0.01)
+    assert low[0] < np.quantile(values[lengths == 0], 0.01) and 5 < low[5] < 9 and low[1] < 0 < low[4]
+    assert length_class(np.array([1, 16, 17, 4096, 4097])).tolist() == [0, 0, 1, 4, 5]
+
+
+def test_noise_and_unlearned_languages_go_and_clean_texts_stay(spark, model):
+    rng = np.random.default_rng(4)
+    noise = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz0123456789 "), 400)) for _ in range(30)]
+    other = [" ".join("".join(rng.choice(list("あいうえおかきくけこさしすせそ日本語学校"), 4)) for _ in range(60)) for _ in range(30)]
+    greek = [" ".join("".join(rng.choice(["λογ", "ος", "και", "την", "εις", "αυ"], 3)) for _ in range(60)) for _ in range(30)]
+    clean = [t for _, t, _, _ in texts(300, 9)]
+    short = [" ".join(t.split()[:3]) for t in clean]
+    rows = [(k, t) for k, t in enumerate([*noise, *other, *greek, *clean, *short])]
+    gone = {r.doc_id for r in predict(spark.createDataFrame(rows, "doc_id bigint, text string"), model).where("rejected").collect()}
+    assert len(gone & set(range(90))) >= 88
+    assert len([k for k in gone if 90 <= k < 390]) == 0 and len([k for k in gone if k >= 390]) <= 3
+
+
+def test_a_prediction_counted_anew(spark, model):
+    """Scores and languages by plain sums over n-grams, one by one."""
+    from tidemark.llm.lang_id import _SEEDS, BUCKET_BITS
+
+    for (text,) in [("Ünung schich keit",), ("the thing oued",), ("x",)]:
+        words = "".join(c.lower() if c.isascii() and c.isalpha() else c if not c.isascii() else " " for c in text).split()
+        total, n = np.zeros(len(model.languages)), 0
+        for word in words:
+            padded = b" " + word.encode() + b" "
+            for order in ORDERS:
+                for at in range(len(padded) - order + 1):
+                    gram = padded[at : at + order]
+                    if order == 1 and gram == b" ":
+                        continue
+                    value = int.from_bytes(gram, "little")
+                    bucket = ((value ^ (value >> 15)) * int(_SEEDS[order - 1]) % 2**32) >> (32 - BUCKET_BITS)
+                    total += model.weights[bucket]
+                    n += 1
+        odds = np.exp((total / n + model.bias) / model.temperature)
+        odds /= odds.sum()
+        row = predict(spark.createDataFrame([(text,)], "text string"), model).first()
+        assert row.lang_pred == model.languages[int(odds.argmax())] and abs(row.score - odds.max()) < 1e-5
+
+
+def test_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, t, lang) for _, t, lang, _ in texts(240, 1)], "doc_id bigint, text string, lang string")
+    learned = fit(docs, rows_per_language=60)
+    rows = predict(docs, learned).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97 and np.mean([r.rejected for r in rows]) < 0.02
+    same = spark.createDataFrame([(1, "the same text", "aa")] * 300, "doc_id bigint, text string, lang string")
+    assert fit(same, rows_per_language=20).languages == ["aa"]
+
+
+def test_a_column_named_as_a_result(spark, model):
+    docs = spark.createDataFrame([("the thing", "mine")], "text string, score string")
+    assert predict(docs, model, added=("a", "b", "c")).columns == ["text", "score", "a", "b", "c"]
