@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
 from .kernels import ALNUM, chunks, masked_hashes, text_buffer, word_hashes
 
 #: Fixed masks: words at a 0 may differ.  One of them is free of changed words in
@@ -200,6 +201,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs but for those whose doc_id holds a benchmark item; a row without doc_id stays."""
     id_col = options.get("id_col", "doc_id")
-    mark = "_tidemark_id"
+    mark = unused("_tidemark_id", docs)
     held = find_overlaps(docs, benchmark, **options).select(F.col("doc_id").alias(mark)).distinct()
     return docs.join(held, F.col(id_col) == F.col(mark), "left_anti")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, discard, saved, slices
+from .common import BitFilter, discard, saved, slices, unused
 from .components import connected_components
 from .kernels import chunks, shingle_sets, text_buffer
 
@@ -341,7 +341,7 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
     Repeated rows of the document that stays all stay, and so does a row without doc_id.
     """
-    mark = "_tidemark_id"
+    mark = unused("_tidemark_id", docs)
     found = near_duplicate_components(docs, id_col=id_col, text_col=text_col)
     gone = found.groupBy(F.col("doc_id").alias(mark)).agg(F.min("component_id").alias("least")).where(F.col("least") < F.col(mark)).select(mark)
     return docs.join(gone, F.col(id_col) == F.col(mark), "left_anti")
