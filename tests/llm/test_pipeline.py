@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark.llm.queries import oracle_sql, queries
@@ -50,3 +51,71 @@ def test_entry_names():
 
     names = set(__spark_entry__.queries())
     assert set(queries()) | {"pipeline"} <= names and set(oracle_sql()) <= set(queries())
+
+
+CLASHES = {"score": "mine", "lang_pred": "mine", "rejected": "mine", "lines_removed": "mine", "_tidemark_id": "mine", "n": "mine", "item_id": "mine", "component_id": "mine"}
+
+
+def test_columns_that_bear_the_operators_names_stay(spark, folder):
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumns({k: F.lit(v) for k, v in CLASHES.items()})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.saved(stage(spark, docs, path))
+        assert all(docs.where(F.col(k) != v).isEmpty() for k, v in CLASHES.items())
+    assert docs.columns[5:] == list(CLASHES) and docs.count() > 100
+
+
+def test_empty_tables_nulls_and_repeated_rows(spark, folder, tmp_path):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), path).count() == 0
+    extra = spark.createDataFrame([(None, texts[0], "en", None, None), (None, None, None, None, None), (300, "", None, None, 0)], docs.schema)
+    twice = docs.union(docs).union(extra)
+    kept = twice
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = corpus_pipeline.saved(stage(spark, kept, path))
+    counts = {r.doc_id: r["count"] for r in kept.groupBy("doc_id").count().collect()}
+    assert counts.pop(None) == 1 and set(counts.values()) == {2} and set(counts) == set(texts) - {200, 201, 203, 205}
+    nothing = docs.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
+    assert corpus_pipeline.language_id(spark, nothing, path).count() == 0
+    assert corpus_pipeline.line_dedup(spark, nothing, path).count() == corpus_pipeline.near_duplicates(spark, nothing, path).count() == docs.count()
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Random documents through line dedup, near duplicates and decontamination; each stage recomputed plainly from what the one before kept."""
+    from test_line_dedup import brute as lines_brute
+    from test_ngram_join import brute as near_brute
+    from test_ngram_join import near_copies
+
+    rng = np.random.default_rng(3)
+    item = " ".join(f"item{k}" for k in range(25))
+    rows = []
+    for k, text in near_copies(5, groups=4, copies=6):
+        words = text.split()
+        if k % 7 == 0:
+            words[10:10] = [w if rng.random() > 0.1 else "other" for w in item.split()]
+        rows.append((k, "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)), "en", "s", 1))
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    have = {r.doc_id: r.text for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+
+    docs = corpus_pipeline.saved(stages["line_dedup"](spark, docs, str(tmp_path)))
+    want = {k: text for k, text, _ in lines_brute(list(have.items()))}
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+    docs = corpus_pipeline.saved(stages["near_duplicates"](spark, docs, str(tmp_path)))
+    want = {k: want[k] for k, (_, component) in near_brute(list(want.items())).items() if k == component}
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+
+    def holds(text):
+        words, wanted = text.split(), item.split()
+        for start in range(-len(wanted), len(words)):
+            same = [0 <= start + i < len(words) and words[start + i] == w for i, w in enumerate(wanted)]
+            if any(sum(same[i : i + 20]) >= 15 and 0 <= start + i and start + i + 20 <= len(words) for i in range(len(wanted) - 19)):
+                return True
+        return False
+
+    docs = stages["decontamination"](spark, docs, str(tmp_path))
+    left = {k: t for k, t in want.items() if not holds(t)}
+    assert {r.doc_id: r.text for r in docs.collect()} == left and len(left) < len(want)

@@ -114,11 +114,11 @@ def set_sizes(source: DataFrame) -> DataFrame:
                 names.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 signatures.append(signature(found))
                 np.add.at(sketch, (found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary()), pa.array([False] * len(n))], names=["doc_id", "n", "name", "data", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary()), pa.array([False] * len(n), pa.bool_())], names=["doc_id", "n", "name", "data", "sketch"])
         rows = [k for k in range(0, len(sketch), SKETCH_PART) if sketch[k : k + SKETCH_PART].any()]
         packed = [pa.compress(sketch[k : k + SKETCH_PART].astype("<u4").tobytes(), codec="zstd", asbytes=True) for k in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(packed, pa.binary()), pa.array([True] * len(rows))],
+            [pa.nulls(len(rows), pa.int64()), pa.array(rows, pa.int64()), pa.nulls(len(rows), pa.binary()), pa.array(packed, pa.binary()), pa.array([True] * len(rows), pa.bool_())],
             names=["doc_id", "n", "name", "data", "sketch"],
         )
 
@@ -128,15 +128,28 @@ def set_sizes(source: DataFrame) -> DataFrame:
 def frequency_levels(sizes: DataFrame) -> np.ndarray:
     """The level of each bucket of the sketch: 256 times the logarithm of its count over all documents."""
 
-    def add(keys, table):
-        total = np.zeros(SKETCH_PART, np.int64)
-        for part in table.column("data").to_pylist():
-            total += np.frombuffer(pa.decompress(part, 4 * SKETCH_PART, codec="zstd", asbytes=True), "<u4")
-        level = np.floor(256 * np.log2(total + 1.0)).astype("<u2")
-        return pa.table({"n": pa.array([keys[0].as_py()], pa.int64()), "level": pa.array([level.tobytes()], pa.binary())})
+    def add(batches):
+        # Parts of one place follow each other: a task holds one sum, however many tasks have counted.
+        place, total = None, np.zeros(SKETCH_PART, np.int64)
+
+        def made():
+            level = np.floor(256 * np.log2(total + 1.0)).astype("<u2").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([level], pa.binary())], names=["n", "level"])
+
+        for batch in batches:
+            for at, part in zip(batch.column("n").to_pylist(), batch.column("data"), strict=True):
+                if at != place:
+                    if place is not None:
+                        yield made()
+                    place, total = at, np.zeros(SKETCH_PART, np.int64)
+                total += np.frombuffer(pa.decompress(part.as_py(), 4 * SKETCH_PART, codec="zstd", asbytes=True), "<u4")
+        if place is not None:
+            yield made()
 
     levels = np.zeros(1 << SKETCH_BITS, np.uint16)
-    for start, part in sizes.where("sketch").select("n", "data").groupBy("n").applyInArrow(add, "n bigint, level binary").collect():
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sizes.where("sketch").select("n", "data").repartition(parts, "n").sortWithinPartitions("n")
+    for start, part in dealt.mapInArrow(add, "n bigint, level binary").collect():
         levels[start : start + SKETCH_PART] = np.frombuffer(part, "<u2")
     return levels
 
