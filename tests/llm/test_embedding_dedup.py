@@ -1,8 +1,9 @@
 import math
 
 import numpy as np
+import pytest
 
-from tidemark.llm.embedding_dedup import near_vectors
+from tidemark.llm.embedding_dedup import near_vectors, stars
 
 
 def brute(rows):
@@ -54,12 +55,52 @@ def test_against_brute_force(spark):
     assert run(spark, rows) == brute(rows)
 
 
-def test_buckets(spark):
-    """Keys cut into buckets lose pairs in single passes; none is wrong, and passes make up for it."""
+def test_borders_of_ranges_part_no_neighbours(spark):
+    """As many ranges as there are few rows in each: what a border parts is found in the second step."""
     rows = corpus()
-    got, want = run(spark, rows, bucket_rows=20), brute(rows)
-    assert all(got[i][0] <= want[i][0] for i in want)
-    assert sum(g[0] for g in got.values()) >= 0.9 * sum(w[0] for w in want.values())
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert run(spark, rows) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
+def test_stars():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        u, v = rng.integers(0, 40, (2, 30))
+        a, b = stars(u, v)
+        parent = list(range(40))
+        for x, y in zip(u, v, strict=True):
+            x, y = parent[x], parent[y]
+            parent = [min(x, y) if p in (x, y) else p for p in parent]
+        assert dict(zip(b.tolist(), a.tolist(), strict=True)) == {k: p for k, p in enumerate(parent) if p != k}
+
+
+@pytest.mark.parametrize("mutual", [0.0, 0.8, 0.9])
+def test_recall_in_crowded_labels(spark, mutual):
+    """3,000 vectors of one label whose cosines lie about ``mutual``, and 600 near copies at 0.981."""
+    rng = np.random.default_rng(7)
+    centre = np.zeros(64)
+    centre[0] = 1
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    loose = unit(rng.normal(size=(3000, 64)) * (np.arange(64) > 0))
+    x = np.sqrt(mutual) * centre + np.sqrt(1 - mutual) * loose
+    away = rng.normal(size=(600, 64))
+    away = unit(away - (away * x[:600]).sum(1, keepdims=True) * x[:600])
+    near = 0.981 * x[:600] + np.sqrt(1 - 0.981**2) * away
+    every = np.concatenate([x, near])
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(every)]
+    got = run(spark, rows)
+    want = (every @ every.T >= 0.98).sum(1) - 1
+    queries = [k for k in range(len(every)) if k % 20 == 0]
+    assert all(got[k][0] <= want[k] for k in range(len(every)))
+    assert sum(got[k][0] for k in queries) >= 0.9 * sum(want[k] for k in queries) and sum(want) >= 1200
+    assert sum(got[k][0] for k in range(len(every))) >= 0.95 * sum(want)
 
 
 def test_edges(spark):
