@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from tidemark.llm.ngram_join import least_overlap, near_duplicate_components, prefix_length, shared_count, signature, suffix_allows, without_near_duplicates
+from tidemark.llm.ngram_join import least_difference, least_overlap, near_duplicate_components, parts_allow, prefix_length, shared_count, signature, suffix_allows, without_near_duplicates
 
 
 def shingles(text):
@@ -84,7 +84,7 @@ sets = st.sets(st.integers(0, 63), max_size=40).map(lambda s: np.array(sorted(s)
 def test_filters_keep_all_links(x, y):
     shared = len(set(x.tolist()) & set(y.tolist()))
     assert shared_count(x, y) == shared
-    assert suffix_allows(signature(x), signature(y), shared)
+    assert parts_allow(signature(x), signature(y), shared)
     linked = len(x) + len(y) > 0 and 100 * shared >= 75 * (len(x) + len(y) - shared)
     assert linked == (len(x) + len(y) > 0 and shared >= least_overlap(len(x), len(y)))
     if linked:
@@ -99,3 +99,25 @@ def test_structured_words_are_told_apart(spark):
     other = word.translate({97: 98, 98: 97})
     _, got = run(spark, [(1, word), (2, other), (3, word[:512] + other[:511]), (4, word)])
     assert got == {1: (1, 1), 2: (1, 2), 3: (1, 3), 4: (1, 1)}
+
+
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.integers(0, 40))
+def test_the_suffix_filter_lets_every_linked_pair_through(x, y, most):
+    a, b = (np.array(sorted(s), np.uint64) for s in (x, y))
+    true = len(x ^ y)
+    bound = least_difference(a, b, most)
+    assert bound <= true
+    assert least_difference(a, b, 1000, 20) == true
+    if 100 * len(x & y) >= 75 * len(x | y):
+        assert suffix_allows(a, b) and suffix_allows(b, a)
+
+
+def test_one_n_gram_in_thousands_of_unrelated_texts(spark):
+    """Texts that share a passage and nothing else, of one length: none is linked, and two planted copies are."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    docs = [(k, " ".join(["this common passage stands everywhere", *(word() for _ in range(6))])) for k in range(3000)]
+    base = ["this common passage stands everywhere", *(word() for _ in range(40))]
+    docs += [(5000, " ".join(base)), (5001, " ".join([*base, "more"]))]
+    _, got = run(spark, docs)
+    assert {d: c for d, (_, c) in got.items() if d != c} == {5001: 5000}

@@ -3,8 +3,10 @@
 Documents with the same set of n-grams form a class and one stands for it.  The
 n-grams of a set are put in one global order, rare ones first; two sets that are
 similar enough share one of their first few.  Prefix n-grams are joined under
-the length and the positional filter, surviving pairs pass a suffix filter, and
-each is verified once by the exact intersection.
+the length and the positional filter.  Surviving pairs are compared by the sizes
+of their sets' parts, then loaded; the suffix filter halves what stands behind
+the first shared n-gram again and again to see whether enough can be shared, and
+what is left is verified once by the exact intersection.
 
 Groups of many similar documents would make a pair of every two.  So pairs are
 taken in rounds: first each document with one pivot of its prefix group, then,
@@ -32,6 +34,8 @@ WORDS = 5
 PART, WHOLE = 75, 100
 SKETCH_BITS = 22
 SKETCH_PART = 1 << 14
+#: Rows of an n-gram's group that meet the group in one task, at about this number.
+GROUP_PART = 5_000
 POSTING = "token bigint, doc_id bigint, n int, pos int"
 
 
@@ -56,7 +60,7 @@ def signature(found: np.ndarray) -> bytes:
     return sizes.astype(np.uint8).tobytes() if len(found) and sizes.max() < 256 else b""
 
 
-def suffix_allows(x: bytes, y: bytes, least: int) -> bool:
+def parts_allow(x: bytes, y: bytes, least: int) -> bool:
     """Whether sets with these signatures may share ``least`` values.
 
     What one part holds more than its counterpart can't be shared.  The finer
@@ -80,6 +84,35 @@ def shared_count(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
+def least_difference(x: np.ndarray, y: np.ndarray, most: int, depth: int = 4) -> int:
+    """A lower bound of how many values only one of two sorted sets has; beyond ``most`` it isn't refined."""
+    apart = abs(len(x) - len(y))
+    if apart > most or depth == 0 or not len(x) or not len(y):
+        return apart
+    middle = len(y) // 2
+    at = int(np.searchsorted(x, y[middle]))
+    found = int(at < len(x) and x[at] == y[middle])
+    left = least_difference(x[:at], y[:middle], most, depth - 1)
+    right = abs(len(x) - at - found - (len(y) - middle - 1))
+    if left + right + 1 - found <= most:
+        right = least_difference(x[at + found :], y[middle + 1 :], most - left, depth - 1)
+    return left + right + 1 - found
+
+
+def suffix_allows(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sets, as places in the global order, can be linked by what follows their first shared value."""
+    least = least_overlap(len(x), len(y))
+    prefix = x[: prefix_length(len(x))]
+    at = np.minimum(np.searchsorted(y, prefix), len(y) - 1)
+    hits = np.flatnonzero(y[at] == prefix)
+    if not len(hits):
+        return False
+    i = int(hits[0])
+    rest_x, rest_y = x[i + 1 :], y[int(at[i]) + 1 :]
+    most = len(rest_x) + len(rest_y) - 2 * (least - 1)
+    return most >= 0 and least_difference(rest_x, rest_y, most) <= most
+
+
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     """The exact test."""
     least = least_overlap(len(x), len(y))
@@ -154,10 +187,15 @@ def frequency_levels(sizes: DataFrame) -> np.ndarray:
     return levels
 
 
-def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set in the global order: by the level of the bucket, then by hash."""
+def places(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Where the values of a set stand in the global order: by the level of the bucket, then by the hash's upper 48 bits."""
     level = levels[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return found[np.argsort((level << np.uint64(48)) | (found >> np.uint64(16)), kind="stable")]
+    return (level << np.uint64(48)) | (found >> np.uint64(16))
+
+
+def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """A set in the global order."""
+    return found[np.argsort(places(found, levels), kind="stable")]
 
 
 def _prefix_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -269,18 +307,23 @@ def _crossing(shared: DataFrame, joined: DataFrame) -> DataFrame:
     placed = saved(placed.select("token", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
     # Groups of one component are done; elsewhere only what the pivot's component lacks meets the group.
     apart = placed.where("component <> pivot_component")
+    # A large group is dealt by bands of size, of which linked sets fall in one or two beside each other, and by salt.
+    hot = apart.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("salts"))
+    band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
     names = ("doc_id", "n", "pos", "component", "pivot_component")
-    x = apart.select("token", *(F.col(c).alias(f"x_{c}") for c in names))
-    y = placed.join(apart.select("token").distinct(), "token", "left_semi").select("token", *(F.col(c).alias(f"y_{c}") for c in names))
+    x = apart.join(hot, "token").withColumns({"band": band, "salt": F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")})
+    x = x.select("token", "band", "salt", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = placed.join(hot, "token").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    y = y.select("token", "band", "salt", *(F.col(c).alias(f"y_{c}") for c in names))
     possible = _possible(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
     # Two that are both apart would meet twice.
     once = (F.col("y_component") == F.col("y_pivot_component")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    met = x.join(y, (x["token"] == y["token"]) & (F.col("x_component") != F.col("y_component")) & once & possible)
+    met = x.join(y, ["token", "band", "salt"]).where((F.col("x_component") != F.col("y_component")) & once & possible)
     return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
-def suffix_filtered(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that the suffix filter lets through."""
+def parts_filtered(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sets' parts are of sizes that allow a link."""
     signatures = BitFilter.of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), ["doc_id"]).picked(signatures, "doc_id")
     left = signatures.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("data").alias("x"))
     right = signatures.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("data").alias("y"))
@@ -288,23 +331,26 @@ def suffix_filtered(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("n_a", "n_b", "x", "y")]
-            keep = [suffix_allows(x, y, least_overlap(a, b)) for a, b, x, y in zip(*columns, strict=True)]
+            keep = [parts_allow(x, y, least_overlap(a, b)) for a, b, x, y in zip(*columns, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "x", "y")
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def verified(pairs: DataFrame, source: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, source: DataFrame, levels: np.ndarray) -> DataFrame:
     """Those of the pairs (a, b) that are linked, each tested once."""
     sets = saved(sets_of(source, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()))
     left = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y"))
+    shared = source.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in batches:
-            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = [linked(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) for x, y in zip(xs, ys, strict=True)]
+            keep = []
+            for pair in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = (np.frombuffer(packed, "<u8") for packed in pair)
+                keep.append(suffix_allows(*(np.sort(places(s, shared.value)) for s in (x, y))) and linked(x, y))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     found = saved(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"))
@@ -336,11 +382,11 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     possible = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     signatures = rows.select("doc_id", "n", "data")
     pairs = saved(shared.where((F.col("doc_id") > F.col("pivot")) & possible).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = verified(saved(suffix_filtered(pairs, signatures)), source)
+    links = verified(saved(parts_filtered(pairs, signatures)), source, levels)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     # Second round: pairs of a group that cross components, at least one of them not in the pivot's.
     more = saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti"))
-    crossing = verified(saved(suffix_filtered(more, signatures)), source)
+    crossing = verified(saved(parts_filtered(more, signatures)), source, levels)
     discard(shared)
     discard(pairs)
     if crossing.limit(1).count():
