@@ -21,13 +21,14 @@ what is left from a filter of fixed size; so no text is shuffled for it.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, discard, saved
+from .common import discard, saved
 from .kernels import _Powers, mix, text_buffer
 
 LENGTH = 100
@@ -37,8 +38,9 @@ CELL = 8
 BLOCK = 1 << 20
 
 _U = np.uint64
-_ROWS = "key bigint, ctx bigint, doc_id bigint, lo bigint, n int, known boolean"
-_NAMES = ["key", "ctx", "doc_id", "lo", "n", "known"]
+_ROWS = "key bigint, ctx bigint, doc_id bigint, lo bigint, n int, anchor int, known boolean"
+_NAMES = ["key", "ctx", "doc_id", "lo", "n", "anchor", "known"]
+_OPEN = ("lo", "n", "anchor")
 
 
 def _prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -98,23 +100,23 @@ def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cells_of(total: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Cells of runs, cut at fixed distances before the anchor: (key, ctx, first start, how many)."""
-    near, far = (anchor - lo - n + 1) // CELL, (anchor - lo) // CELL
+    """Cells of runs, cut at fixed distances before the anchor, which stands ``anchor`` bytes after lo: (key, ctx, first start, how many, 0)."""
+    near, far = (anchor - n + 1) // CELL, anchor // CELL
     of, part = _spread(far - near + 1)
-    end = anchor[of] - CELL * (near[of] + part)  # the grid's last start of the cell
+    end = (lo + anchor)[of] - CELL * (near[of] + part)  # the grid's last start of the cell
     first, last = np.maximum(lo[of], end - CELL + 1), np.minimum(lo[of] + n[of] - 1, end)
     middle, core = end + (LENGTH - CELL + 2) // 2, end + LENGTH - CELL + 1
     key = mix(_ranks(total, end, middle) + _ranks(total, middle, core) * _U(0x9E3779B97F4A7C15))
     ctx = mix(_ranks(total, first, last + LENGTH) + (end - first).astype(_U) * _U(0x9E3779B97F4A7C15))
-    return key, ctx, first, last - first + 1
+    return key, ctx, first, last - first + 1, np.zeros(len(first), np.int64)
 
 
-def strings_of(total: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+def strings_of(total: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, ...]:
     """Single strings of cells: the pair of their halves' ranks, and where they start."""
     of, part = _spread(n)
     start = lo[of] + part
     half = start + LENGTH // 2
-    return _ranks(total, start, half), _ranks(total, half, start + LENGTH), start, np.ones(len(start), np.int64)
+    return _ranks(total, start, half), _ranks(total, half, start + LENGTH), start, np.ones(len(start), np.int64), np.zeros(len(start), np.int64)
 
 
 def _pieces(offsets: np.ndarray, order: np.ndarray):
@@ -147,53 +149,77 @@ def _first_known(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarr
     return known
 
 
-def _emit(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarray, n: np.ndarray):
+def _emit(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray):
     """Rows of one batch.  Repeats within it are decided here, which spares the sort the groups of many copies."""
     known = _first_known(doc, key, ctx, lo)
     key = np.where(known, mix(doc.astype(_U)), key)  # decided rows go anywhere
+    columns = (key.view(np.int64), ctx.view(np.int64), doc, lo, n.astype(np.int32), anchor.astype(np.int32), known)
     for at in range(0, len(doc), 100_000):
-        part = slice(at, at + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(key[part].view(np.int64)), pa.array(ctx[part].view(np.int64)), pa.array(doc[part]), pa.array(lo[part]), pa.array(n[part].astype(np.int32)), pa.array(known[part])], names=_NAMES)
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 100_000]) for c in columns], names=_NAMES)
 
 
-def level(source: DataFrame, *left: BitFilter) -> DataFrame:
-    """Rows to rank: of all runs; given what is left of them, of their cells; given those left too, of their strings."""
-    shared = [source.sparkSession.sparkContext.broadcast(x) for x in left]
+def _lots(batch: pa.RecordBatch):
+    """The texts of a batch in lots: bytes, their prefix sums, where texts end and begin, their rows, and what to add to a place for its text's own."""
+    data, offsets = text_buffer(batch.column("text"))
+    ids = batch.column("doc_id").to_numpy()
+    for lot in _pieces(offsets, np.argsort(ids, kind="stable")):
+        joined = np.concatenate([data[low:high] for _, low, high in lot])
+        lengths = np.array([high - low for _, low, high in lot])
+        ends = np.cumsum(lengths)
+        rows = np.array([r for r, _, _ in lot])
+        shift = np.array([low for _, low, _ in lot]) - (ends - lengths) - offsets[rows]
+        yield joined, _prefix_sums(joined), ends, ends - lengths, rows, shift
+
+
+def runs_level(source: DataFrame) -> DataFrame:
+    """Rows to rank of all runs."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
             ids = batch.column("doc_id").to_numpy()
             out = []
-            for lot in _pieces(offsets, np.argsort(ids, kind="stable")):
-                joined = np.concatenate([data[low:high] for _, low, high in lot])
-                lengths = np.array([high - low for _, low, high in lot])
-                ends = np.cumsum(lengths)
-                total = _prefix_sums(joined)
-                key, ctx, lo, n, anchor = anchor_runs(joined, total, ends, ends - lengths)
-                rows = np.array([r for r, _, _ in lot])
-                shift = np.array([low for _, low, _ in lot]) - (ends - lengths) - offsets[rows]
-
-                def places(lo, ends=ends, rows=rows, shift=shift):
-                    text = np.searchsorted(ends, lo, "right")
-                    return ids[rows[text]], lo + shift[text]
-
-                if shared:
-                    keep = shared[0].value.has(*places(lo))
-                    key, ctx, lo, n = cells_of(total, lo[keep], n[keep], anchor[keep])
-                if len(shared) > 1:
-                    keep = shared[1].value.has(*places(lo))
-                    key, ctx, lo, n = strings_of(total, lo[keep], n[keep])
-                doc, start = places(lo)
-                out.append((doc, key, ctx, start, n))
+            for joined, total, ends, starts, rows, shift in _lots(batch):
+                key, ctx, lo, n, anchor = anchor_runs(joined, total, ends, starts)
+                text = np.searchsorted(ends, lo, "right")
+                out.append((ids[rows[text]], key, ctx, lo + shift[text], n, anchor - lo))
             if out:
                 yield from _emit(*(np.concatenate(x) for x in zip(*out, strict=True)))
 
     return source.mapInArrow(run, _ROWS)
 
 
+def next_level(source: DataFrame, left: DataFrame, cut: Callable[..., tuple[np.ndarray, ...]]) -> DataFrame:
+    """Rows to rank of the parts that ``cut`` makes of what ``left`` has open, in the texts that have such.
+
+    A text meets the open places of its doc_id; those beyond its end, of another
+    text with that id, are passed over.
+    """
+    open_places = left.where("open").groupBy("doc_id").agg(F.collect_list(F.struct(*_OPEN)).alias("places"))
+    texts = source.join(open_places, "doc_id").select("doc_id", "text", "places")
+
+    def run(batches):
+        for batch in batches:
+            ids, places = batch.column("doc_id").to_numpy(), batch.column("places")
+            counts = places.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            ends_of = np.cumsum(counts)
+            lo_all, n_all, anchor_all = (places.flatten().field(c).to_numpy().astype(np.int64) for c in _OPEN)
+            out = []
+            for _, total, ends, starts, rows, shift in _lots(batch):
+                of, part = _spread(counts[rows])
+                at = (ends_of[rows] - counts[rows])[of] + part
+                lo, n, anchor = lo_all[at] - shift[of], n_all[at], anchor_all[at]
+                inside = (lo >= starts[of]) & (lo + n - 1 + LENGTH <= ends[of])
+                key, ctx, lo, n, anchor = cut(total, lo[inside], n[inside], anchor[inside])
+                text = np.searchsorted(ends, lo, "right")
+                out.append((ids[rows[text]], key, ctx, lo + shift[text], n, anchor))
+            if out:
+                yield from _emit(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    return texts.mapInArrow(run, _ROWS)
+
+
 def ranked(rows: DataFrame) -> DataFrame:
-    """``doc_id, lo, n, open``: repeats (not open), and the first of each kind where one key has several kinds.
+    """``doc_id, lo, n, anchor, open``: repeats (not open), and the first of each kind where one key has several kinds.
 
     Rows come sorted by key, kind, document and place, as a stream: a group's
     size takes no memory.
@@ -206,11 +232,11 @@ def ranked(rows: DataFrame) -> DataFrame:
         pending = None  # the first row of the last key, as long as no second kind has come
         for batch in batches:
             known = batch.column("known").to_numpy(zero_copy_only=False)
-            doc, lo, n = (batch.column(c).to_numpy() for c in ("doc_id", "lo", "n"))
-            repeats = [np.stack([doc[known], lo[known], n[known]])]
+            doc, lo, n, anchor = (batch.column(c).to_numpy() for c in ("doc_id", "lo", "n", "anchor"))
+            repeats = [np.stack([doc[known], lo[known], n[known], anchor[known]])]
             opened = []
             rest = ~known
-            doc, lo, n = doc[rest], lo[rest], n[rest]
+            doc, lo, n, anchor = doc[rest], lo[rest], n[rest], anchor[rest]
             key, ctx = batch.column("key").to_numpy()[rest], batch.column("ctx").to_numpy()[rest]
             if len(key):
                 new_key, new_ctx = np.ones(len(key), bool), np.ones(len(key), bool)
@@ -224,7 +250,7 @@ def ranked(rows: DataFrame) -> DataFrame:
                 firsts = np.concatenate([place, np.stack([doc, lo])], axis=1)[:, at]
                 place = firsts[:, -1:]
                 again = (doc != firsts[0]) | (lo != firsts[1])
-                repeats.append(np.stack([doc[again], lo[again], n[again]]))
+                repeats.append(np.stack([doc[again], lo[again], n[again], anchor[again]]))
                 f = np.flatnonzero(new_ctx)
                 if len(f):
                     of_key = new_key[f]
@@ -232,23 +258,22 @@ def ranked(rows: DataFrame) -> DataFrame:
                         opened.append(pending)
                     send = ~of_key
                     send[:-1] |= ~of_key[1:]
-                    opened.append(np.stack([doc[f[send]], lo[f[send]], n[f[send]]]))
-                    pending = np.array([[doc[f[-1]]], [lo[f[-1]]], [n[f[-1]]]]) if of_key[-1] else None
-            sent = [np.concatenate(x, axis=1) if x else np.zeros((3, 0), np.int64) for x in (repeats, opened)]
+                    opened.append(np.stack([doc[f[send]], lo[f[send]], n[f[send]], anchor[f[send]]]))
+                    pending = np.array([[doc[f[-1]]], [lo[f[-1]]], [n[f[-1]]], [anchor[f[-1]]]]) if of_key[-1] else None
+            sent = [np.concatenate(x, axis=1) if x else np.zeros((4, 0), np.int64) for x in (repeats, opened)]
             both = np.concatenate(sent, axis=1)
             if both.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(np.int32)), pa.array(np.arange(both.shape[1]) >= sent[0].shape[1])], names=["doc_id", "lo", "n", "open"])
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1]), pa.array(both[2].astype(np.int32)), pa.array(both[3].astype(np.int32)), pa.array(np.arange(both.shape[1]) >= sent[0].shape[1])], names=["doc_id", "lo", "n", "anchor", "open"])
 
     dealt = rows.repartition(parts, "key").sortWithinPartitions("key", "ctx", "doc_id", "lo")
-    return dealt.mapInArrow(run, "doc_id bigint, lo bigint, n int, open boolean")
+    return dealt.mapInArrow(run, "doc_id bigint, lo bigint, n int, anchor int, open boolean")
 
 
 def repeated_runs(source: DataFrame) -> DataFrame:
     """``doc_id, runs``: in each run (lo, n) the n 100-byte strings from byte lo on stand earlier too."""
-    runs = saved(ranked(level(source)))
-    left = BitFilter.of(runs.where("open"), ["doc_id", "lo"], 24)
-    cells = saved(ranked(level(source, left)))
-    strings = saved(ranked(level(source, left, BitFilter.of(cells.where("open"), ["doc_id", "lo"], 24))))
+    runs = saved(ranked(runs_level(source)))
+    cells = saved(ranked(next_level(source, runs, cells_of)))
+    strings = saved(ranked(next_level(source, cells, strings_of)))
     levels = (runs, cells, strings)
     found = runs.union(cells).union(strings).where("not open")
     per_doc = saved(found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n")).alias("runs")))
@@ -285,38 +310,23 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     given = source.where("doc_id is not null and text is not null")
     runs = repeated_runs(given)
-    some = BitFilter.of(runs, ["doc_id"])
-    shared = source.sparkSession.sparkContext.broadcast(some)
-
-    def digest(batches):
-        for batch in batches:
-            id_known = batch.column("doc_id").is_valid()
-            has = shared.value.has(pa.compute.fill_null(batch.column("doc_id"), 0).to_numpy()) & id_known.to_numpy(zero_copy_only=False)
-            texts = pa.compute.fill_null(batch.column("text"), "")
-            hashes = [None if h else hashlib.sha256(t.encode()).hexdigest() for h, t in zip(has.tolist(), texts.to_pylist(), strict=True)]
-            some = pa.compute.if_else(pa.array(has), texts, pa.scalar(None, texts.type))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), some, pa.compute.binary_length(texts).cast(pa.int64()), pa.array(hashes, pa.string())], names=["doc_id", "text", "n_bytes", "sha"])
-
-    rows = source.mapInArrow(digest, "doc_id bigint, text string, n_bytes bigint, sha string")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
         for batch in batches:
             out = []
-            for size, sha, text, runs in zip(*(batch.column(c).to_pylist() for c in ("n_bytes", "sha", "text", "runs")), strict=True):
-                spans = _merged(runs, size) if runs else np.zeros((0, 2), np.int64)
+            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+                data = (text or "").encode()
+                spans = _merged(runs, len(data)) if runs else np.zeros((0, 2), np.int64)
                 kept = None
                 if len(spans):
-                    data = text.encode()
-                    edges = [0, *spans.ravel().tolist(), size]
+                    edges = [0, *spans.ravel().tolist(), len(data)]
                     kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                    sha = hashlib.sha256(kept).hexdigest()
-                elif sha is None:
-                    sha = hashlib.sha256(text.encode()).hexdigest()
-                out.append((int((spans[:, 1] - spans[:, 0]).sum()), len(spans), [{"start": a, "end": b} for a, b in spans.tolist()], kept, sha))
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            kinds = (pa.int64(), pa.int64(), span_type, pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
-
-    joined = rows.join(runs, "doc_id", "left").select("doc_id", "text", "n_bytes", "sha", "runs")
+                sha = hashlib.sha256(data if kept is None else kept).hexdigest()
+                out.append((len(data), int((spans[:, 1] - spans[:, 0]).sum()), len(spans), [{"start": a, "end": b} for a, b in spans.tolist()], kept, sha))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), span_type, pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"])
+
+    joined = source.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<struct<start:bigint,end:bigint>>, kept binary, kept_sha256 string")
