@@ -166,3 +166,24 @@ def test_empty_table(spark):
     assert op.rsi(empty, "x", ONE).count() == 0
     assert op.gaussian_blur(empty, "x", 1.0, ONE).count() == 0
     assert empty.withColumn("out", fn.msum("x", 3, ONE)).count() == 0
+
+
+def test_columns_named_like_an_operators_own_stay(spark):
+    own = ("_v", "_i", "_b", "_j", "_d", "_ok", "_up", "_top", "_near", "_head", "_tail", "_whole", "_slice", "_n", "_start", "_home", "_total", "_offset")
+    df = series(spark, [1, 2, NAN, 4, 5, 6, 7, 8]).select("*", *(F.lit(99).alias(c) for c in own))
+    plain = df.drop(*own)
+    for make in (
+        lambda d: op.ema(d, "x", 0.5, ONE, out="out"),
+        lambda d: op.ema(d, "x", 0.5, ONE, adjust=False, out="out"),
+        lambda d: op.rsi(d, "x", ONE, 2, out="out"),
+        lambda d: op.rsi(d, "x", ONE, 2, use_sma=True, out="out"),
+        lambda d: op.gaussian_blur(d, "x", 1.0, ONE, out="out"),
+        lambda d: op.wide_msum(d, "x", 3, ONE, out="out"),
+        lambda d: op.wide_mmin(d, "x", 3, ONE, out="out"),
+        lambda d: op.skipna(d, lambda s: fn.ma("x", 2, s), "x", series=ONE, out="out"),
+        lambda d: op.cumulative_in_blocks(op.with_blocks(d, "pos", ["k"], rows_per_block=3, slice_width=4), "x", ["k"], out="out"),
+        lambda d: op.trailing_in_blocks(op.with_blocks(d, "pos", ["k"], rows_per_block=3, slice_width=4), lambda s: fn.msum("x", 2, s), 2, ["k"], rows_per_block=3, out="out"),
+    ):
+        made = make(df)
+        assert all(row[c] == 99 for row in made.collect() for c in own)
+        assert column(made) == column(make(plain))

@@ -9,32 +9,33 @@ windows over (keys, block) and one look back replace the recursion.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, divide, present
+from ..series import ColumnLike, Series, divide, helper_names, present
 
 _NEGLIGIBLE = 1e-17
 
 
-def _weighted(df: DataFrame, values: dict[str, Column], rate: float, series: Series) -> DataFrame:
+def _weighted(df: DataFrame, values: dict[str, Column], rate: float, series: Series, t: Callable[[str], str]) -> DataFrame:
     """For each value the sum over earlier rows of value times rate to the power of their distance.
 
-    Rows are numbered by ``_i`` from 0 within the series.
+    Rows are numbered by the helper column ``i`` from 0 within the series.
     """
     size = max(1, math.ceil(math.log(_NEGLIGIBLE) / math.log(rate))) if rate > 0 else 1
-    df = df.withColumn("_b", F.floor(F.col("_i") / size)).withColumn("_j", F.col("_i") % size)
-    block = Window.partitionBy(*series.keys, "_b")
-    inner = block.orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*series.keys).orderBy("_b").rangeBetween(-1, -1)
-    grown = F.pow(F.lit(1.0 / rate), F.col("_j").cast("double"))
-    shrunk = F.pow(F.lit(rate), F.col("_j").cast("double"))
-    from_end = F.pow(F.lit(rate), F.lit(size - 1.0) - F.col("_j"))
-    df = df.withColumns({f"_{k}_in": F.sum(v * grown).over(inner) * shrunk for k, v in values.items()} | {f"_{k}_all": F.sum(v * from_end).over(block) for k, v in values.items()})
-    carried = {f"_{k}_before": F.coalesce(F.first(f"_{k}_all").over(before), F.lit(0.0)) for k in values}
+    df = df.withColumn(t("b"), F.floor(F.col(t("i")) / size)).withColumn(t("j"), F.col(t("i")) % size)
+    block = Window.partitionBy(*series.keys, t("b"))
+    inner = block.orderBy(t("j")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*series.keys).orderBy(t("b")).rangeBetween(-1, -1)
+    grown = F.pow(F.lit(1.0 / rate), F.col(t("j")).cast("double"))
+    shrunk = F.pow(F.lit(rate), F.col(t("j")).cast("double"))
+    from_end = F.pow(F.lit(rate), F.lit(size - 1.0) - F.col(t("j")))
+    df = df.withColumns({t(f"{k}_in"): F.sum(v * grown).over(inner) * shrunk for k, v in values.items()} | {t(f"{k}_all"): F.sum(v * from_end).over(block) for k, v in values.items()})
+    carried = {t(f"{k}_before"): F.coalesce(F.first(t(f"{k}_all")).over(before), F.lit(0.0)) for k in values}
     df = df.withColumns(carried)
-    return df.withColumns({k: F.col(f"_{k}_in") + F.col(f"_{k}_before") * shrunk * rate for k in values})
+    return df.withColumns({k: F.col(t(f"{k}_in")) + F.col(t(f"{k}_before")) * shrunk * rate for k in values})
 
 
 def _bare(df: DataFrame, names: list[str]) -> DataFrame:
@@ -50,7 +51,7 @@ def ema(df: DataFrame, x: ColumnLike, alpha: float, series: Series, *, adjust: b
     """
     if not 0 <= alpha <= 1:
         raise ValueError("alpha must lie from 0 to 1")
-    v = present(x)
+    v, t = present(x), helper_names(df)
     names = [*(c for c in df.columns if c != out), out]
     unbroken = F.count(v).over(series.upto) == F.count(F.lit(1)).over(series.upto)
     if alpha == 1:
@@ -59,16 +60,16 @@ def ema(df: DataFrame, x: ColumnLike, alpha: float, series: Series, *, adjust: b
         mean = F.avg(v) if adjust else F.first(v)
         return _bare(df.withColumn(out, F.when(unbroken, mean.over(series.upto))), names)
     rate = 1.0 - alpha
-    step = df.withColumns({"_ok": unbroken, "_v": v, "_i": F.row_number().over(series.ordered) - 1})
+    step = df.withColumns({t("ok"): unbroken, t("v"): v, t("i"): F.row_number().over(series.ordered) - 1})
     if adjust:
-        step = _weighted(step, {"_top": F.coalesce("_v", F.lit(0.0)), "_bottom": F.lit(1.0)}, rate, series)
-        value = F.col("_top") / F.col("_bottom")
+        step = _weighted(step, {t("top"): F.coalesce(t("v"), F.lit(0.0)), t("bottom"): F.lit(1.0)}, rate, series, t)
+        value = F.col(t("top")) / F.col(t("bottom"))
     else:
         # The first value has weight 1, each later one alpha.
-        weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        value = F.col("_top")
-        step = _weighted(step, {"_top": F.coalesce("_v", F.lit(0.0)) * weight}, rate, series)
-    return _bare(step.withColumn(out, F.when(F.col("_ok"), value)), names)
+        weight = F.when(F.col(t("i")) == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+        value = F.col(t("top"))
+        step = _weighted(step, {t("top"): F.coalesce(t("v"), F.lit(0.0)) * weight}, rate, series, t)
+    return _bare(step.withColumn(out, F.when(F.col(t("ok")), value)), names)
 
 
 def rsi(df: DataFrame, x: ColumnLike, series: Series, span: int = 14, *, use_sma: bool = False, out: str = "rsi") -> DataFrame:
@@ -80,25 +81,25 @@ def rsi(df: DataFrame, x: ColumnLike, series: Series, span: int = 14, *, use_sma
     """
     if span < 1:
         raise ValueError("span must be at least 1")
-    names = [*(c for c in df.columns if c != out), out]
-    step = df.withColumn("_v", present(x)).withColumn("_i", F.row_number().over(series.ordered) - 1)
-    step = step.withColumn("_d", F.col("_v") - F.lag("_v").over(series.ordered))
-    step = step.withColumns({"_up": F.greatest("_d", F.lit(0.0)), "_down": F.greatest(-F.col("_d"), F.lit(0.0))})
+    names, t = [*(c for c in df.columns if c != out), out], helper_names(df)
+    step = df.withColumn(t("v"), present(x)).withColumn(t("i"), F.row_number().over(series.ordered) - 1)
+    step = step.withColumn(t("d"), F.col(t("v")) - F.lag(t("v")).over(series.ordered))
+    step = step.withColumns({t("up"): F.greatest(t("d"), F.lit(0.0)), t("down"): F.greatest(-F.col(t("d")), F.lit(0.0))})
     w = series.trailing(span)
     if use_sma:
-        step = step.withColumns({"_gain": F.sum("_up").over(w), "_loss": F.sum("_down").over(w), "_ok": F.count("_d").over(w) == span})
+        step = step.withColumns({t("gain"): F.sum(t("up")).over(w), t("loss"): F.sum(t("down")).over(w), t("ok"): F.count(t("d")).over(w) == span})
     else:
-        step = step.withColumn("_ok", (F.col("_i") >= span) & (F.count("_v").over(series.upto) == F.col("_i") + 1))
+        step = step.withColumn(t("ok"), (F.col(t("i")) >= span) & (F.count(t("v")).over(series.upto) == F.col(t("i")) + 1))
         rate = 1.0 - 1.0 / span
         if rate == 0:
-            step = step.withColumns({"_gain": F.col("_up"), "_loss": F.col("_down")})
+            step = step.withColumns({t("gain"): F.col(t("up")), t("loss"): F.col(t("down"))})
         else:
             # The seed, the mean of the first changes, stands at row `span`; later changes weigh 1 / span.
             seeded = {}
-            for name in ("_up", "_down"):
-                seed = F.avg(name).over(w)
-                seeded[f"{name}_w"] = F.when(F.col("_i") < span, F.lit(0.0)).when(F.col("_i") == span, seed).otherwise(F.col(name) / span)
+            for name in ("up", "down"):
+                seed = F.avg(t(name)).over(w)
+                seeded[t(f"{name}_w")] = F.when(F.col(t("i")) < span, F.lit(0.0)).when(F.col(t("i")) == span, seed).otherwise(F.col(t(name)) / span)
             step = step.withColumns(seeded)
-            step = _weighted(step, {"_gain": F.coalesce("_up_w", F.lit(0.0)), "_loss": F.coalesce("_down_w", F.lit(0.0))}, rate, series)
-    value = F.coalesce(divide(F.lit(100.0) * F.col("_gain"), F.col("_gain") + F.col("_loss")), F.lit(0.0))
-    return _bare(step.withColumn(out, F.when(F.col("_ok"), value)), names)
+            step = _weighted(step, {t("gain"): F.coalesce(t("up_w"), F.lit(0.0)), t("loss"): F.coalesce(t("down_w"), F.lit(0.0))}, rate, series, t)
+    value = F.coalesce(divide(F.lit(100.0) * F.col(t("gain")), F.col(t("gain")) + F.col(t("loss"))), F.lit(0.0))
+    return _bare(step.withColumn(out, F.when(F.col(t("ok")), value)), names)

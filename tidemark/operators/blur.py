@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, divide, present
+from ..series import ColumnLike, Series, divide, helper_names, present
 
 
 def gaussian_weights(sigma: float, reach: int) -> list[float]:
@@ -29,19 +29,19 @@ def gaussian_blur(df: DataFrame, x: ColumnLike, sigma: float, series: Series, *,
     """
     reach = max(1, math.ceil(9 * sigma))
     weights = gaussian_weights(sigma, reach)
-    names = [*(c for c in df.columns if c != out), out]
-    step = df.withColumn("_v", present(x))
+    names, t = [*(c for c in df.columns if c != out), out], helper_names(df)
+    step = df.withColumn(t("v"), present(x))
     around = series.ordered.rowsBetween(-reach, reach)
-    step = step.withColumns({"_i": F.row_number().over(series.ordered)})
+    step = step.withColumns({t("i"): F.row_number().over(series.ordered)})
     # One array of the frame's (place, value) pairs, folded with the weights by place.
-    step = step.withColumn("_near", F.collect_list(F.struct(F.col("_i").alias("i"), F.col("_v").alias("v"))).over(around))
+    step = step.withColumn(t("near"), F.collect_list(F.struct(F.col(t("i")).alias("i"), F.col(t("v")).alias("v"))).over(around))
     table = F.array(*(F.lit(w) for w in weights))
-    weight = lambda e: F.get(table, (e["i"] - F.col("_i") + reach).cast("int"))
-    valid = F.filter("_near", lambda e: e["v"].isNotNull())
+    weight = lambda e: F.get(table, (e["i"] - F.col(t("i")) + reach).cast("int"))
+    valid = F.filter(t("near"), lambda e: e["v"].isNotNull())
     top = F.aggregate(valid, F.lit(0.0), lambda a, e: a + e["v"] * weight(e))
     bottom = F.aggregate(valid, F.lit(0.0), lambda a, e: a + weight(e))
     value = divide(top, bottom)
     if compat:
-        whole = F.count("_v").over(series.group) == F.count(F.lit(1)).over(series.group)
+        whole = F.count(t("v")).over(series.group) == F.count(F.lit(1)).over(series.group)
         value = F.when(whole, value)
     return step.withColumn(out, value).select(*names)

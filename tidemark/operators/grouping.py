@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scans import stable_rank
-from ..series import ColumnLike, Series, as_column, present
+from ..series import ColumnLike, Series, as_column, helper_names, present
 
 
 def reduce_nan_patterns(df: DataFrame, x: ColumnLike, *, position: str, ref: str | list[str], all_others: bool = False, keys: list[str] | None = None, out: str = "mask") -> DataFrame:
@@ -27,12 +27,13 @@ def skipna(df: DataFrame, operator: Callable[[Series], Column], *inputs: ColumnL
 
     The operator gets the series of those rows and returns a column.
     """
+    t = helper_names(df)
     whole = F.lit(True)
     for x in inputs:
         whole = whole & present(x).isNotNull()
-    marked = df.withColumn("_whole", whole)
-    inner = Series([*series.keys, "_whole"], series.order_by)
-    return marked.withColumn(out, F.when(F.col("_whole"), operator(inner))).drop("_whole")
+    marked = df.withColumn(t("whole"), whole)
+    inner = Series([*series.keys, t("whole")], series.order_by)
+    return marked.withColumn(out, F.when(F.col(t("whole")), operator(inner))).drop(t("whole"))
 
 
 def bincount(df: DataFrame, x: str, *, keys: list[str], minlength: int = 0) -> DataFrame:

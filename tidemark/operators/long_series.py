@@ -13,25 +13,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, checked_span, present
+from ..series import ColumnLike, Series, checked_span, helper_names, present
 
 
 def with_blocks(df: DataFrame, order_by: str, keys: list[str], *, rows_per_block: int, slice_width: float) -> DataFrame:
     """Adds ``_row``, the place within the key from 0, and ``_block``.
 
-    order_by must be a unique number or timestamp within the key.  Rows are
+    The table must have neither yet.  order_by must be a unique number or timestamp within the key.  Rows are
     counted in slices of ``slice_width`` of it; a slice, not a key, is what one
     task orders, so choose it to hold what a task can sort.
     """
+    if {"_row", "_block"} & set(df.columns):
+        raise ValueError("the table has a column _row or _block already")
+    t = helper_names(df)
     place = F.col(order_by).cast("double") if dict(df.dtypes)[order_by] != "timestamp_ntz" else F.unix_micros(F.col(order_by).cast("timestamp")) / 1e6
-    sliced = df.withColumn("_slice", F.floor(place / slice_width))
-    counts = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inner = Window.partitionBy(*keys, "_slice").orderBy(order_by)
-    row = F.col("_start") + F.row_number().over(inner) - 1
-    numbered = sliced.join(starts, [*keys, "_slice"]).withColumn("_row", row)
-    return numbered.withColumn("_block", F.floor(F.col("_row") / rows_per_block)).drop("_slice", "_start")
+    sliced = df.withColumn(t("slice"), F.floor(place / slice_width))
+    counts = sliced.groupBy(*keys, t("slice")).agg(F.count(F.lit(1)).alias(t("n")))
+    before = Window.partitionBy(*keys).orderBy(t("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, t("slice"), F.coalesce(F.sum(t("n")).over(before), F.lit(0)).alias(t("start")))
+    inner = Window.partitionBy(*keys, t("slice")).orderBy(order_by)
+    row = F.col(t("start")) + F.row_number().over(inner) - 1
+    numbered = sliced.join(starts, [*keys, t("slice")]).withColumn("_row", row)
+    return numbered.withColumn("_block", F.floor(F.col("_row") / rows_per_block)).drop(t("slice"), t("start"))
 
 
 def trailing_in_blocks(blocked: DataFrame, operator: Callable[[Series], Column], span: int, keys: list[str], *, rows_per_block: int, out: str) -> DataFrame:
@@ -42,19 +45,21 @@ def trailing_in_blocks(blocked: DataFrame, operator: Callable[[Series], Column],
     """
     if checked_span(span) > rows_per_block:
         raise ValueError("a span must not exceed a block")
+    t = helper_names(blocked)
     at_end = F.col("_row") % rows_per_block >= rows_per_block - (span - 1)
     targets = F.when(at_end, F.array(F.col("_block"), F.col("_block") + 1)).otherwise(F.array(F.col("_block")))
-    spread = blocked.withColumn("_home", F.explode(targets))
-    made = spread.withColumn(out, operator(Series([*keys, "_home"], ["_row"])))
-    return made.where(F.col("_home") == F.col("_block")).drop("_home")
+    spread = blocked.withColumn(t("home"), F.explode(targets))
+    made = spread.withColumn(out, operator(Series([*keys, t("home")], ["_row"])))
+    return made.where(F.col(t("home")) == F.col("_block")).drop(t("home"))
 
 
 def cumulative_in_blocks(blocked: DataFrame, x: ColumnLike, keys: list[str], *, out: str) -> DataFrame:
     """Adds nancumsum to the result of with_blocks: block totals are summed apart and added to each block's own scan."""
-    step = blocked.withColumn("_v", present(x))
-    totals = step.groupBy(*keys, "_block").agg(F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_total"))
+    t = helper_names(blocked)
+    step = blocked.withColumn(t("v"), present(x))
+    totals = step.groupBy(*keys, "_block").agg(F.coalesce(F.sum(t("v")), F.lit(0.0)).alias(t("total")))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0.0)).alias("_offset"))
+    offsets = totals.select(*keys, "_block", F.coalesce(F.sum(t("total")).over(before), F.lit(0.0)).alias(t("offset")))
     inner = Series([*keys, "_block"], ["_row"])
-    scanned = step.join(offsets, [*keys, "_block"]).withColumn(out, F.when(F.col("_v").isNotNull(), F.col("_offset") + F.sum("_v").over(inner.upto)))
-    return scanned.drop("_v", "_offset")
+    scanned = step.join(offsets, [*keys, "_block"]).withColumn(out, F.when(F.col(t("v")).isNotNull(), F.col(t("offset")) + F.sum(t("v")).over(inner.upto)))
+    return scanned.drop(t("v"), t("offset"))

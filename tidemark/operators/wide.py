@@ -10,21 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, checked_span, present
+from ..series import ColumnLike, Series, checked_span, helper_names, present
 
 
 def _joined(df: DataFrame, x: ColumnLike, span: int, series: Series, aggregate, join, out: str, partial: bool) -> DataFrame:
-    names = [*(c for c in df.columns if c != out), out]
-    step = df.withColumns({"_v": present(x), "_i": F.row_number().over(series.ordered) - 1})
-    step = step.withColumn("_b", F.floor(F.col("_i") / checked_span(span)))
-    inner = Window.partitionBy(*series.keys, "_b").orderBy("_i")
+    names, t = [*(c for c in df.columns if c != out), out], helper_names(df)
+    step = df.withColumns({t("v"): present(x), t("i"): F.row_number().over(series.ordered) - 1})
+    step = step.withColumn(t("b"), F.floor(F.col(t("i")) / checked_span(span)))
+    inner = Window.partitionBy(*series.keys, t("b")).orderBy(t("i"))
     head, tail = inner.rowsBetween(Window.unboundedPreceding, 0), inner.rowsBetween(0, Window.unboundedFollowing)
-    step = step.withColumns({"_head": aggregate("_v").over(head), "_head_n": F.count("_v").over(head), "_tail": aggregate("_v").over(tail), "_tail_n": F.count("_v").over(tail)})
+    step = step.withColumns({t("head"): aggregate(t("v")).over(head), t("head_n"): F.count(t("v")).over(head), t("tail"): aggregate(t("v")).over(tail), t("tail_n"): F.count(t("v")).over(tail)})
     back = lambda c: F.lag(c, span - 1).over(series.ordered)
-    whole = F.col("_i") % span == span - 1  # the window is the block itself
-    value = F.when(whole, F.col("_head")).otherwise(join(F.col("_head"), F.coalesce(back("_tail"), F.lit(None).cast("double"))))
-    count = F.when(whole, F.col("_head_n")).otherwise(F.col("_head_n") + F.coalesce(back("_tail_n"), F.lit(0)))
-    wanted = F.least(F.col("_i") + 1, F.lit(span)) if partial else F.lit(span)
+    whole = F.col(t("i")) % span == span - 1  # the window is the block itself
+    value = F.when(whole, F.col(t("head"))).otherwise(join(F.col(t("head")), F.coalesce(back(t("tail")), F.lit(None).cast("double"))))
+    count = F.when(whole, F.col(t("head_n"))).otherwise(F.col(t("head_n")) + F.coalesce(back(t("tail_n")), F.lit(0)))
+    wanted = F.least(F.col(t("i")) + 1, F.lit(span)) if partial else F.lit(span)
     return step.withColumn(out, F.when(count == wanted, value)).select(*names)
 
 

@@ -77,7 +77,7 @@ def _rebuilt(parts: DataFrame, value: str, vector: str, sign: int) -> DataFrame:
     rows = parts.select("label", "k", value, vector, follows.alias("follows"))
     rows = rows.select("*", F.posexplode(vector).alias("r", "a")).select("label", "follows", value, "r", "a", F.posexplode(vector).alias("c", "b"))
     share = F.col("a") * F.col("b")
-    made = rows.groupBy("label", "r", "c").agg(rounded(F.sum(F.col(value) * share), 4).alias("x"), rounded(F.sum(share), 4).alias("same"), F.sum("follows").alias("ordered"))
+    made = rows.groupBy("label", "r", "c").agg(rounded(F.sum(F.col(value) * share)).alias("x"), rounded(F.sum(share), 4).alias("same"), F.sum("follows").alias("ordered"))
     return made
 
 
@@ -122,7 +122,7 @@ def _covariance_sql(skip: bool) -> str:
 
 def _rebuilt_sql(matrix: str) -> str:
     """The matrix itself, from SQL for ``label, r, c, x``."""
-    return f"SELECT label, r, c, {sql_rounded('x', 4)} AS x, (r = c)::INT::DOUBLE AS same, count(*) OVER (PARTITION BY label, r) AS ordered FROM ({matrix})"
+    return f"SELECT label, r, c, x, (r = c)::INT::DOUBLE AS same, count(*) OVER (PARTITION BY label, r) AS ordered FROM ({matrix})"
 
 
 def _components(df: DataFrame) -> DataFrame:

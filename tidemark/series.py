@@ -6,10 +6,10 @@ NULL both mean missing and results are NULL; infinities are data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -29,6 +29,14 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def helper_names(df: DataFrame) -> Callable[[str], str]:
+    """Names for an operator's own columns that none of the table's columns has."""
+    prefix = "_"
+    while any(c.startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return lambda name: prefix + name
+
+
 @dataclass(frozen=True)
 class Series:
     """Which rows make up a series, and their order.
