@@ -139,7 +139,9 @@ def embeddings(spark, tmp_path, n, labels=3):
 
 def test_orthonormalize_query_has_all_vectors_whole(spark, tmp_path):
     x = embeddings(spark, tmp_path, 50)
-    rows = {r.vec_id: r.vector for r in plans.queries()["orthonormalize"](spark, str(tmp_path)).collect()}
+    rows: dict = {}
+    for r in plans.queries()["orthonormalize"](spark, str(tmp_path)).orderBy("vec_id", "idx").collect():
+        rows.setdefault(r.vec_id, []).append(r.x)
     assert sorted(rows) == list(range(50))
     for first in range(0, 50, 4):
         made = []

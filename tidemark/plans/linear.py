@@ -90,7 +90,7 @@ def orthonormalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, in blocks of four, whole."""
     rows = cells(spark, sf_dir).withColumn("b", F.floor(F.col("vec_id") / 4))
     made = op.orthonormalize(rows, ["b"], ("vec_id", "idx", "x"))
-    return made.select("b", F.col("r").alias("vec_id"), F.transform("vector", lambda x: rounded(x, 5)).alias("vector"))
+    return made.select("b", F.col("r").alias("vec_id"), F.posexplode("vector").alias("idx", "x")).withColumn("x", rounded("x", 5))
 
 
 def _vectors(spark: SparkSession, sf_dir: str, holes: bool) -> DataFrame:
@@ -217,7 +217,7 @@ _ORTHONORMAL = """WITH RECURSIVE v AS (
         list_transform(range(len(e)), lambda i: e[i + 1] - coalesce(list_sum(list_transform(step.made, lambda m: list_dot_product(m, e) * m[i + 1])), 0)) AS w
       FROM step JOIN v ON v.b = step.b AND v.k = step.k + 1))
 )
-SELECT b, vec_id, list_transform(u, lambda x: round(x, 5) + 0.0) AS vector FROM step WHERE k > 0"""
+SELECT b, vec_id, idx, round(x, 5) + 0.0 AS x FROM (SELECT b, vec_id, unnest(range(len(u)))::INT AS idx, unnest(u) AS x FROM step WHERE k > 0)"""
 
 
 _MEAN = f"WITH {CELLS}, w AS (SELECT label, idx, avg(x) AS x FROM c GROUP BY label, idx)"
