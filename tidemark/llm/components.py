@@ -28,7 +28,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     A component is named by its smallest node.  Links from a node to itself and
     repeated links change nothing; nodes without other links do not appear, and
     rows with a null are ignored.  Rounds grow with the logarithm of the number
-    of nodes; a hub's links are joined, never gathered.
+    of nodes; a hub's links are joined, never gathered.  The result is a written
+    table, which discard() deletes.
     """
     now = saved(links.select(F.col("u").cast("bigint").alias("u"), F.col("v").cast("bigint").alias("v")).where("u <> v").distinct())
     mark = None
@@ -38,5 +39,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = after
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            leaves, roots = now.select(F.col("u").alias("node"), F.col("v").alias("component")), now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+            named = saved(leaves.union(roots))
+            discard(now)
+            return named
         mark = state

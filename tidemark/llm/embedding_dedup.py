@@ -190,7 +190,7 @@ def _link_counts(members: DataFrame, block_rows: int) -> DataFrame:
 def joined_by_passes(vectors: DataFrame, passes: int, window: int) -> DataFrame:
     """``node, component`` of ``label, vec_id, vector``: first ``passes`` passes, then half as many at a time till a round joins nothing."""
     links = _neighbours(_keyed(vectors, range(passes)), window)
-    joined = saved(connected_components(links))
+    joined = connected_components(links)
     discard(links)
     done, more = passes, max(1, passes // 2)
     while True:
@@ -205,7 +205,7 @@ def joined_by_passes(vectors: DataFrame, passes: int, window: int) -> DataFrame:
             discard(crossing)
             return joined
         known = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        now = saved(connected_components(known.union(crossing)))
+        now = connected_components(known.union(crossing))
         discard(crossing)
         discard(joined)
         joined = now

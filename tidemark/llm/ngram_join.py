@@ -368,8 +368,9 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     doc_id that links reach.  A null, empty or blank text has an empty set,
     linked with nothing; so has a row without doc_id (component_id null).  Rows
     that share a doc_id are one document where their texts are equal; with
-    different texts, all of them are linked.  Repeated rows come back each;
-    other columns are not read.
+    different texts, all of them are linked.  Repeated rows come back each; an
+    empty table gives no rows; other columns are not read.  The result is a
+    written table, which discard() deletes.
     """
     source = _source(docs, id_col, text_col)
     sizes = saved(set_sizes(source))
@@ -382,17 +383,27 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     possible = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     signatures = rows.select("doc_id", "n", "data")
     pairs = saved(shared.where((F.col("doc_id") > F.col("pivot")) & possible).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = verified(saved(parts_filtered(pairs, signatures)), source, levels)
+    likely = saved(parts_filtered(pairs, signatures))
+    links = verified(likely, source, levels)
+    discard(likely)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    discard(links)
     # Second round: pairs of a group that cross components, at least one of them not in the pivot's.
-    more = saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti"))
-    crossing = verified(saved(parts_filtered(more, signatures)), source, levels)
-    discard(shared)
-    discard(pairs)
-    if crossing.limit(1).count():
-        joined = connected_components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(crossing.select("a", "b")))
+    likely = saved(parts_filtered(saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti")), signatures))
+    crossing = verified(likely, source, levels)
+    for done in (likely, shared, pairs):
+        discard(done)
+    if not crossing.isEmpty():
+        more = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(crossing.select("a", "b"))
+        before, joined = joined, connected_components(more)
+        discard(before)
+    discard(crossing)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("component_id"))
-    return rows.drop("data").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = rows.drop("data").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = saved(out)
+    for done in (sizes, classes, joined):
+        discard(done)
+    return out
 
 
 def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
