@@ -121,3 +121,13 @@ def test_one_n_gram_in_thousands_of_unrelated_texts(spark):
     docs += [(5000, " ".join(base)), (5001, " ".join([*base, "more"]))]
     _, got = run(spark, docs)
     assert {d: c for d, (_, c) in got.items() if d != c} == {5001: 5000}
+
+
+def test_with_more_representatives_than_a_filter_holds(spark, monkeypatch):
+    """Beyond the filter's bound copies are left out by a join; the result is the same."""
+    from tidemark.llm.common import BitFilter
+
+    monkeypatch.setattr(BitFilter, "fitting", classmethod(lambda cls, *args: None))
+    docs = near_copies(2, groups=4, copies=6)
+    docs += [(500 + k, docs[0][1]) for k in range(5)]
+    assert run(spark, docs)[1] == brute(docs)

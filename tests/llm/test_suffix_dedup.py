@@ -58,6 +58,16 @@ def test_cut_long_texts(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_structured_texts(spark):
+    """The Thue-Morse word and its complement, which polynomial hashes modulo 2**64 confuse when they are long."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    other = word.translate({97: 98, 98: 97})
+    docs = [(1, word), (2, other), (3, word[:150]), (4, other[700:1200] + "c")]
+    assert run(spark, docs) == brute(docs)
+
+
 def test_edges(spark):
     assert run(spark, []) == {}
     rows = remove_repeats(spark.createDataFrame([(None, "z" * 300), (1, "q" * 50 + "r" * 60), (1, "q" * 50 + "r" * 60)], "doc_id bigint, text string")).collect()

@@ -90,7 +90,11 @@ class BitFilter:
         return [(mix(value + np.uint64(k)) >> np.uint64(64 - bits)).astype(np.int64) for k in (1, 2)]
 
     @classmethod
-    def of(cls, values: DataFrame, columns: list[str], bits: int = 23) -> BitFilter:
+    def of(cls, values: DataFrame, columns: list[str], bits: int | None = None) -> BitFilter:
+        """Sized by the number of rows unless bits are given: 16 MB at most, beyond which more values pass."""
+        if bits is None:
+            bits = min(27, max(16, (8 * values.count() - 1).bit_length()))
+
         def run(batches):
             words = np.zeros(1 << (bits - 6), np.uint64)
             for batch in batches:

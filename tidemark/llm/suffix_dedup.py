@@ -1,21 +1,24 @@
-"""Removal of byte strings that stand earlier too, by distributed prefix doubling.
+"""Removal of byte strings that stand earlier too, by ranks of growing prefixes of sampled positions.
 
-Positions are ranked by growing prefixes, and leave as soon as their rank is
-their own, or the threshold of 100 bytes is reached.  Spark sorts positions with
-their pairs of ranks at each length:
+Positions are ranked by prefixes of three lengths, and leave as soon as their
+rank is their own, or the threshold of 100 bytes is reached.  Prefix doubling
+would rank every position first, which shuffles many times the text (README has
+the figures); here most positions never are.  Ranks are names by content, so a
+length's ranks come from the text itself.  Spark sorts positions by them:
 
 * 40 bytes, at sampled positions.  Each 100-byte string has one anchor, the
   place of its least 40-byte hash, the same wherever the string stands;
   consecutive strings share theirs and make a run.  An anchor whose rank is
   unique leaves with its run.
-* 93 bytes (ranks at p and p + 47), for cells of eight consecutive strings of
-  the runs left: the bytes all eight share.  A unique rank leaves with its cell.
-* 100 bytes (ranks at p and p + 50), for the single strings of the cells left.
+* 93 bytes (pairs of ranks at p and p + 47), for cells of eight consecutive
+  strings of the runs left: the bytes all eight share.  A unique rank leaves with
+  its cell.
+* 100 bytes (pairs of ranks at p and p + 50), for the single strings of the cells
+  left.
 
 Runs and cells of equal rank whose bytes are the same from end to end are
 decided at once, all but the first being repeats; only the first of each kind
-goes on.  Later lengths are ranked in a further pass over the texts, which knows
-what is left from a filter of fixed size; so no text is shuffled for it.
+goes on.  For later lengths the places left are joined to their texts.
 """
 
 from __future__ import annotations
