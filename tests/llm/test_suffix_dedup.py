@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark.llm import suffix_dedup
@@ -68,6 +69,15 @@ def test_structured_texts(spark):
     assert run(spark, docs) == brute(docs)
 
 
+def test_rows_of_one_batch_in_any_order():
+    """The earliest of equal rows is the first, however they come."""
+    doc, lo = np.array([2, 1, 1, 2, 1]), np.array([5, 9, 3, 1, 3])
+    same = np.zeros(5, np.uint64)
+    (batch,) = suffix_dedup._emit(doc, same, same, lo, np.ones(5, int), np.zeros(5, int))
+    rows = list(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lo", "known")), strict=True))
+    assert rows == [(1, 3, False), (1, 3, False), (1, 9, True), (2, 1, True), (2, 5, True)]
+
+
 def test_edges(spark):
     assert run(spark, []) == {}
     rows = remove_repeats(spark.createDataFrame([(None, "z" * 300), (1, "q" * 50 + "r" * 60), (1, "q" * 50 + "r" * 60)], "doc_id bigint, text string")).collect()

@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ class Block:
 
     def __init__(self, ids: list, texts: list[str], window: int = 20, least: float = 0.75):
         self.ids = ids
-        data, offsets = text_buffer(pa.compute.utf8_lower(pa.array(texts, pa.string())))
+        data, offsets = text_buffer(pc.utf8_lower(pa.array(texts, pa.string())))
         self.words, self.at = word_hashes(data, offsets, ALNUM)
         self.sizes = np.minimum(np.diff(self.at), window)
         self.needs = np.array([math.ceil(least * int(size)) for size in self.sizes], np.int64)
@@ -152,7 +153,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
             block = shared.value
             for batch in batches:
-                data, offsets = text_buffer(pa.compute.utf8_lower(batch.column(1)))
+                data, offsets = text_buffer(pc.utf8_lower(batch.column(1)))
                 rows = []
                 for low, high in chunks(offsets):
                     inner = offsets[low : high + 1] - offsets[low]

@@ -22,6 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -212,7 +213,7 @@ def _prefix_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray) -> It
 def _posting_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``token, doc_id, n, pos``: a row for each n-gram of each prefix."""
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+        lengths = pc.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
         tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<i8")
         row = np.repeat(np.arange(batch.num_rows), lengths)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)

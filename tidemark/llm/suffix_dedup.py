@@ -154,6 +154,9 @@ def _first_known(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarr
 
 def _emit(doc: np.ndarray, key: np.ndarray, ctx: np.ndarray, lo: np.ndarray, n: np.ndarray, anchor: np.ndarray):
     """Rows of one batch.  Repeats within it are decided here, which spares the sort the groups of many copies."""
+    if ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (lo[1:] < lo[:-1]))).any():
+        order = np.lexsort((lo, doc))
+        doc, key, ctx, lo, n, anchor = (c[order] for c in (doc, key, ctx, lo, n, anchor))
     known = _first_known(doc, key, ctx, lo)
     key = np.where(known, mix(doc.astype(_U)), key)  # decided rows go anywhere
     columns = (key.view(np.int64), ctx.view(np.int64), doc, lo, n.astype(np.int32), anchor.astype(np.int32), known)

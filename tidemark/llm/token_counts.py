@@ -17,6 +17,7 @@ from itertools import accumulate
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -251,9 +252,9 @@ def count_tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         counter = PrefixCounter.open(path)
         for batch in batches:
             counts = [counter.total(text) if text else 0 for text in batch.column(1).to_pylist()]
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             counts = pa.array(counts, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts, pa.compute.greater(counts, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, counts, pc.greater(counts, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.mapInArrow(run, f"doc_id {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
