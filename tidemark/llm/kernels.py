@@ -159,24 +159,3 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield gram_hashes(words[start:end], end - start)
         else:
             yield np.zeros(0, _U)
-
-
-def window_hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A hash of each substring of ``length`` bytes."""
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.zeros(0, _U)
-    forward, backward = _Powers.upto(len(data) + 1)
-    total = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * forward[: len(data)], out=total[1:])
-    return mix((total[length:] - total[:-length]) * backward[:n])
-
-
-def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of each ``width`` consecutive values, by doubling."""
-    out, have = x, 1
-    while have < width:
-        step = min(have, width - have)
-        out = np.minimum(out[: len(out) - step], out[step:])
-        have += step
-    return out
