@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chat_format import format_turns, read_back
 from .common import table
+from .conversation_repair import repair_damaged
 from .decontaminate import find_overlaps
 from .embedding_dedup import near_vectors
 from .lang_id import fit, predict
@@ -69,8 +70,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_language_id, op2_suffix_dedup, op3_ngram_join, op4_decontamination, op5_license_scan, op6_embedding_dedup, op7_chat_format, op8_line_dedup, op9_packing, op10_token_counts)
+    made = (op1_language_id, op2_suffix_dedup, op3_ngram_join, op4_decontamination, op5_license_scan, op6_embedding_dedup, op7_chat_format, op8_line_dedup, op9_packing, op10_token_counts, op13_conversation_repair)
     return {query.__name__: query for query in made}
 
 
