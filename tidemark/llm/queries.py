@@ -17,6 +17,7 @@ from .license_scan import scan_licenses
 from .line_dedup import remove_repeated_lines
 from .ngram_join import near_duplicate_components
 from .packing import pack
+from .pii import span_digest
 from .spelling import spelling_variants
 from .suffix_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -71,6 +72,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents"), damage_every=199)
 
@@ -80,7 +85,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_language_id, op2_suffix_dedup, op3_ngram_join, op4_decontamination, op5_license_scan, op6_embedding_dedup, op7_chat_format, op8_line_dedup, op9_packing, op10_token_counts, op12_spelling_variants, op13_conversation_repair)
+    made = (op1_language_id, op2_suffix_dedup, op3_ngram_join, op4_decontamination, op5_license_scan, op6_embedding_dedup, op7_chat_format, op8_line_dedup, op9_packing, op10_token_counts, op11_pii, op12_spelling_variants, op13_conversation_repair)
     return {query.__name__: query for query in made}
 
 
