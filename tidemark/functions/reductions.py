@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, as_column, divide, present
+from ..series import ColumnLike, as_column, divide, held, present
 
 
 def _whole(value: Column, *columns: Column) -> Column:
@@ -59,15 +59,15 @@ def nankurtosis(x: ColumnLike, unbiased: bool = True, fisher: bool = True) -> Co
 
 
 def nanmax(x: ColumnLike, position: ColumnLike) -> dict[str, Column]:
-    """Largest value and its position, of equals the first; NULL and 0 if all are missing."""
-    v = present(x)
+    """Largest value, in its own type, and its position, of equals the first; NULL and 0 if all are missing."""
+    v = held(x)
     best = F.max(F.when(v.isNotNull(), F.struct(v.alias("v"), (-as_column(position)).alias("p"))))
     return {"values": best["v"], "indices": F.coalesce(-best["p"], F.lit(0))}
 
 
 def nanmin(x: ColumnLike, position: ColumnLike) -> dict[str, Column]:
-    """Smallest value and its position, of equals the first; NULL and 0 if all are missing."""
-    v = present(x)
+    """Smallest value, in its own type, and its position, of equals the first; NULL and 0 if all are missing."""
+    v = held(x)
     best = F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), as_column(position).alias("p"))))
     return {"values": best["v"], "indices": F.coalesce(best["p"], F.lit(0))}
 
@@ -109,9 +109,21 @@ def covar(x: ColumnLike, y: ColumnLike, ddof: int = 1) -> Column:
     return _whole(_covariance(vx, vy, ddof), vx, vy)
 
 
-def nancovar(x: ColumnLike, y: ColumnLike, ddof: int = 1) -> Column:
-    """Covariance over pairs with both values; exact for any pattern of missing values."""
-    return _covariance(*_pair(x, y), ddof)
+def nancovar(x: ColumnLike, y: ColumnLike, ddof: int = 1, *, compat: bool = False) -> Column:
+    """Covariance over pairs with both values; exact for any pattern of missing values.
+
+    compat: each column is centred by the mean of all its present values,
+    whether or not the other is there, and the mean of products is taken off by
+    the columns' own means; that is exact only where both miss the same rows.
+    """
+    if not compat:
+        return _covariance(*_pair(x, y), ddof)
+    px, py = _pair(x, y)
+    n = F.count(px).cast("double")
+    # How far the pairs' means lie from those of all present values.
+    dx, dy = F.avg(px) - F.avg(present(x)), F.avg(py) - F.avg(present(y))
+    products = divide(n * (F.covar_pop(px, py) + dx * dy), n - ddof)
+    return F.when(n > ddof, products - divide(n * dx, n - ddof) * divide(n * dy, n - ddof))
 
 
 def _correlation(vx: Column, vy: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, as_column, present
+from ..series import ColumnLike, Series, as_column, held, missing, present
 
 
 def nancumsum(x: ColumnLike, series: Series) -> Column:
@@ -35,41 +35,39 @@ def rcummax(x: ColumnLike, position: ColumnLike, series: Series) -> dict[str, Co
 
 
 def cumcount(x: ColumnLike, series: Series) -> Column:
-    """How often the value came before; 0 for a missing value."""
-    column = as_column(x)
-    missing = column.isNull() | F.isnan(column.cast("double"))
-    return F.when(missing, F.lit(0)).otherwise(F.row_number().over(series.among(column)) - 1).cast("bigint")
+    """How often the value, of any type, came before; 0 for a missing value."""
+    return F.when(missing(x), F.lit(0)).otherwise(F.row_number().over(series.among(x)) - 1).cast("bigint")
 
 
 def shift(x: ColumnLike, shifts: int, series: Series) -> Column:
-    """The value ``shifts`` rows before; after, if negative."""
-    return F.lag(present(x), shifts).over(series.ordered)
+    """The value ``shifts`` rows before, in its own type; after, if negative."""
+    return F.lag(held(x), shifts).over(series.ordered)
 
 
 def nanshift(x: ColumnLike, series: Series, shifts: int = 1) -> Column:
     """As shift, among the present values only; NULL where the value is missing."""
-    v = present(x)
+    v = held(x)
     return F.when(v.isNotNull(), F.lag(v, shifts).over(series.among(v.isNull())))
 
 
 def group_shift(x: ColumnLike, mask: ColumnLike, series: Series, shifts: int = 1) -> Column:
     """As shift, among the rows whose mask is true; NULL elsewhere."""
-    held = F.coalesce(as_column(mask), F.lit(False))
-    return F.when(held, F.lag(present(x), shifts).over(series.among(held)))
+    chosen = F.coalesce(as_column(mask), F.lit(False))
+    return F.when(chosen, F.lag(held(x), shifts).over(series.among(chosen)))
 
 
 def ffill(x: ColumnLike, series: Series) -> Column:
-    """The last present value up to the row."""
-    return F.last(present(x), ignorenulls=True).over(series.upto)
+    """The last present value up to the row, in its own type."""
+    return F.last(held(x), ignorenulls=True).over(series.upto)
 
 
 def bfill(x: ColumnLike, series: Series) -> Column:
-    """The next present value from the row on."""
-    return F.first(present(x), ignorenulls=True).over(series.since)
+    """The next present value from the row on, in its own type."""
+    return F.last(held(x), ignorenulls=True).over(series.since)
 
 
 def stable_rank(x: ColumnLike, series: Series) -> Column:
     """The row's place when its series is sorted by value, from 0; missing values last, equals in order."""
     keys = [F.col(k) for k in series.keys]
     order = [F.col(o) for o in series.order_by]
-    return F.row_number().over(Window.partitionBy(*keys).orderBy(present(x).asc_nulls_last(), *order)) - 1
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(held(x).asc_nulls_last(), *order)) - 1

@@ -2,7 +2,7 @@
 
 from .averages import ema, rsi
 from .blur import gaussian_blur, gaussian_weights
-from .grouping import apply_for_axis, bincount, group_rows, padded_groups, reduce_nan_patterns, skipna, stable_sort
+from .grouping import apply_for_axis, bincount, bincount_ranges, group_rows, padded_groups, reduce_nan_patterns, skipna, stable_sort
 from .linalg import eigh, einsum, nanpca, orthogonalize, orthonormalize, pca, pca_cov, project
 from .long_series import cumulative_in_blocks, trailing_in_blocks, with_blocks
 from .randoms import rand_table, randint_table, randn_table, randperm, with_rand, with_randn

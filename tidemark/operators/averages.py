@@ -60,6 +60,8 @@ def ema(df: DataFrame, x: ColumnLike, alpha: float, series: Series, *, adjust: b
         mean = F.avg(v) if adjust else F.first(v)
         return _bare(df.withColumn(out, F.when(unbroken, mean.over(series.upto))), names)
     rate = 1.0 - alpha
+    if rate == 1.0:  # too small to weigh in double precision
+        return ema(df, x, 0, series, adjust=adjust, out=out)
     step = df.withColumns({t("ok"): unbroken, t("v"): v, t("i"): F.row_number().over(series.ordered) - 1})
     if adjust:
         step = _weighted(step, {t("top"): F.coalesce(t("v"), F.lit(0.0)), t("bottom"): F.lit(1.0)}, rate, series, t)

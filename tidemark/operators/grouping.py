@@ -10,16 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scans import stable_rank
-from ..series import ColumnLike, Series, as_column, helper_names, present
+from ..series import ColumnLike, Series, as_column, held, helper_names, join_keys, missing
 
 
 def reduce_nan_patterns(df: DataFrame, x: ColumnLike, *, position: str, ref: str | list[str], all_others: bool = False, keys: list[str] | None = None, out: str = "mask") -> DataFrame:
     """``keys, position, mask``: whether every ref has a present value there, in any (or all) of its other rows."""
     keys = list(keys or [])
-    refs = [ref] if isinstance(ref, str) else list(ref)
-    there = present(x).isNotNull()
-    by_ref = df.groupBy(*keys, position, *refs).agg((F.bool_and(there) if all_others else F.bool_or(there)).alias("_there"))
-    return by_ref.groupBy(*keys, position).agg(F.bool_and("_there").alias(out))
+    refs, t = [ref] if isinstance(ref, str) else list(ref), helper_names(df)
+    there = ~missing(x)
+    by_ref = df.groupBy(*keys, position, *refs).agg((F.bool_and(there) if all_others else F.bool_or(there)).alias(t("there")))
+    return by_ref.groupBy(*keys, position).agg(F.bool_and(t("there")).alias(out))
 
 
 def skipna(df: DataFrame, operator: Callable[[Series], Column], *inputs: ColumnLike, series: Series, out: str) -> DataFrame:
@@ -30,24 +30,59 @@ def skipna(df: DataFrame, operator: Callable[[Series], Column], *inputs: ColumnL
     t = helper_names(df)
     whole = F.lit(True)
     for x in inputs:
-        whole = whole & present(x).isNotNull()
+        whole = whole & ~missing(x)
     marked = df.withColumn(t("whole"), whole)
     inner = Series([*series.keys, t("whole")], series.order_by)
     return marked.withColumn(out, F.when(F.col(t("whole")), operator(inner))).drop(t("whole"))
 
 
-def bincount(df: DataFrame, x: str, *, keys: list[str], minlength: int = 0) -> DataFrame:
+def _counted(df: DataFrame, x: str, keys: list[str], t: Callable[[str], str]) -> DataFrame:
+    """``keys, value, n`` of the whole numbers."""
+    value = F.col(x).cast("bigint")
+    return df.where(value.isNotNull()).groupBy(*keys, value.alias(t("value"))).agg(F.count(F.lit(1)).alias(t("n")))
+
+
+def _widths(df: DataFrame, x: str, minlength: int, t: Callable[[str], str]) -> DataFrame:
+    """One row: how many bins there are; a negative number ends the job."""
+    value = F.col(x).cast("bigint")
+    width = F.greatest(F.max(value) + 1, F.lit(minlength)).cast("bigint")
+    return df.agg(F.when(F.min(value) < 0, F.raise_error(F.lit("bincount takes no negative numbers")).cast("bigint")).otherwise(width).alias(t("width")))
+
+
+def bincount(df: DataFrame, x: str, *, keys: list[str], minlength: int = 0, out: str = "n") -> DataFrame:
     """``keys, x, n``: how often each whole number from 0 to the largest of all occurs in each group.
 
-    The width is at least ``minlength``; an empty table gives no groups.
+    The width is at least ``minlength``; an empty table gives no groups.  Null
+    values aren't counted, a null key is a group like others, and a negative
+    number is an error.  Counts are combined before the shuffle, so a number
+    that makes up half of all rows is a row a task.  The result has a row for
+    each number from 0, however many there are: see bincount_ranges for wide ones.
     """
-    value = F.col(x).cast("bigint")
-    counted = df.where(value.isNotNull()).groupBy(*keys, value.alias(x)).agg(F.count(F.lit(1)).alias("n"))
+    t = helper_names(df)
+    counted, width = _counted(df, x, keys, t), _widths(df, x, minlength, t)
     # One row; Spark joins it to each group without an action of its own.
-    width = df.agg(F.greatest(F.max(value) + 1, F.lit(minlength)).alias("_width"))
     groups = df.select(*keys).distinct().join(F.broadcast(width)) if keys else width
-    grid = groups.where("_width > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_width") - 1)).alias(x))
-    return grid.join(counted, [*keys, x], "left").select(*keys, x, F.coalesce("n", F.lit(0)).alias("n"))
+    grid = groups.where(F.col(t("width")) > 0).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(t("width")) - 1)).alias(t("value")))
+    return join_keys(grid, counted, [*keys, t("value")], "left").select(*keys, F.col(t("value")).alias(x), F.coalesce(t("n"), F.lit(0)).alias(out))
+
+
+def bincount_ranges(df: DataFrame, x: str, *, keys: list[str], minlength: int = 0) -> DataFrame:
+    """``keys, first, last, n``: as bincount, with runs of numbers that don't occur as one row of n = 0.
+
+    As many rows at most as twice the different numbers, and one, a group,
+    whatever the width.
+    """
+    t = helper_names(df)
+    counted, width = _counted(df, x, keys, t), _widths(df, x, minlength, t)
+    empty = join_keys(df.select(*keys).distinct(), counted.select(*keys).distinct().withColumn(t("some"), F.lit(1)), keys, "left") if keys else None
+    # A number of -1 with no rows begins each group, the width itself ends it.
+    begins = (empty.select(*keys) if keys else width.select()).withColumns({t("value"): F.lit(-1).cast("bigint"), t("n"): F.lit(None).cast("bigint")})
+    after = F.lead(t("value")).over(Series(keys, [t("value")]).ordered)
+    marked = counted.unionByName(begins).withColumn(t("after"), after).join(F.broadcast(width))
+    until = F.coalesce(F.col(t("after")), F.col(t("width"))) - 1
+    here = F.when(F.col(t("value")) >= 0, F.array(F.struct(F.col(t("value")).alias("first"), F.col(t("value")).alias("last"), F.col(t("n")).alias("n")))).otherwise(F.array())
+    gap = F.when(until > F.col(t("value")), F.array(F.struct((F.col(t("value")) + 1).alias("first"), until.alias("last"), F.lit(0).cast("bigint").alias("n")))).otherwise(F.array())
+    return marked.select(*keys, F.explode(F.concat(here, gap)).alias(t("run"))).select(*keys, *(F.col(f"{t('run')}.{c}").alias(c) for c in ("first", "last", "n")))
 
 
 def group_rows(df: DataFrame, group_id: str, series: Series, *, out: str = "slot") -> DataFrame:
@@ -59,23 +94,28 @@ def group_rows(df: DataFrame, group_id: str, series: Series, *, out: str = "slot
 def padded_groups(df: DataFrame, x: str, group_id: str, series: Series, *, empty_value: float | None = None) -> DataFrame:
     """``keys, group_id, values``: arrays of equal length, one for each id from 0 to the largest.
 
-    An array holds its whole group, so groups must be of a size that a row can be.
+    An array holds its whole group, so groups must be of a size that a row can
+    be; group_rows has no such bound.  A null key is a key like others, rows
+    without a group_id are left out, and a negative one is an error.
     """
-    keys = list(series.keys)
-    order = F.struct(*[F.col(c) for c in series.order_by], F.col(x).alias("_x"))
-    lists = df.groupBy(*keys, group_id).agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["_x"]).alias("_list"))
-    extent = lists.agg(F.max(F.size("_list")).alias("_depth"), F.max(group_id).alias("_last"))
-    wide = (lists.select(*keys).distinct() if keys else extent.select(F.lit(1).alias("_one"))).join(F.broadcast(extent))
-    grid = wide.select(*keys, "_depth", F.explode(F.sequence(F.lit(0).cast(df.schema[group_id].dataType), F.col("_last"))).alias(group_id))
-    found = F.coalesce("_list", F.array().cast(T.ArrayType(df.schema[x].dataType)))
-    pad = F.array_repeat(F.lit(empty_value).cast(df.schema[x].dataType), F.col("_depth") - F.size(found))
-    return grid.join(lists, [*keys, group_id], "left").select(*keys, group_id, F.concat(found, pad).alias("values"))
+    keys, t = list(series.keys), helper_names(df)
+    kind = df.schema[group_id].dataType
+    checked = F.when(F.col(group_id) < 0, F.raise_error(F.lit("group ids are at least 0")).cast(kind)).otherwise(F.col(group_id))
+    order = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(series.order_by)], F.col(x).alias("x"))
+    grouped = df.where(F.col(group_id).isNotNull()).groupBy(*keys, checked.alias(t("id")))
+    lists = grouped.agg(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["x"]).alias(t("list")))
+    extent = lists.agg(F.max(F.size(t("list"))).alias(t("depth")), F.max(t("id")).alias(t("last")))
+    wide = lists.select(*keys).distinct().join(F.broadcast(extent)) if keys else extent.where(F.col(t("last")).isNotNull())
+    grid = wide.select(*keys, t("depth"), F.explode(F.sequence(F.lit(0).cast(kind), F.col(t("last")))).alias(t("id")))
+    found = F.coalesce(t("list"), F.array().cast(T.ArrayType(df.schema[x].dataType)))
+    pad = F.array_repeat(F.lit(empty_value).cast(df.schema[x].dataType), F.col(t("depth")) - F.size(found))
+    return join_keys(grid, lists, [*keys, t("id")], "left").select(*keys, F.col(t("id")).alias(group_id), F.concat(found, pad).alias("values"))
 
 
 def stable_sort(df: DataFrame, x: ColumnLike, position: str, series: Series) -> DataFrame:
     """``keys, place, values, indices``: each series in ascending order, missing last, equals in order."""
     place = stable_rank(x, series).alias("place")
-    return df.select(*series.keys, place, present(x).alias("values"), as_column(position).alias("indices"))
+    return df.select(*series.keys, place, held(x).alias("values"), as_column(position).alias("indices"))
 
 
 def apply_for_axis(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: T.StructType | str, series: Series) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..series import Series, divide, present
+from ..series import Series, divide, helper_names, present
 
 
 def _subscripts(equation: str, ranks: list[int]) -> tuple[list[list[str]], list[str]]:
@@ -190,13 +190,14 @@ def covariance(df: DataFrame, keys: list[str], section: str, dimension: str, val
     one row of a dimension at most; rows with a null key, section or dimension
     are left out.
     """
-    rows = df.dropna(subset=[*keys, section, dimension]).select(*keys, F.col(section).alias("_section"), F.col(dimension).alias("_at"), F.coalesce(F.col(value).cast("double"), F.lit(math.nan)).alias("_x"))
-    names = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("_at")).alias("_names"))
-    sections = rows.groupBy(*keys, "_section").agg(F.map_from_entries(F.collect_list(F.struct("_at", "_x"))).alias("_map"))
+    t = helper_names(df)
+    rows = df.dropna(subset=[*keys, section, dimension]).select(*keys, F.col(section).alias(t("section")), F.col(dimension).alias(t("at")), F.coalesce(F.col(value).cast("double"), F.lit(math.nan)).alias(t("x")))
+    names = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(t("at"))).alias(t("names")))
+    sections = rows.groupBy(*keys, t("section")).agg(F.map_from_entries(F.collect_list(F.struct(t("at"), t("x")))).alias(t("map")))
     join = (lambda a: a.join(names, keys)) if keys else (lambda a: a.crossJoin(F.broadcast(names)))  # one row
-    vectors = join(sections).select(*keys, F.transform("_names", lambda name: F.try_element_at("_map", name)).alias("_vector"))
-    found = join(_vector_covariance(vectors, keys, "_vector", skip_missing, ddof))
-    return found.select(*keys, F.get("_names", F.col("r")).alias("r"), F.get("_names", F.col("c")).alias("c"), "x")
+    vectors = join(sections).select(*keys, F.transform(t("names"), lambda name: F.try_element_at(t("map"), name)).alias(t("vector")))
+    found = join(_vector_covariance(vectors, keys, t("vector"), skip_missing, ddof))
+    return found.select(*keys, F.get(t("names"), F.col("r")).alias("r"), F.get(t("names"), F.col("c")).alias("c"), "x")
 
 
 def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -207,7 +208,8 @@ def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     shorter array.  Tasks add up whole matrices, so a row never meets itself in
     a join.  Rows with a missing key are left out.
     """
-    rows = df.select(*keys, F.col(vector).cast("array<double>").alias("_vector")).dropna(subset=[*keys, "_vector"])
+    own = helper_names(df)("vector")
+    rows = df.select(*keys, F.col(vector).cast("array<double>").alias(own)).dropna(subset=[*keys, own])
     kinds = [rows.schema[k].dataType for k in keys]
 
     def run(batches):
@@ -259,8 +261,9 @@ def pair_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 
 def _both_triangles(half: DataFrame, keys: list[str]) -> DataFrame:
+    at = helper_names(half)("at")
     both = F.when(F.col("r") > F.col("c"), F.array(F.struct("r", "c"), F.struct(F.col("c").alias("r"), F.col("r").alias("c")))).otherwise(F.array(F.struct("r", "c")))
-    return half.select(*keys, F.explode(both).alias("_at"), "x").select(*keys, "_at.r", "_at.c", "x")
+    return half.select(*keys, F.explode(both).alias(at), "x").select(*keys, f"{at}.r", f"{at}.c", "x")
 
 
 def gram_of_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
@@ -270,20 +273,22 @@ def gram_of_vectors(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
 
 def covariance_of_vectors(df: DataFrame, keys: list[str], vector: str, *, skip_missing: bool, ddof: int = 1) -> DataFrame:
     """As covariance, of an array column's coordinates; NULL and NaN are missing, a shorter array has no row."""
+    own = helper_names(df)("vector")
     holes = F.transform(F.col(vector).cast("array<double>"), lambda x: F.coalesce(x, F.lit(math.nan)))
-    return _vector_covariance(df.select(*keys, holes.alias("_vector")), keys, "_vector", skip_missing, ddof)
+    return _vector_covariance(df.select(*keys, holes.alias(own)), keys, own, skip_missing, ddof)
 
 
 def _vector_covariance(df: DataFrame, keys: list[str], vector: str, skip_missing: bool, ddof: int) -> DataFrame:
     # Sums of products lose no digits once values are near zero; the shift itself cancels out.
-    cells = df.dropna(subset=keys).select(*keys, F.posexplode(vector).alias("_at", "_x"))
-    mean = cells.groupBy(*keys, "_at").agg(F.avg(present("_x")).alias("_m"))
-    mean = mean.withColumn("_m", F.when(F.abs("_m") < float("inf"), F.col("_m")).otherwise(0.0))
-    means = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_m"))), lambda s: s["_m"]).alias("_means"))
+    t = helper_names(df)
+    cells = df.dropna(subset=keys).select(*keys, F.posexplode(vector).alias(t("at"), t("x")))
+    mean = cells.groupBy(*keys, t("at")).agg(F.avg(present(t("x"))).alias(t("m")))
+    mean = mean.withColumn(t("m"), F.when(F.abs(t("m")) < float("inf"), F.col(t("m"))).otherwise(0.0))
+    means = mean.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(t("at"), t("m")))), lambda s: s[t("m")]).alias(t("means")))
     # Shorter vectors stay so.
-    near = F.transform(F.col(vector), lambda x, k: x - F.get("_means", k))
+    near = F.transform(F.col(vector), lambda x, k: x - F.get(t("means"), k))
     joined = df.join(means, keys) if keys else df.crossJoin(F.broadcast(means))  # one row
-    sums = pair_sums(joined.select(*keys, near.alias("_near")), keys, "_near")
+    sums = pair_sums(joined.select(*keys, near.alias(t("near"))), keys, t("near"))
     value = (F.col("xy") - F.col("x") * F.col("y") / F.col("n")) / (F.col("n") - ddof)
     enough = F.col("n") > ddof if skip_missing else (F.col("n") > ddof) & (F.col("n") == F.col("n_all"))
     return _both_triangles(sums.select(*keys, "r", "c", F.when(enough & (F.col("n") > 0), present(value)).alias("x")), keys)

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, checked_span, helper_names, present
+from ..series import ColumnLike, Series, checked_span, helper_names, join_keys, present
 
 
 def with_blocks(df: DataFrame, order_by: str, keys: list[str], *, rows_per_block: int, slice_width: float) -> DataFrame:
@@ -33,7 +33,7 @@ def with_blocks(df: DataFrame, order_by: str, keys: list[str], *, rows_per_block
     starts = counts.select(*keys, t("slice"), F.coalesce(F.sum(t("n")).over(before), F.lit(0)).alias(t("start")))
     inner = Window.partitionBy(*keys, t("slice")).orderBy(order_by)
     row = F.col(t("start")) + F.row_number().over(inner) - 1
-    numbered = sliced.join(starts, [*keys, t("slice")]).withColumn("_row", row)
+    numbered = join_keys(sliced, starts, [*keys, t("slice")]).withColumn("_row", row)
     return numbered.withColumn("_block", F.floor(F.col("_row") / rows_per_block)).drop(t("slice"), t("start"))
 
 
@@ -61,5 +61,5 @@ def cumulative_in_blocks(blocked: DataFrame, x: ColumnLike, keys: list[str], *,
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_block", F.coalesce(F.sum(t("total")).over(before), F.lit(0.0)).alias(t("offset")))
     inner = Series([*keys, "_block"], ["_row"])
-    scanned = step.join(offsets, [*keys, "_block"]).withColumn(out, F.when(F.col(t("v")).isNotNull(), F.col(t("offset")) + F.sum(t("v")).over(inner.upto)))
+    scanned = join_keys(step, offsets, [*keys, "_block"]).withColumn(out, F.when(F.col(t("v")).isNotNull(), F.col(t("offset")) + F.sum(t("v")).over(inner.upto)))
     return scanned.drop(t("v"), t("offset"))

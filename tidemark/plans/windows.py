@@ -135,7 +135,7 @@ def shift_two_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cumcount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = fn.cumcount(F.hash("event_type"), USER)
+    count = fn.cumcount("event_type", USER)
     return events(spark, sf_dir).select(*ID, count.alias("result"))
 
 

@@ -24,6 +24,40 @@ def present(x: ColumnLike) -> Column:
     return F.nullif(as_column(x).cast("double"), F.lit(float("nan")))
 
 
+def missing(x: ColumnLike) -> Column:
+    """Whether a value of any type is NULL or, as a double or float, NaN.
+
+    The type is a constant of the plan, so other types are only asked for NULL.
+    A hash finds NaN without a cast that other types would not stand; equality confirms it.
+    """
+    x = as_column(x)
+    nan = F.lit(float("nan"))
+    hashed = F.xxhash64(x).isin(F.xxhash64(nan), F.xxhash64(nan.cast("float"))) & (x.cast("string") == "NaN")
+    return x.isNull() | (F.typeof(x).isin("double", "float") & hashed)
+
+
+def held(x: ColumnLike) -> Column:
+    """The value in its own type, NULL where it is missing."""
+    return F.when(~missing(x), as_column(x))
+
+
+def join_keys(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """a joined with b by keys, NULL equal to NULL; b's keys are renamed for it and dropped, its other names must be new."""
+    taken = {c.lower() for c in [*a.columns, *b.columns]}
+    names = {}
+    for k in keys:
+        name = f"_{k}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        names[k] = name
+        taken.add(name.lower())
+    other = b.select(*(F.col(c).alias(names.get(c, c)) for c in b.columns))
+    condition = F.lit(True)
+    for k, name in names.items():
+        condition = condition & F.col(k).eqNullSafe(F.col(name))
+    return a.join(other, condition, how).drop(*names.values())
+
+
 def divide(a: Column, b: Column) -> Column:
     """NULL where the divisor is zero."""
     return F.try_divide(a, b)
@@ -74,7 +108,9 @@ class Series:
 
     @property
     def since(self) -> WindowSpec:
-        return self.ordered.rowsBetween(0, Window.unboundedFollowing)
+        """From the end back to the row: read in falling order, a frame to the end isn't aggregated anew for each row."""
+        keys, order = self._columns()
+        return Window.partitionBy(*keys).orderBy(*(o.desc() for o in order)).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def checked_span(span: int) -> int:
