@@ -93,6 +93,20 @@ def _soft(f, name: str) -> Query:
     return query
 
 
+def soft_topk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten rounds over all orders of each status, whose prices are dealt to parts."""
+    df = read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderkey", "o_totalprice"])
+    made = op.soft_topk(df, "o_totalprice", 10, Series(["o_orderstatus"], ["o_orderkey"]), max_iter=10, rows_per_part=500, out="result")
+    return made.select("o_orderstatus", "o_orderkey", rounded("result").alias("result"))
+
+
+def soft_parts_sql() -> str:
+    sql = soft_sql([-1.0, 1.0], ["(max(n) - 10) / max(n)", "10 / max(n)"], "p[2] * n", rounds=10)
+    for a, b in {"c_nationkey": "o_orderstatus", "c_custkey": "o_orderkey", "c_acctbal": "o_totalprice", "FROM customer": "FROM orders"}.items():
+        sql = sql.replace(a, b)
+    return sql
+
+
 def soft_sql(anchors: list[float], masses: list[str], result: str, epsilon: float = 0.1, rounds: int = 200) -> str:
     """The transport's iteration, each round a step of the recursion: a group's state is a number for each anchor."""
     n = range(1, len(anchors) + 1)
@@ -173,5 +187,6 @@ PLANS: dict[str, tuple[Query, str | None]] = {
     ),
     "signif": (signif, "SELECT o_orderkey, round_even(o_totalprice * power(10.0, 3 - ceil(log10(abs(o_totalprice)))), 0) / power(10.0, 3 - ceil(log10(abs(o_totalprice)))) AS result FROM orders"),
     "soft_topk": (_soft(op.soft_topk, "soft_topk"), soft_sql([-1.0, 1.0], ["(max(n) - 1) / max(n)", "1 / max(n)"], "p[2] * n")),
+    "soft_topk_parts": (soft_topk_parts, soft_parts_sql()),
     "soft_topk_bottomk": (_soft(op.soft_topk_bottomk, "soft_topk_bottomk"), soft_sql([-1.0, 0.0, 1.0], ["1 / max(n)", "(max(n) - 2) / max(n)", "1 / max(n)"], "(p[3] - p[1]) * n")),
 }
