@@ -187,3 +187,35 @@ def test_columns_named_like_an_operators_own_stay(spark):
         made = make(df)
         assert all(row[c] == 99 for row in made.collect() for c in own)
         assert column(made) == column(make(plain))
+
+
+def test_scans_in_blocks_equal_plain_ones(spark):
+    rng = random.Random(9)
+    df = series(spark, [NAN if rng.random() < 0.1 else round(rng.random(), 1) for _ in range(150)], [rng.random() for _ in range(37)]).withColumn("k", F.nullif("k", F.lit(1)))
+    whole = df.withColumn("x", F.coalesce(F.nanvl("x", F.lit(0.5)), F.lit(0.5)))
+    for table in (df, whole):
+        blocked = op.with_blocks(table, "pos", ["k"], rows_per_block=8, slice_width=50).cache()
+        best = fn.rcummax("x", "pos", ONE)
+        plain = {
+            "nancumprod": fn.nancumprod("x", ONE), "ffill": fn.ffill("x", ONE), "bfill": fn.bfill("x", ONE), "rcumsum": fn.rcumsum("x", ONE), "cumcount": fn.cumcount("x", ONE), "values": best["values"], "indices": best["indices"],
+        }
+        want = table.select("k", "pos", *(c.alias(n) for n, c in plain.items()))
+        made = blocked
+        for name in ("nancumprod", "ffill", "bfill", "rcumsum", "cumcount"):
+            made = getattr(op, f"{name}_in_blocks")(made, "x", ["k"], out=name)
+        made = op.rcummax_in_blocks(made, "x", "pos", ["k"])
+        got, want = ({(r.k, r.pos): r for r in d.collect()} for d in (made, want))
+        assert got.keys() == want.keys()
+        for name in plain:
+            assert same([got[k][name] for k in sorted(want, key=repr)], [want[k][name] for k in sorted(want, key=repr)]), name
+
+
+@pytest.mark.parametrize("alpha, adjust", [(0.3, True), (0.001, True), (0.9999, True), (0.05, False)])
+def test_averages_in_blocks_equal_plain_ones(spark, alpha, adjust):
+    rng = random.Random(9)
+    df = series(spark, [rng.random() for _ in range(300)], [rng.random() for _ in range(30)] + [NAN] + [1.0] * 9)
+    blocked = op.with_blocks(df, "pos", ["k"], rows_per_block=16, slice_width=50)
+    got = column(op.ema_in_blocks(blocked, "x", alpha, ["k"], rows_per_block=16, adjust=adjust, out="out"))
+    assert same(got, column(op.ema(df, "x", alpha, ONE, adjust=adjust, out="out")), 1e-9)
+    if adjust and alpha == 0.3:
+        assert same(column(op.rsi_in_blocks(blocked, "x", ["k"], 7, rows_per_block=16, out="out")), column(op.rsi(df, "x", ONE, 7, out="out")), 1e-9)

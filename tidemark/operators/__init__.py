@@ -1,10 +1,21 @@
 """Operators that take several steps or change the shape of a table."""
 
-from .averages import ema, rsi
+from .averages import ema, ema_in_blocks, rsi, rsi_in_blocks
 from .blur import gaussian_blur, gaussian_weights
 from .grouping import apply_for_axis, bincount, bincount_ranges, group_rows, padded_groups, reduce_nan_patterns, skipna, stable_sort
 from .linalg import eigh, einsum, nanpca, orthogonalize, orthonormalize, pca, pca_cov, project
-from .long_series import cumulative_in_blocks, trailing_in_blocks, with_blocks
+from .long_series import (
+    bfill_in_blocks,
+    cumcount_in_blocks,
+    cumulative_in_blocks,
+    ffill_in_blocks,
+    nancumprod_in_blocks,
+    rcummax_in_blocks,
+    rcumsum_in_blocks,
+    scan_in_blocks,
+    trailing_in_blocks,
+    with_blocks,
+)
 from .randoms import rand_table, randint_table, randn_table, randperm, with_rand, with_randn
 from .soft_topk import soft_topk, soft_topk_bottomk
 from .wide import wide_ma, wide_mmax, wide_mmin, wide_msum

@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..series import ColumnLike, Series, divide, helper_names, present
+from ..series import ColumnLike, Series, divide, helper_names, join_keys, present
+from .long_series import COUNT, scan_in_blocks, trailing_in_blocks
 
 _NEGLIGIBLE = 1e-17
 
@@ -105,3 +106,53 @@ def rsi(df: DataFrame, x: ColumnLike, series: Series, span: int = 14, *, use_sma
             step = _weighted(step, {t("gain"): F.coalesce(t("up_w"), F.lit(0.0)), t("loss"): F.coalesce(t("down_w"), F.lit(0.0))}, rate, series, t)
     value = F.coalesce(divide(F.lit(100.0) * F.col(t("gain")), F.col(t("gain")) + F.col(t("loss"))), F.lit(0.0))
     return _bare(step.withColumn(out, F.when(F.col(t("ok")), value)), names)
+
+
+def _decayed(step: DataFrame, values: dict[str, Column], rate: float, keys: list[str], rows_per_block: int, t: Callable[[str], str]) -> DataFrame:
+    """As _weighted, for the result of with_blocks: an affine map of each block carries what came before it on."""
+    place = F.col("_row") % rows_per_block
+    step = _weighted(step.withColumn(t("i"), place), values, rate, Series([*keys, "_block"], ["_row"]), t)
+    # What a block leaves to the next: its sum at its last row, and the rate to the power of its rows.
+    totals = step.groupBy(*keys, "_block").agg(*(F.max_by(name, "_row").alias(t(f"{name}_left")) for name in values))
+    over_block = rate**rows_per_block
+    if over_block > 1e-300:
+        totals = _weighted(totals.withColumn(t("i"), F.col("_block")), {t(f"{name}_left"): F.col(t(f"{name}_left")) for name in values}, over_block, Series(keys, ["_block"]), t)
+    earlier = Series(keys, ["_block"]).ordered
+    carried = totals.select(*keys, "_block", *(F.coalesce(F.lag(t(f"{name}_left")).over(earlier), F.lit(0.0)).alias(t(f"{name}_carried")) for name in values))
+    fade = F.pow(F.lit(rate), (place + 1).cast("double"))
+    return join_keys(step, carried, [*keys, "_block"]).withColumns({name: F.col(name) + F.col(t(f"{name}_carried")) * fade for name in values})
+
+
+def ema_in_blocks(blocked: DataFrame, x: ColumnLike, alpha: float, keys: list[str], *, rows_per_block: int, adjust: bool = True, out: str = "ema") -> DataFrame:
+    """As ema, for the result of with_blocks: no task sees more than a block, or a row of each block, however small alpha is."""
+    if not 0 < alpha < 1 or 1.0 - alpha == 1.0:
+        raise ValueError("alpha must lie between 0 and 1, and 1 - alpha differ from 1")
+    names, t, rate = [*(c for c in blocked.columns if c != out), out], helper_names(blocked), 1.0 - alpha
+    step = scan_in_blocks(blocked, {t("gaps"): (F.when(present(x).isNull(), F.lit(1)), COUNT)}, keys)
+    value = F.coalesce(present(x), F.lit(0.0))
+    if not adjust:
+        value = value * F.when(F.col("_row") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
+    step = _decayed(step, {t("top"): value}, rate, keys, rows_per_block, t)
+    # The weights add up to (1 - rate^n) / alpha.
+    bottom = -F.expm1(F.lit(math.log1p(-alpha)) * (F.col("_row") + 1)) / alpha if adjust else F.lit(1.0)
+    return _bare(step.withColumn(out, F.when(F.col(t("gaps")) == 0, F.col(t("top")) / bottom)), names)
+
+
+def rsi_in_blocks(blocked: DataFrame, x: ColumnLike, keys: list[str], span: int = 14, *, rows_per_block: int, out: str = "rsi") -> DataFrame:
+    """As rsi by Wilder's recursion, for the result of with_blocks; the span must be smaller than a block."""
+    if not 1 < span < rows_per_block:
+        raise ValueError("span must lie between 1 and the rows of a block")
+    names, t = [*(c for c in blocked.columns if c != out), out], helper_names(blocked)
+    step = blocked.withColumn(t("v"), present(x))
+    step = trailing_in_blocks(step, lambda s: F.lag(t("v")).over(s.ordered), 2, keys, rows_per_block=rows_per_block, out=t("last"))
+    step = step.withColumn(t("d"), F.col(t("v")) - F.col(t("last")))
+    step = step.withColumns({t("up"): F.greatest(t("d"), F.lit(0.0)), t("down"): F.greatest(-F.col(t("d")), F.lit(0.0))})
+    first = Series([*keys, "_block"], ["_row"]).trailing(span)
+    seeded = {}
+    for name in ("up", "down"):
+        seed = F.avg(t(name)).over(first)  # the seed's row lies in the first block, as do those before it
+        seeded[t(f"{name}_w")] = F.when(F.col("_row") < span, F.lit(0.0)).when(F.col("_row") == span, seed).otherwise(F.col(t(name)) / span)
+    step = scan_in_blocks(step.withColumns(seeded), {t("gaps"): (F.when(F.col(t("v")).isNull(), F.lit(1)), COUNT)}, keys)
+    step = _decayed(step, {t("gain"): F.coalesce(t("up_w"), F.lit(0.0)), t("loss"): F.coalesce(t("down_w"), F.lit(0.0))}, 1.0 - 1.0 / span, keys, rows_per_block, t)
+    value = F.coalesce(divide(F.lit(100.0) * F.col(t("gain")), F.col(t("gain")) + F.col(t("loss"))), F.lit(0.0))
+    return _bare(step.withColumn(out, F.when((F.col("_row") >= span) & (F.col(t("gaps")) == 0), value)), names)

@@ -57,13 +57,20 @@ def _long(make) -> Query:
     """The event table as one series, cut into blocks of 1,000 rows."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = events(spark, sf_dir).select("event_id", "user_id", "x")
+        df = events(spark, sf_dir).select("event_id", "user_id", "event_type", "value", "x")
         blocked = op.with_blocks(df, "event_id", [], rows_per_block=1000, slice_width=5000)
-        return make(blocked).select("event_id", rounded("result", 4).alias("result"))
+        made = make(blocked)
+        results = [c for c in made.columns if c == "result" or c in ("values", "indices")]
+        return made.select("event_id", *(rounded(c, 4).alias(c) for c in results))
 
     return query
 
 
+def _long_sql(order: str = "event_id", **columns: str) -> str:
+    made = ", ".join(f"{sql_rounded(c, 4)} AS {k}" for k, c in columns.items())
+    return f"WITH {EVENTS} SELECT event_id, {made} FROM e WINDOW w AS (ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
 def ema_sql(alpha: float, adjust: bool = True) -> str:
     rate = 1 - alpha
     inner = f"SELECT *, row_number() OVER ({BY_USER}) - 1 AS i FROM e"
@@ -223,6 +230,37 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         _long(lambda df: op.cumulative_in_blocks(df, "x", [], out="result")),
         f"WITH {EVENTS} SELECT event_id, {sql_rounded('CASE WHEN x IS NOT NULL THEN sum(x) OVER w END', 4)} AS result FROM e WINDOW w AS (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     ),
+    "nancumprod_long_series": (
+        _long(lambda df: op.nancumprod_in_blocks(df, 1 + F.col("x") / 1e6, [], out="result")),
+        _long_sql(result="CASE WHEN x IS NOT NULL THEN product(1 + x / 1e6) OVER w END"),
+    ),
+    "rcumsum_long_series": (_long(lambda df: op.rcumsum_in_blocks(df, "value", [], out="result")), _long_sql("event_id DESC", result="sum(value) OVER w")),
+    "rcummax_long_series": (
+        _long(lambda df: op.rcummax_in_blocks(df, "value", "event_id", [])),
+        _long_sql("event_id DESC", **{"values": "max(value) OVER w", "indices": "-(max({'v': value, 'p': -event_id}) OVER w).p"}),
+    ),
+    "cumcount_long_series": (
+        _long(lambda df: op.cumcount_in_blocks(df, "event_type", [], out="result")),
+        f"WITH {EVENTS} SELECT event_id, {sql_rounded('row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1', 4)} AS result FROM e",
+    ),
+    "ffill_long_series": (_long(lambda df: op.ffill_in_blocks(df, "x", [], out="result")), _long_sql(result="last_value(x IGNORE NULLS) OVER w")),
+    "bfill_long_series": (_long(lambda df: op.bfill_in_blocks(df, "x", [], out="result")), _long_sql("event_id DESC", result="last_value(x IGNORE NULLS) OVER w")),
+    "ema_long_series": (
+        _long(lambda df: op.ema_in_blocks(df, "value", 0.001, [], rows_per_block=1000, out="result")),
+        # Weights of the distance, not of the place, which would overflow: of 40,000 rows before, the first weighs 1e-17.
+        f"""WITH {EVENTS}, numbered AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i FROM e),
+        b AS (SELECT *, i // 500 AS b, i % 500 AS j FROM numbered),
+        p AS (SELECT *, sum(value * power(0.999::DOUBLE, -j)) OVER (PARTITION BY b ORDER BY j ROWS UNBOUNDED PRECEDING) * power(0.999::DOUBLE, j) AS own FROM b),
+        t AS (SELECT b, arg_max(own, j) AS left_over FROM p GROUP BY b),
+        c AS (SELECT x.b, sum(y.left_over * power(0.999::DOUBLE, 500 * (x.b - 1 - y.b))) AS carried FROM t x JOIN t y ON y.b < x.b GROUP BY x.b)
+        SELECT event_id, {sql_rounded('(own + coalesce(carried, 0) * power(0.999::DOUBLE, j + 1)) * 0.001 / (1 - power(0.999::DOUBLE, i + 1))', 4)} AS result FROM p LEFT JOIN c USING (b)""",
+    ),
+    "rsi_long_series": (
+        _long(lambda df: op.rsi_in_blocks(df, "value", [], 14, rows_per_block=1000, out="result")),
+        f"""WITH RECURSIVE {EVENTS}, v AS (SELECT event_id, value, row_number() OVER (ORDER BY event_id) - 1 AS i, value - lag(value) OVER (ORDER BY event_id) AS d FROM e),
+        s AS (SELECT avg(greatest(d, 0)) AS g, avg(greatest(-d, 0)) AS l FROM v WHERE i BETWEEN 1 AND 14),
+        w AS (SELECT event_id, i, CASE WHEN i < 14 THEN 0 WHEN i = 14 THEN s.g ELSE greatest(d, 0) / 14 END AS a, CASE WHEN i < 14 THEN 0 WHEN i = 14 THEN s.l ELSE greatest(-d, 0) / 14 END AS b FROM v, s),
+        r AS (SELECT x.event_id, x.i, sum(y.a * power(13 / 14::DOUBLE, x.i - y.i)) AS g, sum(y.b * power(13 / 14::DOUBLE, x.i - y.i)) AS l FROM w x JOIN w y ON y.i BETWEEN x.i - 600 AND x.i GROUP BY x.event_id, x.i)
+        SELECT event_id, {sql_rounded('CASE WHEN i >= 14 THEN coalesce(100.0 * g / nullif(g + l, 0), 0) END', 4)} AS result FROM r""",
+    ),
 }
-
-
