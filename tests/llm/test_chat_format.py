@@ -21,7 +21,7 @@ def test_rows(spark):
         (2, 5, "system", ""), (3, 0, None, hostile), (3, 0, None, hostile), (3, 0, "us\ner<|", "x" * 5000), (None, 0, "assistant", "lost"),
     ]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id bigint, turn bigint, role string, text string, place int").repartition(3)
-    got = {r.conv_id: r for r in read_back(format_turns(df)).collect()}
+    got = {r.conv_id: r for r in read_back(format_turns(df).repartition(3, "turn")).collect()}
     assert set(got) == {1, 2, 3, None}
     for conv in got:
         own = sorted(((t, r or "", x or "") for c, t, r, x in turns if c == conv))

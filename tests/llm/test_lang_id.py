@@ -121,3 +121,9 @@ def test_rows_without_ids(spark):
 def test_a_column_named_as_a_result(spark, model):
     docs = spark.createDataFrame([("the thing", "mine")], "text string, score string")
     assert predict(docs, model, added=("a", "b", "c")).columns == ["text", "score", "a", "b", "c"]
+
+
+def test_very_many_labels(spark):
+    rows = [(k, f"w{k:04d}x word{k * 7:05d}y", f"l{k:04d}") for k in range(2000)]
+    model = fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert model.languages == sorted(lang for _, _, lang in rows) and model.weights.shape[1] == 2000

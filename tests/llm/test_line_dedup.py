@@ -10,7 +10,7 @@ def brute(docs):
         lines = text.split("\n")
         for i in range(len(lines) - 2):
             w = tuple(lines[i : i + 3])
-            if "".join(w).strip(" "):
+            if "".join(w).strip(" \t\n\x0b\x0c\r"):
                 seen.setdefault(w, (doc, i))
                 if seen[w] < (doc, i):
                     covered.setdefault(doc, set()).update(range(i, i + 3))
@@ -29,14 +29,14 @@ def run(spark, docs):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.lists(st.sampled_from(["a", "b", "", " "]), max_size=9), min_size=1, max_size=12))
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "", " ", "\t\r"]), max_size=9), min_size=1, max_size=12))
 def test_against_brute_force(spark, docs):
     docs = [(k, "\n".join(lines)) for k, lines in enumerate(docs)]
     assert run(spark, docs) == brute(docs)
 
 
 def test_edges(spark):
-    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb"), (None, "a\nb\nc"), (6, "\n\n\n\n"), (7, "\n\n\n\n"), (8, "q\nq\nq\nq\nq"), (9, "\n".join(map(str, range(5000))))]
+    docs = [(1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, None), (4, ""), (5, "a\nb"), (None, "a\nb\nc"), (6, "\n\n\n\n"), (10, "\t\n\r\n \n"), (11, "\t\n\r\n \n"), (7, "\n\n\n\n"), (8, "q\nq\nq\nq\nq"), (9, "\n".join(map(str, range(5000))))]
     assert run(spark, docs) == brute(docs)
     assert run(spark, []) == []
 

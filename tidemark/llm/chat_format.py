@@ -123,9 +123,11 @@ def format_turns(turns: DataFrame, *, path: str | None = None) -> DataFrame:
 def read_back(formatted: DataFrame, *, path: str | None = None) -> DataFrame:
     """Parses formatted conversations from their ids alone: counts and digests for each.
 
-    Takes format_turns' rows as they come, conversations whole and in order
-    within a partition, and keeps only running digests.
+    Takes format_turns' rows in any order and partitioning, brings each
+    conversation's together by place, and keeps only running digests.
     """
+    parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    formatted = formatted.repartition(parts, "conv_id").sortWithinPartitions("conv_id", "place")
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     conv = formatted.schema["conv_id"].dataType
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -186,16 +186,17 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     feature vectors of fixed size reach the driver, and the counts of labels.
     Rows without a label or a text are left out, as are texts without a letter.
     Without any labelled row, or any sampled one with a letter, the model rejects
-    everything.
+    everything.  The driver holds the counts of labels and the model: 64 kB for
+    each label, and as much again while it is made, so 10,000 labels take a
+    gigabyte and a half.
     """
     labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
     counts = labelled.groupBy("lang").count().collect()
     names = sorted(row["lang"] for row in counts)
     if not names:
         return LanguageModel.refusing([UNKNOWN])
-    bound: Column = F.lit(0.0)
-    for row in counts:
-        bound = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, rows_per_language / row["count"]))).otherwise(bound)
+    # A row for each label, all of which the model holds anyway.
+    shares = labelled.sparkSession.createDataFrame([(row["lang"], min(1.0, rows_per_language / row["count"])) for row in counts], "lang string, bound double")
     draw = F.pmod(F.xxhash64(F.lit(11), F.col("doc_id"), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
     position = {lang: k for k, lang in enumerate(names)}
 
@@ -222,7 +223,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 
     most = 2 * (1 + len(SNIPPET_WORDS)) * rows_per_language * len(names)
     order = ["draw", "lang", "used", "n"]
-    drawn = labelled.withColumn("draw", draw).where(F.col("draw") < bound).select("draw", "text", "lang")
+    drawn = labelled.withColumn("draw", draw).join(F.broadcast(shares), "lang").where(F.col("draw") < F.col("bound")).select("draw", "text", "lang")
     sample = drawn.mapInArrow(run, "draw double, lang int, held boolean, used binary, n binary").orderBy(*order).limit(most).toArrow()
     if not sample.num_rows:
         return LanguageModel.refusing(names)

@@ -9,6 +9,8 @@ from .common import unused
 
 #: Lines of a window.
 LINES = 3
+#: Characters of blank lines.
+SPACES = " \t\n\x0b\x0c\r"
 
 
 def _windows(lines: Column) -> Column:
@@ -19,7 +21,7 @@ def _windows(lines: Column) -> Column:
 
     def name(i: Column) -> Column:
         parts = [F.element_at(lines, (i + k).cast("int")) for k in range(1, LINES + 1)]
-        blank = F.trim(F.concat(*parts)) == ""
+        blank = F.trim(F.concat(*parts), F.lit(SPACES)) == ""
         return F.when(~blank, F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(7), *reversed(parts)).alias("h2"), i.cast("int").alias("pos")))
 
     return F.filter(F.transform(F.sequence(F.lit(0), F.size(lines) - LINES), name), lambda w: w.isNotNull())
@@ -43,7 +45,7 @@ def remove_repeated_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     occurrence covers goes; windows that overlap are merged.  The first
     occurrence stays, and so does a text of fewer than three lines, a row
     without doc_id, and a null text (0 lines removed).  Windows of three blank
-    lines don't count.  A text of which all lines go is empty; the row stays.
+    lines (spaces, tabs, carriage returns and the like) don't count.  A text of which all lines go is empty; the row stays.
     Rows that share a doc_id stand at the same place: they aren't earlier than
     each other, and each loses the lines found in either.  An empty table gives
     no rows.  Other columns stay; one named ``removed_col`` is replaced.

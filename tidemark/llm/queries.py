@@ -141,7 +141,7 @@ WITH d AS (
   FROM (SELECT doc_id, l, unnest(range(len(l) - 2)) AS pos FROM d WHERE len(l) >= 3)
 ), later AS (
   SELECT doc_id, pos FROM (
-    SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM w WHERE trim(a || b || c) <> ''
+    SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS k FROM w WHERE trim(a || b || c, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
   ) WHERE k > 1
 ), covered AS (
   SELECT DISTINCT doc_id, pos + k AS pos FROM later, (SELECT unnest([0, 1, 2]) AS k)
