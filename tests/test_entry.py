@@ -41,3 +41,12 @@ def test_without_a_package_that_the_subpackage_needs(copy):
     (copy / "tidemark" / "llm" / "__init__.py").write_text("")
     (copy / "tidemark" / "llm" / "queries.py").write_text("import a_package_that_is_not_there\n")
     assert counts(copy)[2] == 0
+
+
+def test_an_error_inside_the_subpackage_comes_out(copy):
+    (copy / "tidemark" / "llm").mkdir()
+    (copy / "tidemark" / "llm" / "__init__.py").write_text("")
+    for line in ("from .misspelt import x", "from tidemark.plans import misspelt"):
+        (copy / "tidemark" / "llm" / "queries.py").write_text(line + "\n")
+        done = subprocess.run([sys.executable, "-c", COUNT], cwd=copy, capture_output=True, text=True, timeout=120)
+        assert done.returncode and "misspelt" in done.stderr
