@@ -219,3 +219,46 @@ def test_averages_in_blocks_equal_plain_ones(spark, alpha, adjust):
     assert same(got, column(op.ema(df, "x", alpha, ONE, adjust=adjust, out="out")), 1e-9)
     if adjust and alpha == 0.3:
         assert same(column(op.rsi_in_blocks(blocked, "x", ["k"], 7, rows_per_block=16, out="out")), column(op.rsi(df, "x", ONE, 7, out="out")), 1e-9)
+
+
+@pytest.mark.parametrize("span", [1, 7, 60])
+def test_wide_moments_far_from_zero(spark, span):
+    rng = random.Random(span)
+    rows = [[NAN if rng.random() < 0.03 else 1e9 + round(rng.random(), 3) for _ in range(70)], [1e9 + rng.random() for _ in range(8)]]
+    df = series(spark, *rows)
+    for name, ddof in (("mvar", 1), ("mstd", 0)):
+        want = []
+        for row in rows:
+            for k in range(len(row)):
+                w = row[k - span + 1 : k + 1] if k >= span - 1 else []
+                full = len(w) == span and not any(map(math.isnan, w)) and span > ddof
+                var = float(np.var(np.array(w) - 1e9, ddof=ddof)) if full else None
+                want.append(var if var is None or name == "mvar" else math.sqrt(var))
+        assert same(column(getattr(op, f"wide_{name}")(df, "x", span, ONE, ddof=ddof, out="out")), want, 1e-6)
+    band = op.wide_bollinger_band(df, "x", ONE, span)
+    for name, c in fn.bollinger_band("x", ONE, span).items():
+        assert same(column(band, name), column(df.withColumn("out", c)), 1e-12)
+
+
+def test_places_over_ranges(spark):
+    rng = random.Random(6)
+    x = [rng.choice([NAN, 1.0, 1.0, 1.0, 2.5, -INF, INF, rng.random()]) for _ in range(900)]
+    df = series(spark, x, [3.0, 1.0, NAN]).withColumn("k", F.nullif("k", F.lit(1))).repartition(5)
+    for ranges in (1, 2, 7, 40):
+        got = {(r.k, r.place): (r["values"], r.indices) for r in op.stable_sort(df, "x", "pos", ONE, ranges=ranges).collect()}
+        want = {(r.k, r.place): (r["values"], r.indices) for r in op.stable_sort(df, "x", "pos", ONE).collect()}
+        assert got == want
+    alone = op.stable_sort(df.where("k = 0"), "x", "pos", Series([], ["pos"]))
+    assert {(0, r.place): (r["values"], r.indices) for r in alone.collect()} == {k: v for k, v in want.items() if k[0] == 0}
+    assert op.stable_sort(df.limit(0), "x", "pos", Series([], ["pos"])).collect() == []
+    sizes = op.with_places(df.where("k = 0"), [], [F.col("x"), F.col("pos")], ranges=8, out="place")
+    assert sorted(r.place for r in sizes.collect()) == list(range(900))
+
+
+def test_blocks_without_a_slice_width(spark):
+    df = spark.createDataFrame([(k, p, str(p % 3), float(p)) for k in (None, 1) for p in range(60)], "k int, pos int, s string, x double")
+    blocked = op.with_blocks(df, ["s", "pos"], ["k"], rows_per_block=7)
+    rows = blocked.collect()
+    for k in (None, 1):
+        own = sorted((r for r in rows if r.k == k), key=lambda r: r._row)
+        assert [(r.s, r.pos) for r in own] == sorted((str(p % 3), p) for p in range(60)) and all(r._block == r._row // 7 for r in own)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scans import stable_rank
 from ..series import ColumnLike, Series, as_column, held, helper_names, join_keys, missing
+from .ranges import with_places
 
 
 def reduce_nan_patterns(df: DataFrame, x: ColumnLike, *, position: str, ref: str | list[str], all_others: bool = False, keys: list[str] | None = None, out: str = "mask") -> DataFrame:
@@ -112,10 +113,20 @@ def padded_groups(df: DataFrame, x: str, group_id: str, series: Series, *, empty
     return join_keys(grid, lists, [*keys, t("id")], "left").select(*keys, F.col(t("id")).alias(group_id), F.concat(found, pad).alias("values"))
 
 
-def stable_sort(df: DataFrame, x: ColumnLike, position: str, series: Series) -> DataFrame:
-    """``keys, place, values, indices``: each series in ascending order, missing last, equals in order."""
-    place = stable_rank(x, series).alias("place")
-    return df.select(*series.keys, place, held(x).alias("values"), as_column(position).alias("indices"))
+def stable_sort(df: DataFrame, x: ColumnLike, position: str, series: Series, *, ranges: int | None = None) -> DataFrame:
+    """``keys, place, values, indices``: each series in ascending order, missing last, equals in order.
+
+    With ranges, or without keys, series are cut into ranges of values that tasks
+    sort apart, so that one series may be of any length; otherwise a task sorts
+    whole series.
+    """
+    if series.keys and ranges is None:
+        return df.select(*series.keys, stable_rank(x, series).alias("place"), held(x).alias("values"), as_column(position).alias("indices"))
+    t = helper_names(df)
+    marked = df.select(*series.keys, held(x).alias(t("x")), as_column(position).alias(t("position")), *(F.col(c).alias(t(f"order{k}")) for k, c in enumerate(series.order_by)))
+    order = [F.col(t("x")).isNull(), F.col(t("x")), *(F.col(t(f"order{k}")) for k in range(len(series.order_by)))]
+    placed = with_places(marked, list(series.keys), order, ranges=ranges, out=t("place"))
+    return placed.select(*series.keys, F.col(t("place")).alias("place"), F.col(t("x")).alias("values"), F.col(t("position")).alias("indices"))
 
 
 def apply_for_axis(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: T.StructType | str, series: Series) -> DataFrame:

@@ -15,17 +15,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..series import ColumnLike, Series, as_column, checked_span, held, helper_names, join_keys, missing, present
+from .ranges import with_places
 
 
-def with_blocks(df: DataFrame, order_by: str, keys: list[str], *, rows_per_block: int, slice_width: float) -> DataFrame:
+def with_blocks(df: DataFrame, order_by: str | list[str], keys: list[str], *, rows_per_block: int, slice_width: float | None = None) -> DataFrame:
     """Adds ``_row``, the place within the key from 0, and ``_block``.
 
-    The table must have neither yet.  order_by must be a unique number or timestamp within the key.  Rows are
-    counted in slices of ``slice_width`` of it; a slice, not a key, is what one
-    task orders, so choose it to hold what a task can sort.
+    The table must have neither yet.  order_by must be unique within the key.
+    Rows are cut into ranges by a sample; or, with ``slice_width``, counted in
+    slices of that width of a number or timestamp, which saves the sample.  A range
+    or slice, not a key, is what one task orders, so choose it to hold what a
+    task can sort.
     """
     if {"_row", "_block"} & set(df.columns):
         raise ValueError("the table has a column _row or _block already")
+    columns = [order_by] if isinstance(order_by, str) else list(order_by)
+    if slice_width is None:
+        numbered = with_places(df, keys, [F.col(c) for c in columns])
+        return numbered.withColumn("_block", F.floor(F.col("_row") / rows_per_block))
+    (order_by,) = columns
     t = helper_names(df)
     place = F.col(order_by).cast("double") if dict(df.dtypes)[order_by] != "timestamp_ntz" else F.unix_micros(F.col(order_by).cast("timestamp")) / 1e6
     sliced = df.withColumn(t("slice"), F.floor(place / slice_width))

@@ -93,6 +93,11 @@ def _soft(f, name: str) -> Query:
     return query
 
 
+def stable_sort_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items as one series, cut into ranges; lines of an order with the same quantity are alike."""
+    return op.stable_sort(lines(spark, sf_dir).select("x", "l_orderkey"), "x", "l_orderkey", Series([], ["l_orderkey"]))
+
+
 def soft_topk_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten rounds over all orders of each status, whose prices are dealt to parts."""
     df = read_table(spark, sf_dir, "orders", ["o_orderstatus", "o_orderkey", "o_totalprice"])
@@ -185,6 +190,10 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         """WITH c AS (SELECT c_nationkey, c_custkey, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE floor(c_acctbal) END AS x FROM customer)
         SELECT c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY x NULLS LAST, c_custkey) - 1 AS place, x AS values, c_custkey AS indices FROM c""",
     ),
+    "stable_sort_lines": (
+        stable_sort_lines,
+        f"WITH {LINES} SELECT row_number() OVER (ORDER BY x NULLS LAST, l_orderkey) - 1 AS place, x AS values, l_orderkey AS indices FROM l",
+    ),
     "signif": (signif, "SELECT o_orderkey, round_even(o_totalprice * power(10.0, 3 - ceil(log10(abs(o_totalprice)))), 0) / power(10.0, 3 - ceil(log10(abs(o_totalprice)))) AS result FROM orders"),
     "soft_topk": (_soft(op.soft_topk, "soft_topk"), soft_sql([-1.0, 1.0], ["(max(n) - 1) / max(n)", "1 / max(n)"], "p[2] * n")),
     "soft_topk_parts": (soft_topk_parts, soft_parts_sql()),

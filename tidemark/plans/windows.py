@@ -263,4 +263,10 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         r AS (SELECT x.event_id, x.i, sum(y.a * power(13 / 14::DOUBLE, x.i - y.i)) AS g, sum(y.b * power(13 / 14::DOUBLE, x.i - y.i)) AS l FROM w x JOIN w y ON y.i BETWEEN x.i - 600 AND x.i GROUP BY x.event_id, x.i)
         SELECT event_id, {sql_rounded('CASE WHEN i >= 14 THEN coalesce(100.0 * g / nullif(g + l, 0), 0) END', 4)} AS result FROM r""",
     ),
+    "mvar_wide": (_stepped(lambda df: op.wide_mvar(df, "x", 30, USER, out="result")), _sql(_trailing(30), result=_full(30, "var_samp(x) OVER w"))),
+    "mstd_wide": (_stepped(lambda df: op.wide_mstd(df, "value", 40, USER, ddof=0, out="result")), _sql(_trailing(40), result="CASE WHEN count(value) OVER w = 40 THEN stddev_pop(value) OVER w END")),
+    "bollinger_band_wide": (
+        lambda spark, sf_dir: op.wide_bollinger_band(events(spark, sf_dir), "value", USER, 30).select(*ID, *(rounded(c).alias(c) for c in ("upper", "middle", "lower"))),
+        _sql(_trailing(30), **{k: f"CASE WHEN count(value) OVER w = 30 THEN avg(value) OVER w {s} END" for k, s in {"upper": "+ 2 * stddev_pop(value) OVER w", "middle": "", "lower": "- 2 * stddev_pop(value) OVER w"}.items()}),
+    ),
 }
