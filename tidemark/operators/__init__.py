@@ -16,6 +16,7 @@ from .long_series import (
     trailing_in_blocks,
     with_blocks,
 )
+from .near import wide_gaussian_blur, wide_rci
 from .ranges import with_places
 from .randoms import rand_table, randint_table, randn_table, randperm, with_rand, with_randn
 from .soft_topk import soft_topk, soft_topk_bottomk

@@ -269,4 +269,16 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         lambda spark, sf_dir: op.wide_bollinger_band(events(spark, sf_dir), "value", USER, 30).select(*ID, *(rounded(c).alias(c) for c in ("upper", "middle", "lower"))),
         _sql(_trailing(30), **{k: f"CASE WHEN count(value) OVER w = 30 THEN avg(value) OVER w {s} END" for k, s in {"upper": "+ 2 * stddev_pop(value) OVER w", "middle": "", "lower": "- 2 * stddev_pop(value) OVER w"}.items()}),
     ),
+    "rci_wide": (_stepped(lambda df: op.wide_rci(df, "value", USER, 40, out="result")), rci_sql(40).replace("event_id, x, row_number", "event_id, value AS x, row_number")),
+    "gaussian_blur_wide": (_stepped(lambda df: op.wide_gaussian_blur(df, "x", 8.0, USER, out="result")), blur_sql(8.0)),
+    "rci_long_series": (
+        _long(lambda df: op.wide_rci(df, "value", Series([], ["_row"]), 25, row="_row", out="result")),
+        f"""WITH {EVENTS}, n AS (SELECT event_id, value AS x, row_number() OVER (ORDER BY event_id) AS i FROM e),
+        r AS (SELECT a.event_id, a.i, a.i - b.i AS age, row_number() OVER (PARTITION BY a.i ORDER BY b.x DESC, a.i - b.i) - 1 AS k FROM n a JOIN n b ON b.i BETWEEN a.i - 24 AND a.i)
+        SELECT event_id, {sql_rounded('CASE WHEN count(*) = 25 THEN (1 - 6.0 * sum((age - k) * (age - k)) / 15600) * 100 END', 4)} AS result FROM r GROUP BY event_id""",
+    ),
+    "gaussian_blur_long_series": (
+        _long(lambda df: op.wide_gaussian_blur(df, "x", 6.0, Series([], ["_row"]), row="_row", out="result")),
+        blur_sql(6.0).replace("PARTITION BY user_id ORDER BY ts, event_id", "ORDER BY event_id").replace("b.user_id = a.user_id AND ", "").replace("SELECT a.user_id, a.event_id", "SELECT a.event_id").replace("GROUP BY a.user_id, a.event_id", "GROUP BY a.event_id").replace(", 6) + 0.0)", ", 4) + 0.0)"),
+    ),
 }
