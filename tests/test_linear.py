@@ -123,10 +123,16 @@ def test_random_moments(spark):
 
 
 def test_randperm(spark):
-    for buckets in (1, 5):
-        values = [r.value for r in op.randperm(spark, 300, buckets=buckets).orderBy("id").collect()]
-        assert sorted(values) == list(range(300)) and values != sorted(values)
-    assert op.randperm(spark, 0).count() == 0
+    for n in (0, 1, 2, 3, 10, 300, 1000):
+        values = [r.value for r in op.randperm(spark, n).orderBy("id").collect()]
+        assert sorted(values) == list(range(n)) and (n < 10 or values != list(range(n)))
+    other = op.with_permuted(spark.range(1000).repartition(7), "id", 1000).orderBy("id").collect()
+    assert [r.value for r in other] == values != [r.value for r in op.randperm(spark, 1000, seed=7).orderBy("id").collect()]
+    plan = op.randperm(spark, 10**6)
+    assert plan.agg(F.count_distinct("value"), F.min("value"), F.max("value")).first()[:] == (10**6, 0, 10**6 - 1)
+    assert not {"Exchange", "Sort", "Join"} & set(plan._jdf.queryExecution().executedPlan().toString().replace("(", " ").split())
+    odd = spark.createDataFrame([(None,), (-1,), (5,)], "id bigint")
+    assert [r.value for r in op.with_permuted(odd, "id", 5).collect()] == [None] * 3
 
 
 def embeddings(spark, tmp_path, n, labels=3):

@@ -80,3 +80,49 @@ def randint(low: int, high: int, *ids: ColumnLike, seed: int = 42) -> Column:
     if high <= low:
         raise ValueError("high must be above low")
     return F.lit(low) + F.pmod(hash62(*ids, seed=seed, stream=3), F.lit(high - low))
+
+
+#: Steps of the network behind permuted().
+PERMUTING = 6
+
+
+def hashed_half(half: Column, key: int) -> Column:
+    """A hash of a bigint below 2**31."""
+    made = half + F.lit(key).cast("bigint")
+    for flipped, times, prime in ROUNDS:
+        made = (made.bitwiseXOR(F.lit(flipped).cast("bigint")) * F.lit(times) + F.lit(1)) % F.lit(prime)
+    return made
+
+
+def _hashed_numbers(half, key: int):
+    """The same of a numpy array."""
+    made = half + key
+    for flipped, times, prime in ROUNDS:
+        made = ((made ^ flipped) * times + 1) % prime
+    return made
+
+
+def permuting_plan(n: int, seed: int) -> tuple[int, int, list[int], int]:
+    """``(a, b, keys, again)``: a grid of a by b places for n ids, the network's keys, and how many more passes some ids need.
+
+    The grid has fewer than a places too many.  An id that lands on one of them
+    passes once more, as often as it takes; the longest way is found by walking
+    from each of those places.
+    """
+    import numpy as np
+
+    a = math.isqrt(max(n - 1, 0)) + 1
+    b = -(-n // a) if n else 1
+    keys = [start_of(seed, 1000 + k) for k in range(PERMUTING)]
+    left = np.arange(n, a * b, dtype=np.int64) if n else np.zeros(0, np.int64)
+    again = 0
+    while len(left):
+        high, low = left // b, left % b
+        for k, key in enumerate(keys):
+            if k % 2:
+                low = (low + _hashed_numbers(high, key)) % b
+            else:
+                high = (high + _hashed_numbers(low, key)) % a
+        left = high * b + low
+        left, again = left[left >= n], again + 1
+    return a, b, keys, again

@@ -18,7 +18,7 @@ from .long_series import (
 )
 from .near import wide_gaussian_blur, wide_rci
 from .ranges import with_places
-from .randoms import rand_table, randint_table, randn_table, randperm, with_rand, with_randn
+from .randoms import rand_table, randint_table, randn_table, randperm, with_permuted, with_rand, with_randn
 from .soft_topk import soft_topk, soft_topk_bottomk
 from .wide import wide_bollinger_band, wide_ma, wide_mmax, wide_mmin, wide_moments, wide_mstd, wide_msum, wide_mvar
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hash62, rand, randint, randn
+from ..functions.scalars import hashed_half, permuting_plan, rand, randint, randn
+from ..series import helper_names
 
 
 def rand_table(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
@@ -33,18 +34,32 @@ def with_randn(df: DataFrame, *ids: str, seed: int = 42, out: str = "randn") ->
     return df.withColumn(out, randn(*ids, seed=seed))
 
 
-def randperm(spark: SparkSession, n: int, seed: int = 42, buckets: int | None = None) -> DataFrame:
-    """``id, value``: a permutation of 0 to n - 1.
+def with_permuted(df: DataFrame, id_col: str, n: int, seed: int = 42, *, out: str = "value") -> DataFrame:
+    """Adds the id's place in a permutation of 0 to n - 1: a function of the id, n and seed alone.
 
-    Ids are ordered by a hash within ranges of it; a range's first place is the
-    number of rows in those before, so no task sees all rows.
+    A network in the manner of Feistel over a grid of about the square root of n
+    a side: each step shifts one coordinate by a hash of the other, which can be
+    undone, so different ids get different places.  No sort, shuffle or join.
+    NULL for an id that is NULL or not from 0 to n - 1.
     """
-    from pyspark.sql import Window
-
-    ranges = buckets or max(1, n // 1_000_000)
-    rows = spark.range(n).withColumn("_h", hash62("id", seed=seed, stream=4))
-    rows = rows.withColumn("_range", F.floor(F.col("_h") / F.lit(2.0**62) * ranges))
-    rows = rows.withColumn("_within", F.row_number().over(Window.partitionBy("_range").orderBy("_h", "id")) - 1)
-    counts = rows.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).drop("_n")
-    return rows.join(starts, "_range").select("id", (F.col("_start") + F.col("_within")).alias("value"))
+    t = helper_names(df)
+    a, b, keys, again = permuting_plan(n, seed)
+    number = F.col(id_col).cast("bigint")
+    step = df.withColumn(t("y"), F.when((number >= 0) & (number < n), number))
+    high, low = F.col(t("high")), F.col(t("low"))
+    for k in range(1 + again):
+        step = step.withColumns({t("high"): F.expr(f"`{t('y')}` div {b}"), t("low"): F.col(t("y")) % b})
+        for j, key in enumerate(keys):
+            if j % 2:
+                step = step.withColumn(t("low"), (low + hashed_half(high, key)) % b)
+            else:
+                step = step.withColumn(t("high"), (high + hashed_half(low, key)) % a)
+        made = high * b + low
+        # From the second pass on only those move that lie beyond the ids.
+        step = step.withColumn(t("y"), made if k == 0 else F.when(F.col(t("y")) < n, F.col(t("y"))).otherwise(made))
+    return step.withColumn(out, F.col(t("y"))).select(*(c for c in df.columns if c != out), out)
+
+
+def randperm(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """``id, value``: a permutation of 0 to n - 1."""
+    return with_permuted(spark.range(n), "id", n, seed)

@@ -7,8 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from .. import operators as op
-from ..functions.scalars import PRIME, ROUNDS, start_of
+from ..functions.scalars import PERMUTING, PRIME, ROUNDS, start_of
 from ..operators.linalg import covariance, covariance_of_vectors, gram_of_vectors
 from ..sources import read_table
 from .common import Query, rounded, sql_rounded
@@ -151,21 +152,21 @@ def _component_matrix(parts: Query) -> Query:
     return lambda spark, sf_dir: _rebuilt(parts(spark, sf_dir), "explained_variance", "component", -1)
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> int:
-    """As many random numbers as there are events."""
-    return read_table(spark, sf_dir, "events", ["event_id"]).count()
+def _ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' ids."""
+    return read_table(spark, sf_dir, "events", ["event_id"]).select(F.col("event_id").alias("id"))
 
 
 def rand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.rand_table(spark, _rows(spark, sf_dir))
+    return op.with_rand(_ids(spark, sf_dir), "id", out="value")
 
 
 def randn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.randn_table(spark, _rows(spark, sf_dir)).select("id", rounded("value", 9).alias("value"))
+    return op.with_randn(_ids(spark, sf_dir), "id", out="value").select("id", rounded("value", 9).alias("value"))
 
 
 def randint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.randint_table(spark, -5, 6, _rows(spark, sf_dir))
+    return _ids(spark, sf_dir).withColumn("value", fn.randint(-5, 6, "id"))
 
 
 def rand_like(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,8 +178,32 @@ def randn_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def randperm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permutation as long as the event table, from four ranges of the hash."""
-    return op.randperm(spark, _rows(spark, sf_dir), buckets=4)
+    """The events' ids, which are 0 to one less than their number, in a random order."""
+    ids = _ids(spark, sf_dir)
+    return op.with_permuted(ids, "id", ids.count())
+
+
+def permuted_sql(seed: int = 42) -> str:
+    """The permuting network, passed until the place is one of the ids."""
+
+    def pass_over(y: str) -> str:
+        columns = [f"{y} // b AS h0", f"{y} % b AS l0"]
+        names = ["h0", "l0"]
+        for k in range(PERMUTING):
+            made = f"({names[(k + 1) % 2]} + {start_of(seed, 1000 + k)})"
+            for flipped, times, prime in ROUNDS:
+                made = f"((xor(({made})::BIGINT, {flipped}) * {times} + 1) % {prime})"
+            name = f"{'hl'[k % 2]}{k + 1}"
+            columns.append(f"({names[k % 2]} + {made}) % {'ab'[k % 2]} AS {name}")
+            names[k % 2] = name
+        return f"{', '.join(columns)}, ({names[0]} * b + {names[1]})::BIGINT AS y"
+
+    return f"""WITH RECURSIVE grid AS (SELECT count(*)::BIGINT AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM events),
+    w AS (
+      SELECT id, y FROM (SELECT event_id AS id, {pass_over('event_id')} FROM events, grid)
+      UNION ALL
+      SELECT id, y FROM (SELECT id, {pass_over('w0')} FROM (SELECT id, y AS w0, n, a, b FROM w, grid WHERE y >= n))
+    ) SELECT id, y AS value FROM w, grid WHERE y < n"""
 
 
 def hash_sql(x: str, stream: int, seed: int = 42) -> str:
@@ -203,7 +228,7 @@ def randn_sql(x: str) -> str:
     return sql_rounded(f"sqrt(-2.0::DOUBLE * ln(1.0::DOUBLE - {rand_sql(x, 1)})) * cos({2 * math.pi!r}::DOUBLE * {rand_sql(x, 2)})", 9)
 
 
-_IDS = "ids AS (SELECT (row_number() OVER () - 1)::BIGINT AS id FROM events)"
+_IDS = "ids AS (SELECT event_id AS id FROM events)"
 
 #: Gram and Schmidt, a vector of each block of four at a time: its share of each one before is taken off.
 _ORTHONORMAL = """WITH RECURSIVE v AS (
@@ -249,7 +274,7 @@ PLANS: dict[str, tuple[Query, str | None]] = {
     "randn": (randn, f"WITH {_IDS} SELECT id, {randn_sql('id')} AS value FROM ids"),
     "randn_like": (randn_like, f"SELECT c_custkey, {randn_sql('c_custkey')} AS randn FROM customer"),
     "randint": (randint, f"WITH {_IDS} SELECT id, -5 + {hash62_sql('id', 3)} % 11 AS value FROM ids"),
-    "randperm": (randperm, f"WITH {_IDS} SELECT id, row_number() OVER (ORDER BY {hash62_sql('id', 4)}, id) - 1 AS value FROM ids"),
+    "randperm": (randperm, permuted_sql()),
 }
 
 
