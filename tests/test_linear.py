@@ -230,3 +230,22 @@ def test_pca_with_a_missing_value(spark):
     assert all(r.explained_variance is not None for r in op.nanpca(df, ["b"], "s", "d", "x").collect())
     alone = df.where("b = 0").withColumn("x", F.when((F.col("d") == 0) & (F.col("s") > 0), F.lit(NAN)).otherwise(F.col("x")))
     assert all(r.explained_variance is None for r in op.nanpca(alone, ["b"], "s", "d", "x").collect())
+
+
+@pytest.mark.parametrize("equation, shapes", [("bsi,bsj->bij", [(2, 9, 4), (2, 9, 5)]), ("sik,jik->sj", [(11, 3, 2), (4, 3, 2)]), ("ij,jk,kl->il", [(7, 6), (6, 5), (5, 8)])])
+def test_products_of_several_tiles(spark, monkeypatch, equation, shapes):
+    from tidemark.operators import linalg
+
+    monkeypatch.setattr(linalg, "TILE", 2)
+    rng = np.random.default_rng(1)
+    arrays = [rng.normal(size=s) for s in shapes]
+    want = np.einsum(equation, *arrays)
+    assert np.allclose(dense(op.einsum(equation, *(coordinates(spark, a) for a in arrays)), want.shape), want)
+
+
+def test_products_of_sparse_tables_with_holes(spark):
+    a = spark.createDataFrame([("p", 0, NAN), ("p", 1, 2.0), ("q", 1, 3.0), ("q", None, 9.0), (None, 1, 5.0)], "r string, k int, x double")
+    b = spark.createDataFrame([(1, "u", 10.0), (0, "w", 1.0), (1, "v", None), (None, "u", 7.0)], "k bigint, c string, x double")
+    rows = {(r.i0, r.i1): r.x for r in op.einsum("rk,kc->rc", (a, ["r", "k"]), (b, ["k", "c"])).collect()}
+    assert rows == {("p", "u"): 20.0, ("p", "w"): None, ("p", "v"): None, ("q", "u"): 30.0, ("q", "v"): None, (None, "u"): 50.0, (None, "v"): None}
+    assert op.einsum("rk,kc->rc", (a.limit(0), ["r", "k"]), (b, ["k", "c"])).collect() == []

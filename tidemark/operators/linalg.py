@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..series import Series, divide, helper_names, present
@@ -36,6 +36,90 @@ def _subscripts(equation: str, ranks: list[int]) -> tuple[list[list[str]], list[
     return inputs, [f"_e{k}" for k in range(-max(extras), 0)] + sorted(c for c in set(letters) if letters.count(c) == 1)
 
 
+#: Different index tuples of a tile's side.
+TILE = 1024
+
+
+def _codes(table: pa.Table, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A number from 0 for each different tuple of the columns, and a row that has each."""
+    codes = np.zeros(table.num_rows, np.int64)
+    for c in columns:
+        own = table.column(c).combine_chunks().dictionary_encode()
+        own = own.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        codes = np.unique(codes * (own.max(initial=0) + 1) + own, return_inverse=True)[1]
+    _, first, codes = np.unique(codes, return_index=True, return_inverse=True)
+    return codes, first
+
+
+def _multiplied(left: np.ndarray, right: np.ndarray, in_left: np.ndarray, in_right: np.ndarray) -> np.ndarray:
+    """left times right over their first index, where absent cells take no part, not even beside NaN or infinity."""
+    if np.isfinite(left).all() and np.isfinite(right).all():
+        return left.T @ right
+    made = np.zeros((left.shape[1], right.shape[1]))
+    with np.errstate(invalid="ignore"):
+        for k in range(len(left)):
+            a, b = np.flatnonzero(in_left[k]), np.flatnonzero(in_right[k])
+            made[np.ix_(a, b)] += np.outer(left[k, a], right[k, b])
+    return made
+
+
+def _tiled(left: DataFrame, right: DataFrame, batch: list[str], summed: list[str], a: str, b: str) -> DataFrame:
+    """``batch, other indices, _v``: the product of two coordinate tables, summed over indices that both have, tile by tile.
+
+    Index tuples of each kind are dealt to tiles by a hash, in as many as their
+    counts ask for, and a task multiplies two tiles as dense matrices: what is
+    shuffled is a partial sum for each tile of the summed indices instead of a
+    product for each of them.
+    """
+    both = [*batch, *summed]
+    left, right = left.dropna(subset=both), right.dropna(subset=both)
+    free_left, free_right = ([c for c in df.columns if c not in both and c != v] for df, v in ((left, a), (right, b)))
+    t = helper_names(left.select(*both, *free_left).join(right.select(*(F.lit(1).alias(c) for c in free_right)).limit(0)))
+
+    def tiles(columns: list[str]) -> Column:
+        return (1 + F.floor(F.approx_count_distinct(F.struct(*columns)) / TILE)).cast("int")
+
+    def dealt(columns: list[str], parts: str) -> Column:
+        return F.pmod(F.xxhash64(*columns), F.col(parts)).cast("int")
+
+    on_left = left.groupBy(*batch).agg(tiles(summed).alias(t("sums")), tiles(free_left).alias(t("lefts")))
+    on_right = right.groupBy(*batch).agg(tiles(free_right).alias(t("rights")))
+    sizes = on_left.join(on_right, batch) if batch else on_left.crossJoin(F.broadcast(on_right))  # one row each
+    with_sizes = (lambda df: df.join(sizes, batch)) if batch else (lambda df: df.crossJoin(F.broadcast(sizes)))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    keys = [*batch, t("sum"), t("left"), t("right")]
+    lefts = with_sizes(left).select(*left.columns, dealt(summed, t("sums")).alias(t("sum")), dealt(free_left, t("lefts")).alias(t("left")), every(t("rights")).alias(t("right")))
+    rights = with_sizes(right).select(*right.columns, dealt(summed, t("sums")).alias(t("sum")), dealt(free_right, t("rights")).alias(t("right")), every(t("lefts")).alias(t("left")))
+    names = [*batch, *free_left, *free_right, "_v"]
+
+    def run(one: pa.Table, other: pa.Table) -> pa.Table:
+        n = one.num_rows if other.num_rows else 0
+        if not n:
+            kinds = {c: (one if c in one.schema.names else other).schema.field(c).type for c in names[:-1]} | {"_v": pa.float64()}
+            return pa.table({c: pa.array([], k) for c, k in kinds.items()})
+        k, _ = _codes(pa.concat_tables([one.select(summed), other.select(summed)], promote_options="permissive"), summed)
+        rows, first_row = _codes(one, free_left)
+        columns, first_column = _codes(other, free_right)
+        shape = int(k.max()) + 1
+        grids = []
+        for at, codes, table, v in ((k[:n], rows, one, a), (k[n:], columns, other, b)):
+            grid, there = np.zeros((shape, codes.max() + 1)), np.zeros((shape, codes.max() + 1), bool)
+            np.add.at(grid, (at, codes), table.column(v).to_numpy())
+            there[at, codes] = True
+            grids.append((grid, there))
+        (left_grid, in_left), (right_grid, in_right) = grids
+        made = _multiplied(left_grid, right_grid, in_left, in_right)
+        r, c = np.nonzero(in_left.T.astype(np.float32) @ in_right.astype(np.float32))
+        out = {c: one.column(c).take(pa.array(np.zeros(len(r), np.int64))) for c in batch}
+        out |= {c: one.column(c).take(pa.array(first_row[r])) for c in free_left}
+        out |= {name: other.column(name).take(pa.array(first_column[c])) for name in free_right}
+        return pa.table(out | {"_v": pa.array(made[r, c], pa.float64())})
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema.fields, *right.schema.fields]}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names[:-1]), "_v double"])
+    return lefts.groupBy(*keys).cogroup(rights.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "x") -> DataFrame:
     """Sum of products over coordinate rows; absent coordinates are zeros.
 
@@ -43,8 +127,9 @@ def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "
     value times zero or less another.
     An operand is a table with its index columns, in order, and a value column.
     The result has a column i0, i1, ... for each index and the value.  Indices
-    that only one operand has and the result lacks are summed before the join;
-    operands without a common index make an outer product, as large as that is.
+    that only one operand has and the result lacks are summed before the join.
+    Where two operands share summed indices and each has others, they are
+    multiplied as dense tiles; rows with a null index take no part.  Operands without a common index make an outer product, as large as that is.
     """
     inputs, output = _subscripts(equation, [len(columns) for _, columns in operands])
     made: DataFrame | None = None
@@ -65,10 +150,19 @@ def einsum(equation: str, *operands: tuple[DataFrame, list[str]], value: str = "
             made, have = term.withColumnRenamed(f"_v{number}", "_v"), kept
             continue
         common = [n for n in kept if n in have]
+        needed = set(output) | {n for other in inputs[number + 1 :] for n in other}
+        summed = [n for n in common if n not in needed]
+        if summed and len(kept) > len(common) and len(have) > len(common):
+            # Both have indices of their own: a product of matrices.
+            made = _tiled(made, term, [n for n in common if n in needed], summed, "_v", f"_v{number}")
+            have = [n for n in [*have, *kept] if n in made.columns]
+            have = list(dict.fromkeys(have))
+            if number + 1 < len(operands):
+                made = made.groupBy(*have).agg(F.sum("_v").alias("_v"))
+            continue
         made = made.join(term, common) if common else made.crossJoin(term)
         made = made.withColumn("_v", F.col("_v") * F.col(f"_v{number}")).drop(f"_v{number}")
         have += [n for n in kept if n not in have]
-        needed = set(output) | {n for other in inputs[number + 1 :] for n in other}
         rest = [n for n in have if n in needed]
         if len(rest) < len(have) and number + 1 < len(operands):
             made, have = made.groupBy(*rest).agg(F.sum("_v").alias("_v")), rest
