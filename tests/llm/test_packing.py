@@ -80,3 +80,19 @@ def test_null_ids_and_clashing_columns(spark):
     docs = spark.createDataFrame([(None, "on the", 7, 8), (None, None, 7, 8), (1, "on", 7, 8)], "doc_id bigint, text string, bin int, length int")
     rows = pack(docs, capacity=100).collect()
     assert sorted((r.doc_id is None, r.length) for r in rows) == [(False, 2), (True, 1), (True, 3)]
+
+
+def test_lots_of_a_partition_and_tables_left(spark, monkeypatch):
+    from pathlib import Path
+
+    from tidemark.llm.common import discard, shared_dir
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.iterdir())
+    docs = spark.range(450_000, numPartitions=1).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    made = pack(docs)
+    assert len(set(folder.iterdir()) - before) == 1
+    rows = made.groupBy("sequence_id").agg({"offset": "max", "doc_id": "count"}).collect()
+    assert len(rows) == -(-450_000 // 4096) and sum(r["count(doc_id)"] for r in rows) == 450_000
+    discard(made)
+    assert set(folder.iterdir()) <= before

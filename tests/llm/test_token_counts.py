@@ -71,3 +71,26 @@ def test_prefixes_of_an_empty_table_and_of_repeats(spark):
     rows = prefix_token_counts(docs).collect()
     assert sorted(len(r.prefix_tokens) for r in rows) == [1, 6, 6]
     assert prefix_token_counts(docs.where("false")).count() == 0
+
+
+def test_a_long_text_without_a_break():
+    """Near the library's own time, and nothing of it is kept."""
+    import random
+    import time
+
+    from tidemark.llm.token_counts import PrefixCounter
+
+    counter = PrefixCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "".join(random.Random(1).choices("etaoinshrdlu", k=200_000))
+    began = time.perf_counter()
+    made = counter.piece(text)
+    assert time.perf_counter() - began < 5 and not counter.known
+    assert made == len(counter_library().encode(text, add_special_tokens=False).ids)
+
+
+def counter_library():
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = True
+    return made

@@ -12,6 +12,7 @@ import re
 import struct
 import zlib
 from bisect import bisect_left, insort
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import saved
+from .common import discard, saved, slices
 from .token_counts import byte_letters
 
 #: Characters whose class, case and composition no version of Unicode has changed: ASCII and
@@ -32,6 +33,8 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^ \t-\ra-z
 BEYOND = re.compile(rf"([^ \t-\r]*[^{SURE}][^ \t-\r]*)")
 KEPT_WORDS = 300_000
 KEPT_LETTERS = 64
+#: Pieces that a task packs at a time, and holds as Python objects.
+LOT = 200_000
 
 
 class WordIds:
@@ -109,34 +112,43 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _tokenised(source: DataFrame, path: str, capacity: int, end_id: int) -> DataFrame:
-    """Pieces, each with the bin of its partition and its place there."""
+    """Pieces, each with the bin of its partition and its place there; a task packs a lot of pieces at a time."""
     end = np.array([end_id], "<u4").tobytes()
     width = 4 * capacity
 
     def run(batches):
         ids_of = WordIds.open(path).ids
         rows: list[tuple] = []
-        for batch in batches:
+        bins_before = 0
+
+        def packed(last: bool) -> pa.RecordBatch:
+            """The pieces in their bins; those of the emptiest bins wait for the next lot."""
+            nonlocal bins_before
+            bins = best_fit([row[3] for row in rows], capacity)
+            bins.sort(key=lambda items: -sum(rows[item][3] for item in items))
+            waiting: list[tuple] = []
+            while not last and len(bins) > 1 and len(waiting) + len(bins[-1]) <= LOT // 8:
+                waiting += [rows[item] for item in bins.pop()]
+            made = []
+            for k, items in enumerate(bins):
+                ends = list(accumulate((rows[item][3] for item in items), initial=0))
+                made += [(*rows[item], bins_before + k, at, ends[-1]) for item, at in zip(items, ends, strict=False)]
+            bins_before += len(bins)
+            rows[:] = waiting
+            kinds = (batch_type, pa.int32(), *[pa.int64()] * 6)
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "number", "offset", "fill"]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+        for batch in slices(batches, 1024):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = (ids_of(text) if text else b"") + end
                 for piece, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-        bins = best_fit([row[3] for row in rows], capacity)
-        number, offset, fill = [0] * len(rows), [0] * len(rows), [0] * len(rows)
-        for k, items in enumerate(bins):
-            at = 0
-            for item in items:
-                number[item], offset[item] = k, at
-                at += rows[item][3]
-            for item in items:
-                fill[item] = at
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = (batch_type, pa.int32(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)), *(pa.array(c, pa.int64()) for c in (number, offset, fill))],
-            names=["doc_id", "piece", "start", "length", "ids_crc32", "number", "offset", "fill"],
-        )
+                    if len(rows) >= LOT:
+                        yield packed(False)
+        if rows:
+            yield packed(True)
 
     kind = source.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
@@ -166,7 +178,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
     A document is its token ids and ``end_id``; only one longer than ``capacity``
     is cut.  A null or empty text is the end id alone.  Repeated rows are packed
-    each; an empty table gives no rows; other columns are not read.
+    each; an empty table gives no rows; other columns are not read.  The result
+    is a written table.
 
     nearly_full: bins at least so full are closed.  group_bins: underfull bins
     that one task of a round packs at most.  fan_in: how many groups of a round
@@ -197,4 +210,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
     for merged in moves:
         step = merged.select(F.col("bin").alias("sequence"), "into", F.col("base").alias("more"))
         places = places.join(step, "sequence", "left").select("bin", F.coalesce("into", "sequence").alias("sequence"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base"), "total")
-    return pieces.join(places.select("bin", "sequence", "base"), "bin").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), (F.col("base") + F.col("offset")).alias("offset"))
+    out = saved(pieces.join(places.select("bin", "sequence", "base"), "bin").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("sequence").alias("sequence_id"), (F.col("base") + F.col("offset")).alias("offset")))
+    for step in (pieces, first, *moves):
+        discard(step)
+    return out

@@ -29,6 +29,8 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
 _CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 KEPT_PIECES = 500_000
+#: Longer pieces are counted anew each time.
+KEPT_LETTERS = 64
 
 
 def byte_letters() -> list[str]:
@@ -61,7 +63,8 @@ class PrefixCounter:
         for (a, b), k in self.rank.items():
             if self.made.get(a + b, (0,))[0] == -1:
                 self.made[a + b] = (k, a, b)
-        self.longest = max(map(len, self.tokens))
+        #: What tokens end in: from the end of a prefix back, no token begins before the first bytes not in here.
+        self.endings = {token[k:] for token in self.tokens for k in range(len(token))}
         self.special = regex.compile("(" + "|".join(regex.escape(x["content"]) for x in spec["added_tokens"]) + ")") if spec["added_tokens"] else None
         self.split = regex.compile(SPLIT)
         self.splitter = Tokenizer.from_file(path).pre_tokenizer
@@ -104,18 +107,25 @@ class PrefixCounter:
 
     def byte_table(self, data: bytes) -> array:
         """Tokens of each of a piece's byte prefixes, from the empty one on."""
-        n, tokens, longest, fits = len(data), self.tokens, self.longest, self.fits
+        n, tokens, endings, fits = len(data), self.tokens, self.endings, self.fits
         count, last = [0] * (n + 1), [b""] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                token = data[start:end]
-                if token in tokens:
-                    if start:
-                        fit = fits.get((last[start], token))
-                        if not (self._fit(last[start], token) if fit is None else fit):
-                            continue
-                    count[end], last[end] = count[start] + 1, token
+            starts, start = [], end - 1
+            while start >= 0:
+                ending = data[start:end]
+                if ending not in endings:
                     break
+                if ending in tokens:
+                    starts.append(start)
+                start -= 1
+            for start in reversed(starts):  # the longest first
+                token = data[start:end]
+                if start:
+                    fit = fits.get((last[start], token))
+                    if not (self._fit(last[start], token) if fit is None else fit):
+                        continue
+                count[end], last[end] = count[start] + 1, token
+                break
         return array("I", count)
 
     def _classes(self, chars: list[str]) -> list[str]:
@@ -156,9 +166,11 @@ class PrefixCounter:
         """Tokens of a whole piece."""
         found = self.known.get(piece)
         if found is None:
-            if len(self.known) >= KEPT_PIECES:
-                self.known.clear()
-            found = self.known[piece] = self.byte_table(piece.encode())[-1]
+            found = self.byte_table(piece.encode())[-1]
+            if len(piece) <= KEPT_LETTERS:
+                if len(self.known) >= KEPT_PIECES:
+                    self.known.clear()
+                self.known[piece] = found
         return found
 
     def piece_table(self, piece: str) -> array:
@@ -169,7 +181,9 @@ class PrefixCounter:
                 self.tables.clear()
             by_byte = self.byte_table(piece.encode())
             ends = accumulate((len(c.encode()) for c in piece), initial=0)
-            found = self.tables[piece] = array("I", (by_byte[end] for end in ends))
+            found = array("I", (by_byte[end] for end in ends))
+            if len(piece) <= KEPT_LETTERS:
+                self.tables[piece] = found
         return found
 
     def segments(self, text: str) -> Iterator[tuple[str, bool]]:
