@@ -35,7 +35,7 @@ def _directions(dimension: int, pass_no: int, bits: int) -> np.ndarray:
 def _units(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Lengths of the vectors of a column, and for each length its rows and their unit vectors as a matrix."""
     sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     ends = np.cumsum(sizes)
     made = {}
     for size in np.unique(sizes).tolist():
@@ -47,16 +47,14 @@ def _units(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np
 
 
 def _keyed(usable: DataFrame, passes: range) -> DataFrame:
-    """``pass, label, size, key, vec_id, vector`` for each pass; vectors are of length one."""
+    """``pass, label, size, key, vec_id, vector`` for each pass; vectors keep the type of the input's numbers."""
 
     def run(batches):
         for batch in batches:
             sizes, units = _units(batch.column("vector"))
             order = np.concatenate([rows for rows, _ in units.values()])
-            flat = np.concatenate([matrix.ravel() for _, matrix in units.values()])
-            ends = np.concatenate([[0], np.cumsum(sizes[order])])
-            vectors = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
             at = pa.array(order)
+            vectors = batch.column("vector").take(at)
             for pass_no in passes:
                 signs = [matrix @ _directions(size, pass_no, 63) > 0 for size, (_, matrix) in units.items()]
                 keys = np.concatenate([(s.astype(np.uint64) << np.arange(62, -1, -1, dtype=np.uint64)).sum(1, dtype=np.uint64) for s in signs])
@@ -65,8 +63,8 @@ def _keyed(usable: DataFrame, passes: range) -> DataFrame:
                     names=["pass", "label", "size", "key", "vec_id", "vector"],
                 )
 
-    label = usable.schema["label"].dataType.simpleString()
-    return usable.mapInArrow(run, f"pass int, label {label}, size int, key bigint, vec_id bigint, vector array<double>")
+    label, vector = (usable.schema[c].dataType.simpleString() for c in ("label", "vector"))
+    return usable.mapInArrow(run, f"pass int, label {label}, size int, key bigint, vec_id bigint, vector {vector}")
 
 
 def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,22 +186,31 @@ def _link_counts(members: DataFrame, block_rows: int) -> DataFrame:
 
 
 def joined_by_passes(vectors: DataFrame, passes: int, window: int) -> DataFrame:
-    """``node, component`` of ``label, vec_id, vector``: first ``passes`` passes, then half as many at a time till a round joins nothing."""
+    """``node, component`` of ``label, vec_id, vector``: first ``passes`` passes, then half as many at a time.
+
+    A label takes part until a round joins no two of its components.
+    """
     links = _neighbours(_keyed(vectors, range(passes)), window)
     joined = connected_components(links)
     discard(links)
     done, more = passes, max(1, passes // 2)
+    active, labels = vectors, None
     while True:
-        links = _neighbours(_keyed(vectors, range(done, done + more)), window)
+        links = _neighbours(_keyed(active, range(done, done + more)), window)
         done += more
         of = {c: joined.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component")) for c in ("u", "v")}
         placed = links.join(of["u"], "u", "left").join(of["v"], "v", "left")
         placed = placed.select(F.coalesce("u_component", "u").alias("u"), F.coalesce("v_component", "v").alias("v"))
         crossing = saved(placed.where("u <> v").distinct())
         discard(links)
+        if labels is not None:
+            discard(labels)
         if crossing.isEmpty():
             discard(crossing)
             return joined
+        # A component's name is a vector of it, so it has the label.
+        labels = saved(crossing.select(F.col("u").alias("vec_id")).join(vectors.select("vec_id", "label"), "vec_id").select("label").distinct())
+        active = vectors.join(labels, "label", "left_semi")
         known = joined.select(F.col("node").alias("u"), F.col("component").alias("v"))
         now = connected_components(known.union(crossing))
         discard(crossing)
@@ -219,8 +226,8 @@ def near_vectors(vectors: DataFrame, *, passes: int = 16, window: int = 32, bloc
     stands for them in the passes; n_links counts all of them.  No pair below
     0.98 is linked.  Components are those of the pairs that come within the
     window in a pass; n_links counts all links within the component.  After the
-    first ``passes`` passes, rounds of half as many go on until one joins no two
-    components.  A vector that is null, zero or holds a null or a non-finite
+    first ``passes`` passes, rounds of half as many go on, for each label until one
+    joins no two of its components.  A vector that is null, zero or holds a null or a non-finite
     component, or whose label or vec_id is null, is linked with nothing: it is
     its own component (null without vec_id).  Repeated rows of a vec_id are one
     vector and come back each; an empty table gives no rows; other columns are
@@ -229,7 +236,9 @@ def near_vectors(vectors: DataFrame, *, passes: int = 16, window: int = 32, bloc
     block_rows: two blocks of about so many vectors of a component are counted
     against each other in a task.
     """
-    values = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind == "float" else "double"  # floats are compared in double precision, but travel as they are
+    values = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "label", values.alias("vector"))
     sound = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & sound)
