@@ -249,3 +249,29 @@ def test_products_of_sparse_tables_with_holes(spark):
     rows = {(r.i0, r.i1): r.x for r in op.einsum("rk,kc->rc", (a, ["r", "k"]), (b, ["k", "c"])).collect()}
     assert rows == {("p", "u"): 20.0, ("p", "w"): None, ("p", "v"): None, ("q", "u"): 30.0, ("q", "v"): None, (None, "u"): 50.0, (None, "v"): None}
     assert op.einsum("rk,kc->rc", (a.limit(0), ["r", "k"]), (b, ["k", "c"])).collect() == []
+
+
+def test_leading_components_of_wide_vectors(spark):
+    rng = np.random.default_rng(5)
+    n, d = 60, 5000
+    factors = rng.normal(size=(n, 6)) * np.array([30.0, 20, 12, 8, 5, 3])
+    x = factors @ np.linalg.qr(rng.normal(size=(d, 6)))[0].T + 0.01 * rng.normal(size=(n, d)) + rng.normal(size=d)
+    df = spark.createDataFrame([(row.tolist(),) for row in x], "v array<double>").repartition(3)
+    rows = op.pca_top(df, "v", 4).collect()
+    centred = x - x.mean(0)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    assert np.allclose([r.explained_variance for r in rows], s[:4] ** 2 / (n - 1), rtol=1e-9)
+    for r, v in zip(rows, vt, strict=False):
+        assert abs(abs(np.dot(r.component, v)) - 1) < 1e-9 and np.abs(np.array(r.component) - v * np.sign(np.dot(r.component, v))).max() < 1e-6
+        assert r.component[int(np.argmax(np.round(np.abs(r.component), 9)))] > 0
+
+
+def test_leading_components_of_odd_tables(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([2.0, 1.0],), ([3.0, 3.0],)], "v array<float>")
+    assert same([r.explained_variance for r in op.pca_top(df, "v", 5).collect()], [1.5, 0.5], 1e-9)
+    assert op.pca_top(df.limit(0), "v", 2).collect() == []
+    for bad in ([[1.0, NAN]], [None], [[1.0, None]]):
+        hole = df.union(spark.createDataFrame([(b,) for b in bad], "v array<float>"))
+        assert [tuple(r) for r in op.pca_top(hole, "v", 1).collect()] == [(0, None, None)]
+    with pytest.raises(ValueError):
+        op.pca_top(df.union(spark.createDataFrame([([1.0],)], "v array<float>")), "v", 1)

@@ -20,6 +20,7 @@ from .near import wide_gaussian_blur, wide_rci
 from .ranges import with_places
 from .randoms import rand_table, randint_table, randn_table, randperm, with_permuted, with_rand, with_randn
 from .soft_topk import soft_topk, soft_topk_bottomk
+from .subspace import pca_top
 from .wide import wide_bollinger_band, wide_ma, wide_mmax, wide_mmin, wide_moments, wide_mstd, wide_msum, wide_mvar
 
 __all__ = [name for name in dir() if not name.startswith("_")]

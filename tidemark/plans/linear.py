@@ -142,6 +142,26 @@ def _pca_cov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pca_cov(_gram(spark, sf_dir), ["label"])
 
 
+def pca_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the first five components of all embeddings: how often the covariance, cell by cell, says what pca_top does.
+
+    A component times the covariance is its variance times itself; of each
+    component the largest deviation is given, in units of the first variance, and
+    the variances' order.
+    """
+    x = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    made = op.pca_top(x, "embedding", 5)
+    cov = covariance_of_vectors(x.withColumn("one", F.lit(1)), ["one"], "embedding", skip_missing=False)
+    parts = made.select("k", "explained_variance", F.posexplode("component").alias("c", "v"))
+    times = cov.join(F.broadcast(parts), "c").groupBy("k", "r").agg(F.sum(F.col("x") * F.col("v")).alias("times"))
+    both = times.join(F.broadcast(parts.withColumnRenamed("c", "r")), ["k", "r"])
+    first = F.max("explained_variance").over(Window.partitionBy())
+    off = both.groupBy("k").agg(F.max(F.abs(F.col("times") - F.col("explained_variance") * F.col("v"))).alias("off"), F.sum(F.col("v") * F.col("v")).alias("norm"), F.first("explained_variance").alias("explained_variance"))
+    trace = cov.where("r = c").agg(F.sum("x").alias("trace"))
+    most = off.withColumn("most", first).join(F.broadcast(trace))
+    return most.select("k", F.round(F.col("off") / F.col("most"), 6).alias("off"), rounded("norm").alias("norm"), (F.col("explained_variance") * 64 >= F.col("trace") / 2).cast("int").alias("large"))
+
+
 def _component_rows(parts: Query) -> Query:
     """Variances and components themselves."""
     return lambda spark, sf_dir: _components(parts(spark, sf_dir))
@@ -269,6 +289,7 @@ PLANS: dict[str, tuple[Query, str | None]] = {
     "pca_rows": (_component_rows(_pca(False)), None),
     "nanpca": (_component_matrix(_pca(True)), _rebuilt_sql(_covariance_sql(True))),
     "nanpca_rows": (_component_rows(_pca(True)), None),
+    "pca_top": (pca_top, "SELECT k, 0.0::DOUBLE AS off, 1.0::DOUBLE AS norm, 1 AS large FROM (SELECT unnest(range(5)) AS k) WHERE (SELECT count(*) FROM embeddings) > 1"),
     "rand": (rand, f"WITH {_IDS} SELECT id, {rand_sql('id')} AS value FROM ids"),
     "rand_like": (rand_like, f"SELECT c_custkey, {rand_sql('c_custkey')} AS rand FROM customer"),
     "randn": (randn, f"WITH {_IDS} SELECT id, {randn_sql('id')} AS value FROM ids"),
