@@ -106,3 +106,11 @@ def test_compat_covariance(spark):
     assert of([1, 2, NAN], [2, None, 6]).c is None
     same = of([1, 2, 4], [3, 1, 9])
     assert abs(same.c - same.exact) < 1e-12
+
+
+def test_skipna_of_a_function_on_values(spark):
+    import numpy as np
+
+    df = spark.createDataFrame([(None, 0, 3.0), (None, 1, NAN), (None, 2, 4.0), ("a", 0, None), ("a", 1, 5.0)], "k string, _x0 int, x double")
+    made = op.skipna_values(df, np.cumsum, "x", series=Series(["k"], ["_x0"]), out="out")
+    assert {(r.k, r._x0): r.out for r in made.collect()} == {(None, 0): 3.0, (None, 1): None, (None, 2): 7.0, ("a", 0): None, ("a", 1): 5.0}

@@ -2,7 +2,7 @@
 
 from .averages import ema, ema_in_blocks, rsi, rsi_in_blocks
 from .blur import gaussian_blur, gaussian_weights
-from .grouping import apply_for_axis, bincount, bincount_ranges, group_rows, padded_groups, reduce_nan_patterns, skipna, stable_sort
+from .grouping import apply_for_axis, bincount, bincount_ranges, group_rows, padded_groups, reduce_nan_patterns, skipna, skipna_values, stable_sort
 from .linalg import eigh, einsum, nanpca, orthogonalize, orthonormalize, pca, pca_cov, project
 from .long_series import (
     bfill_in_blocks,

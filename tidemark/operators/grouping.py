@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,3 +143,25 @@ def apply_for_axis(df: DataFrame, f: Callable[[pa.Table], pa.Table], schema: T.S
 
     run.__annotations__ = {}
     return df.groupBy(*series.keys).applyInArrow(lambda table: run(table), schema)
+
+
+def skipna_values(df: DataFrame, f: Callable[..., np.ndarray], *inputs: str, series: Series, out: str) -> DataFrame:
+    """Adds what f gives for the rows where all inputs are present, in order; NULL elsewhere.
+
+    f takes an array of doubles for each input, of one series' present rows, and
+    returns as many values.  A series is held by one task, as in apply_for_axis;
+    skipna does without that for operators over windows.
+    """
+    t = helper_names(df)
+    columns = [c for c in df.columns if c != out]
+    step = df.withColumns({t(f"x{k}"): held(F.col(x).cast("double")) for k, x in enumerate(inputs)})
+    schema = df.select(*columns).schema.add(out, "double")
+
+    def run(table: pa.Table) -> pa.Table:
+        values = [table.column(t(f"x{k}")).to_numpy() for k in range(len(inputs))]
+        there = ~np.any([np.isnan(v) for v in values], axis=0)
+        made = np.full(table.num_rows, np.nan)
+        made[there] = f(*(v[there] for v in values))
+        return table.select(columns).append_column(out, pa.array(made, pa.float64(), mask=np.isnan(made)))
+
+    return apply_for_axis(step, run, schema, series)

@@ -152,6 +152,14 @@ def skipna(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(*ID, rounded("result").alias("result"))
 
 
+def skipna_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums of the present values' square roots, by a function on values."""
+    import numpy as np
+
+    made = op.skipna_values(events(spark, sf_dir), lambda x: np.cumsum(np.sqrt(np.abs(x))), "x", series=USER, out="result")
+    return made.select(*ID, rounded("result").alias("result"))
+
+
 def apply_for_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second value of each user's series, in order, by a user function."""
     import pyarrow as pa
@@ -219,6 +227,7 @@ PLANS: dict[str, tuple[Query, str | None]] = {
         skipna,
         f"WITH {EVENTS} SELECT user_id, event_id, {sql_rounded('CASE WHEN x IS NOT NULL AND count(x) OVER w = 5 THEN avg(x) OVER w END')} AS result FROM e WINDOW w AS (PARTITION BY user_id, x IS NULL ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)",
     ),
+    "skipna_values": (skipna_values, _sql(UPTO, result="CASE WHEN x IS NOT NULL THEN sum(sqrt(abs(x))) OVER w END")),
     "apply_for_axis": (apply_for_axis, f"WITH {EVENTS} SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER ({BY_USER}) AS i FROM e) WHERE i % 2 = 1"),
     "msum_wide": (_stepped(lambda df: op.wide_msum(df, "value", 30, USER, out="result")), _sql(_trailing(30), result="CASE WHEN count(value) OVER w = 30 THEN sum(value) OVER w END")),
     "mmax_wide": (_stepped(lambda df: op.wide_mmax(df, "x", 30, USER, out="result")), _sql(_trailing(30), result=f"CASE WHEN {_COUNT} THEN max(x) OVER w END")),

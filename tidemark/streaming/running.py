@@ -1,7 +1,11 @@
 """Indicators of O(1) state per key over a stream, row by row in event order.
 
-Rows of a micro-batch are ordered by event time and tie-breaker; rows that come
-after later ones of their key are dropped, as a recursion can't take them back.
+Rows of a micro-batch are ordered by event time and tie-breaker.  Rows that come
+after later ones of their key are dropped, uncounted, as a recursion can't take
+them back, and so are rows without a time or tie-breaker.  A key's state, five
+numbers, stays for good: keys that end for ever are never forgotten.  Each row is
+a step of Python, since the next one needs its result; a batch's rows of a key are
+one task's.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ _STATE = "last_time bigint, last_tie bigint, top double, bottom double, broken b
 
 
 def _running(stream: DataFrame, key: str, time: str, tie: str, x: str, step, out: str) -> DataFrame:
-    rows = stream.select(key, time, tie, x)
+    rows = stream.select(key, time, tie, x).dropna(subset=[time, tie])
     schema = T.StructType(list(rows.schema.fields)).add(out, "double")
 
     def run(keys, batches, state):
