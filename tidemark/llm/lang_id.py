@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 BUCKET_BITS = 13
 ORDERS = (1, 2, 3, 4)
 DIMENSION = 16
@@ -58,6 +60,9 @@ def bucket_counts(text: bytes) -> np.ndarray:
     return out
 
 
+#: Rows whose texts a task holds as Python objects.
+SLICE = 256
+
 #: Texts are calibrated by their number of different n-grams, as repetition tells
 #: nothing new: up to 2**4, 2**6, ..., and beyond 2**12.
 LENGTHS = 2.0 ** np.arange(4, 14, 2)
@@ -201,7 +206,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     position = {lang: k for k, lang in enumerate(names)}
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             rows = []
             for drawn, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if not _LETTER.search(text):
@@ -271,7 +276,7 @@ def predict(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", ad
     at = source.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, SLICE):
             found = list(model.predict(batch.column(at).to_pylist()))
             columns = list(zip(*found, strict=True)) if found else [(), (), ()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=[*batch.schema.names, *added])
