@@ -131,3 +131,28 @@ def test_with_more_representatives_than_a_filter_holds(spark, monkeypatch):
     docs = near_copies(2, groups=4, copies=6)
     docs += [(500 + k, docs[0][1]) for k in range(5)]
     assert run(spark, docs)[1] == brute(docs)
+
+
+def test_groups_dealt_by_document(spark, monkeypatch):
+    """With n-grams salted from three of a bucket on, links and components are the same."""
+    from tidemark.llm import ngram_join
+
+    docs = near_copies(3, groups=5, copies=10)
+    docs += [(700 + k, "this passage stands in each text " + " ".join(f"x{k}y{j}" for j in range(3))) for k in range(30)]
+    assert run(spark, docs)[1] == brute(docs)
+    monkeypatch.setattr(ngram_join, "hot_bucket", lambda levels, parts: 3.0)
+    assert run(spark, docs)[1] == brute(docs)
+
+
+def test_the_bound_of_a_hot_bucket_grows_with_the_input():
+    from tidemark.llm.ngram_join import HOT_BUCKET, SKETCH_BITS, hot_bucket, salts_of
+
+    levels = np.zeros(1 << SKETCH_BITS, np.uint16)
+    assert hot_bucket(levels, 10) == HOT_BUCKET
+    levels[:] = 256 * 10  # 1,023 in each bucket, 4.3 billion in all
+    assert round(hot_bucket(levels, 1_000_000)) == 8 * 1023
+    assert round(hot_bucket(levels, 1_000)) == round(1023 * len(levels) / 16_000)
+    levels[5] = 256 * 30
+    token = np.array([5 << 42, 6 << 42], np.uint64).view(np.int64)
+    salts = salts_of(token, levels, hot_bucket(levels, 1_000_000))
+    assert salts[1] == 1 and 50_000 < salts[0] < (1 << 30) / 8183

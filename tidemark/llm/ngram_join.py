@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import BitFilter, discard, saved, slices, unused
 from .components import connected_components
-from .kernels import chunks, shingle_sets, text_buffer
+from .kernels import chunks, mix, shingle_sets, text_buffer
 
 WORDS = 5
 #: Two sets are linked when 100 times their intersection is at least 75 times their union.
@@ -37,7 +37,9 @@ SKETCH_BITS = 22
 SKETCH_PART = 1 << 14
 #: Rows of an n-gram's group that meet the group in one task, at about this number.
 GROUP_PART = 5_000
-POSTING = "token bigint, doc_id bigint, n int, pos int"
+#: N-grams of a bucket of the sketch beyond which they are dealt by document too, at the least.
+HOT_BUCKET = 1_000
+POSTING = "token bigint, salt int, salts int, doc_id bigint, n int, pos int"
 
 
 def least_overlap(a: int, b: int) -> int:
@@ -120,6 +122,10 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return min(len(x), len(y)) >= least and shared_count(x, y) >= least
 
 
+def _parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -181,8 +187,7 @@ def frequency_levels(sizes: DataFrame) -> np.ndarray:
             yield made()
 
     levels = np.zeros(1 << SKETCH_BITS, np.uint16)
-    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = sizes.where("sketch").select("n", "data").repartition(parts, "n").sortWithinPartitions("n")
+    dealt = sizes.where("sketch").select("n", "data").repartition(_parts(sizes), "n").sortWithinPartitions("n")
     for start, part in dealt.mapInArrow(add, "n bigint, level binary").collect():
         levels[start : start + SKETCH_PART] = np.frombuffer(part, "<u2")
     return levels
@@ -199,6 +204,22 @@ def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return found[np.argsort(places(found, levels), kind="stable")]
 
 
+def hot_bucket(levels: np.ndarray, parts: int) -> float:
+    """The count of a bucket of the sketch beyond which its n-grams are dealt by document too.
+
+    A sixteenth of a task's share of all n-grams, about a quarter of its share of
+    the prefixes; where tasks are very many, eight times a bucket's mean.
+    """
+    total = float((np.exp2(np.arange(1 << 16) / 256) - 1) @ np.bincount(levels, minlength=1 << 16))
+    return max(HOT_BUCKET, total / (16 * parts), 8 * total / len(levels))
+
+
+def salts_of(token: np.ndarray, levels: np.ndarray, most: float) -> np.ndarray:
+    """How many tasks an n-gram's group is dealt to: 1 unless its bucket counts more than ``most``."""
+    bucket = (token.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return np.ceil(np.exp2(levels[bucket] / 256) / most).clip(1, 1 << 30).astype(np.int32)
+
+
 def _prefix_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray) -> Iterator[pa.RecordBatch]:
     """``doc_id, n, tokens`` of each row: its set's size and its prefix, packed."""
     for batch in batches:
@@ -210,21 +231,28 @@ def _prefix_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray) -> It
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "tokens"])
 
 
-def _posting_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``token, doc_id, n, pos``: a row for each n-gram of each prefix."""
+def _posting_batches(batches: Iterable[pa.RecordBatch], levels: np.ndarray, most: float) -> Iterator[pa.RecordBatch]:
+    """``token, salt, salts, doc_id, n, pos``: a row for each n-gram of each prefix."""
     for batch in batches:
         lengths = pc.binary_length(batch.column("tokens")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
         tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), "<i8")
         row = np.repeat(np.arange(batch.num_rows), lengths)
         pos = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         index = pa.array(row)
+        draw = (mix(batch.column("doc_id").to_numpy().view(np.uint64)) >> np.uint64(33)).astype(np.int64)
         for start in range(0, len(tokens), 100_000):
             part = slice(start, start + 100_000)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[part]), batch.column("doc_id").take(index[part]), batch.column("n").take(index[part]), pa.array(pos[part], pa.int32())], names=["token", "doc_id", "n", "pos"])
+            salts = salts_of(tokens[part], levels, most)
+            salt = (draw[row[part]] % salts).astype(np.int32)
+            columns = [pa.array(tokens[part]), pa.array(salt), pa.array(salts), batch.column("doc_id").take(index[part]), batch.column("n").take(index[part]), pa.array(pos[part], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["token", "salt", "salts", "doc_id", "n", "pos"])
 
 
 def prefix_postings(source: DataFrame, levels: np.ndarray, reps: DataFrame, count: int) -> DataFrame:
-    """``token, doc_id, n, pos``: the postings of the documents of ``reps`` (``doc_id, n``), whose rows ``count`` bounds.
+    """``token, salt, salts, doc_id, n, pos``: the postings of the documents of ``reps`` (``doc_id, n``), whose rows ``count`` bounds.
+
+    An n-gram that may be common, as its bucket of the sketch says, is dealt to
+    ``salts`` tasks by document before anything is shuffled.
 
     A copy that stands for itself beside its class only repeats the class's
     links, so a filter will do to leave copies out, and texts become postings in
@@ -232,11 +260,12 @@ def prefix_postings(source: DataFrame, levels: np.ndarray, reps: DataFrame, coun
     """
     context = source.sparkSession.sparkContext
     shared, some = context.broadcast(levels), BitFilter.fitting(reps, ["doc_id"], count)
+    most = hot_bucket(levels, _parts(source))
     if some is None:
         packed = source.mapInArrow(lambda batches: _prefix_batches(batches, shared.value), "doc_id bigint, n int, tokens binary")
-        return packed.join(reps, ["doc_id", "n"], "left_semi").select("doc_id", "n", "tokens").mapInArrow(_posting_batches, POSTING)
+        return packed.join(reps, ["doc_id", "n"], "left_semi").select("doc_id", "n", "tokens").mapInArrow(lambda batches: _posting_batches(batches, shared.value, most), POSTING)
     known = context.broadcast(some)
-    return source.mapInArrow(lambda batches: _posting_batches(_prefix_batches(known.value.pass_on(batches, "doc_id"), shared.value)), POSTING)
+    return source.mapInArrow(lambda batches: _posting_batches(_prefix_batches(known.value.pass_on(batches, "doc_id"), shared.value), shared.value, most), POSTING)
 
 
 def _possible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
@@ -249,13 +278,13 @@ def _possible(n_a: Column, pos_a: Column, n_b: Column, pos_b: Column) -> Column:
     return (WHOLE * F.least(n_a, n_b) >= PART * F.greatest(n_a, n_b)) & (overlap >= _least_overlap_column(n_a, n_b))
 
 
-def shared_postings(posted: DataFrame) -> DataFrame:
+def grouped_postings(posted: DataFrame) -> DataFrame:
     """The postings of n-grams that several rows have, each with its group's pivot: the smallest doc_id.
 
-    A group is read as a sorted stream, so that its size takes no memory.
+    A group is a token's rows of one salt, read as a sorted stream, so that its
+    size takes no memory.  Of salted tokens groups of one row are there too.
     """
-    names = ["token", "doc_id", "n", "pos"]
-    parts = int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["token", "salt", "salts", "doc_id", "n", "pos"]
 
     def run(batches):
         carried = None  # the last group's pivot so far: its posting, and whether it was sent
@@ -265,25 +294,38 @@ def shared_postings(posted: DataFrame) -> DataFrame:
                 continue
             if carried is not None:
                 rows = [np.concatenate([[value], column]).astype(column.dtype) for value, column in zip(carried[0], rows, strict=True)]
-            token = rows[0]
+            token, salt, salts = rows[:3]
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(token)))
             first = np.repeat(starts, sizes)
-            send = np.repeat(sizes > 1, sizes)
+            send = np.repeat((sizes > 1) | (salts[starts] > 1), sizes)
             last = starts[-1]
-            sent = bool(sizes[-1] > 1) or (carried is not None and carried[1] and last == 0)
+            sent = bool(send[last])
             if carried is not None and carried[1]:
                 send[0] = False
             carried = (tuple(column[last].item() for column in rows), sent)
             at = np.flatnonzero(send)
-            columns = [column[at] for column in rows] + [column[first[at]] for column in rows[1:]]
+            columns = [column[at] for column in rows] + [column[first[at]] for column in rows[3:]]
             for low in range(0, len(at), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=[*names, "pivot", "pivot_n", "pivot_pos"])
 
-    dealt = posted.repartition(parts, "token").sortWithinPartitions("token", "doc_id")
-    return dealt.mapInArrow(run, "token bigint, doc_id bigint, n int, pos int, pivot bigint, pivot_n int, pivot_pos int")
+    dealt = posted.repartition(_parts(posted), "token", "salt").sortWithinPartitions("token", "salt", "doc_id")
+    return dealt.mapInArrow(run, f"{POSTING}, pivot bigint, pivot_n int, pivot_pos int")
+
+
+def salted_postings(grouped: DataFrame) -> DataFrame:
+    """The rows of salted tokens with the pivot of all of a token's groups; tokens of one row leave.
+
+    Groups are summed up first: a token's groups meet, never its rows.
+    """
+    pivot = F.struct("pivot", "pivot_n", "pivot_pos")
+    salted = grouped.where("salts > 1")
+    groups = salted.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("rows"), F.min(pivot).alias("least"))
+    tokens = groups.groupBy("token").agg(F.sum("rows").alias("rows"), F.min("least").alias("least")).where("rows > 1").select("token", "least.*")
+    named = groups.select("token", "salt").join(tokens, "token")
+    return salted.drop("pivot", "pivot_n", "pivot_pos").join(named, ["token", "salt"]).select(*grouped.columns)
 
 
 def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -305,21 +347,23 @@ def _crossing(shared: DataFrame, joined: DataFrame) -> DataFrame:
     of_doc = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
     of_pivot = joined.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_found"))
     placed = shared.join(of_doc, "doc_id", "left").join(of_pivot, "pivot", "left")
-    placed = saved(placed.select("token", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
+    placed = saved(placed.select("token", "salt", "salts", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
     # Groups of one component are done; elsewhere only what the pivot's component lacks meets the group.
     apart = placed.where("component <> pivot_component")
-    # A large group is dealt by bands of size, of which linked sets fall in one or two beside each other, and by salt.
-    hot = apart.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("salts"))
+    # A large group is dealt by bands of size, of which linked sets fall in one or two beside each other, and by document.
+    deals = apart.groupBy("token", "salts").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("deals"))
+    salted = placed.where("salts > 1").select("token", "salt").distinct().join(deals.where("salts > 1"), "token")
+    deals = deals.where("salts = 1").select("token", F.lit(0).alias("salt"), "deals").union(salted.select("token", "salt", "deals"))
     band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
     names = ("doc_id", "n", "pos", "component", "pivot_component")
-    x = apart.join(hot, "token").withColumns({"band": band, "salt": F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")})
-    x = x.select("token", "band", "salt", *(F.col(c).alias(f"x_{c}") for c in names))
-    y = placed.join(hot, "token").withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    y = y.select("token", "band", "salt", *(F.col(c).alias(f"y_{c}") for c in names))
+    x = apart.join(deals, ["token", "salt"]).withColumns({"band": band, "deal": F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")})
+    x = x.select("token", "band", "deal", *(F.col(c).alias(f"x_{c}") for c in names))
+    y = placed.join(deals, ["token", "salt"]).withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("deal", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)))
+    y = y.select("token", "band", "deal", *(F.col(c).alias(f"y_{c}") for c in names))
     possible = _possible(F.col("x_n"), F.col("x_pos"), F.col("y_n"), F.col("y_pos"))
     # Two that are both apart would meet twice.
     once = (F.col("y_component") == F.col("y_pivot_component")) | (F.col("x_doc_id") < F.col("y_doc_id"))
-    met = x.join(y, ["token", "band", "salt"]).where((F.col("x_component") != F.col("y_component")) & once & possible)
+    met = x.join(y, ["token", "band", "deal"]).where((F.col("x_component") != F.col("y_component")) & once & possible)
     return met.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
@@ -379,7 +423,9 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     rows = sizes.where("not sketch").select("doc_id", "n", "name", "data")
     classes = saved(rows.where("doc_id is not null and n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("n").cast("int").alias("n")))
     reps = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    shared = saved(shared_postings(prefix_postings(source.where("doc_id is not null"), levels, reps, classes.count())))
+    grouped = saved(grouped_postings(prefix_postings(source.where("doc_id is not null"), levels, reps, classes.count())))
+    salted = saved(salted_postings(grouped))
+    shared = grouped.where("salts = 1").union(salted)
     # First round: each document with the pivot of each of its groups.
     possible = _possible(F.col("n"), F.col("pos"), F.col("pivot_n"), F.col("pivot_pos"))
     signatures = rows.select("doc_id", "n", "data")
@@ -392,7 +438,7 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     # Second round: pairs of a group that cross components, at least one of them not in the pivot's.
     likely = saved(parts_filtered(saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti")), signatures))
     crossing = verified(likely, source, levels)
-    for done in (likely, shared, pairs):
+    for done in (likely, grouped, salted, pairs):
         discard(done)
     if not crossing.isEmpty():
         more = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(crossing.select("a", "b"))
