@@ -151,7 +151,7 @@ def test_the_bound_of_a_hot_bucket_grows_with_the_input():
     assert hot_bucket(levels, 10) == HOT_BUCKET
     levels[:] = 256 * 10  # 1,023 in each bucket, 4.3 billion in all
     assert round(hot_bucket(levels, 1_000_000)) == 8 * 1023
-    assert round(hot_bucket(levels, 1_000)) == round(1023 * len(levels) / 16_000)
+    assert round(hot_bucket(levels, 1_000)) == round(1023 * len(levels) / 64_000)
     levels[5] = 256 * 30
     token = np.array([5 << 42, 6 << 42], np.uint64).view(np.int64)
     salts = salts_of(token, levels, hot_bucket(levels, 1_000_000))

@@ -38,7 +38,7 @@ SKETCH_PART = 1 << 14
 #: Rows of an n-gram's group that meet the group in one task, at about this number.
 GROUP_PART = 5_000
 #: N-grams of a bucket of the sketch beyond which they are dealt by document too, at the least.
-HOT_BUCKET = 1_000
+HOT_BUCKET = 250
 POSTING = "token bigint, salt int, salts int, doc_id bigint, n int, pos int"
 
 
@@ -207,11 +207,11 @@ def rare_first(found: np.ndarray, levels: np.ndarray) -> np.ndarray:
 def hot_bucket(levels: np.ndarray, parts: int) -> float:
     """The count of a bucket of the sketch beyond which its n-grams are dealt by document too.
 
-    A sixteenth of a task's share of all n-grams, about a quarter of its share of
+    A 64th of a task's share of all n-grams, about a sixteenth of its share of
     the prefixes; where tasks are very many, eight times a bucket's mean.
     """
     total = float((np.exp2(np.arange(1 << 16) / 256) - 1) @ np.bincount(levels, minlength=1 << 16))
-    return max(HOT_BUCKET, total / (16 * parts), 8 * total / len(levels))
+    return max(HOT_BUCKET, total / (64 * parts), 8 * total / len(levels))
 
 
 def salts_of(token: np.ndarray, levels: np.ndarray, most: float) -> np.ndarray:
