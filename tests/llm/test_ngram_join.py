@@ -156,3 +156,27 @@ def test_the_bound_of_a_hot_bucket_grows_with_the_input():
     token = np.array([5 << 42, 6 << 42], np.uint64).view(np.int64)
     salts = salts_of(token, levels, hot_bucket(levels, 1_000_000))
     assert salts[1] == 1 and 50_000 < salts[0] < (1 << 30) / 8183
+
+
+def test_pairs_of_a_group_whose_pivot_is_unlike_do_not_grow_with_its_square(spark, monkeypatch):
+    """300 texts without a few of their lines: pivots link few of them, so the last round alone would make 21,026 pairs."""
+    from tidemark.llm import ngram_join
+
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(160)]
+    docs = []
+    for d in range(300):
+        lines = [line for line in (base[i : i + 8] for i in range(0, 160, 8)) if rng.random() < 0.92] or [base[:8]]
+        words = [word for line in lines for word in line]
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        docs.append((d, " ".join(words)))
+    made, filtered = [], ngram_join.parts_filtered
+
+    def counted(pairs, signatures):
+        made.append(pairs.count())
+        return filtered(pairs, signatures)
+
+    monkeypatch.setattr(ngram_join, "parts_filtered", counted)
+    assert run(spark, docs)[1] == brute(docs)
+    assert sum(made) < 12_000 and len(made) > 2

@@ -9,21 +9,23 @@ the first shared n-gram again and again to see whether enough can be shared, and
 what is left is verified once by the exact intersection.
 
 Groups of many similar documents would make a pair of every two.  So pairs are
-taken in rounds: first each document with one pivot of its prefix group, then,
-after links have been contracted to components, only pairs that cross
-components.  A pair left out joins two documents that are linked already, so
-components are those of all links.
+taken in rounds: first each document with one pivot of its prefix group; then,
+after links have been contracted to components, each with a few of its group
+that stand beside it in an order drawn anew, as long as that contracts more; at
+last all pairs that still cross components.  A pair left out joins two documents
+that are linked already, so components are those of all links.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BitFilter, discard, saved, slices, unused
@@ -39,6 +41,10 @@ SKETCH_PART = 1 << 14
 GROUP_PART = 5_000
 #: N-grams of a bucket of the sketch beyond which they are dealt by document too, at the least.
 HOT_BUCKET = 250
+#: Rows of an n-gram's group that a row meets on each side in a round of neighbours, and such rounds at most.
+NEIGHBOURS, ROUNDS = 3, 8
+#: Meetings that the last round may make for each posting without rounds of neighbours before it.
+MEETINGS = 2
 POSTING = "token bigint, salt int, salts int, doc_id bigint, n int, pos int"
 
 
@@ -342,19 +348,51 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "doc_id", "left_semi")
 
 
-def _crossing(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a group whose components differ, under both filters, each once."""
+def _placed(shared: DataFrame, joined: DataFrame) -> DataFrame:
+    """The postings with the component of their document and that of their group's pivot."""
     of_doc = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
     of_pivot = joined.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_found"))
     placed = shared.join(of_doc, "doc_id", "left").join(of_pivot, "pivot", "left")
-    placed = saved(placed.select("token", "salt", "salts", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
+    return saved(placed.select("token", "salt", "salts", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
+
+
+def _band(n: Column) -> Column:
+    """Bands of size; linked sets fall in one or in two beside each other."""
+    return F.floor(F.log(n) / float(np.log(WHOLE / PART))).cast("int")
+
+
+def _meetings(placed: DataFrame) -> tuple[int, int]:
+    """How many postings there are, and how many meetings within groups their components leave open, at most."""
+    apart = F.count_if(F.col("component") != F.col("pivot_component"))
+    groups = placed.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), apart.alias("apart"))
+    found = groups.agg(F.sum("rows"), F.sum(F.col("rows").cast("double") * F.col("apart"))).first()
+    return int(found[0] or 0), int(found[1] or 0)
+
+
+def _neighbours(placed: DataFrame, number: int) -> DataFrame:
+    """Pairs (a, b) across components that stand near each other in a group, ordered by band of size and then by chance.
+
+    They grow with the postings, not with the square of a group; each round
+    number draws another order and deals the rows of salted tokens anew.
+    """
+    drawn = F.xxhash64("doc_id", "token", F.lit(number))
+    rows = placed.select("token", "doc_id", "n", "pos", "component", _band(F.col("n")).alias("band"), drawn.alias("drawn"), F.pmod(drawn, "salts").alias("deal"))
+    order = Window.partitionBy("token", "deal").orderBy("band", "drawn", "doc_id")
+    before = F.array(*(F.lag(F.struct("doc_id", "n", "pos", "component"), k).over(order) for k in range(1, NEIGHBOURS + 1)))
+    met = rows.withColumn("before", before).select("doc_id", "n", "pos", "component", F.explode("before").alias("y")).where(F.col("y").isNotNull() & (F.col("component") != F.col("y.component")))
+    met = met.where(_possible(F.col("n"), F.col("pos"), F.col("y.n"), F.col("y.pos")))
+    return met.select(F.least("doc_id", "y.doc_id").alias("a"), F.greatest("doc_id", "y.doc_id").alias("b")).distinct()
+
+
+def _crossing(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a group whose components differ, under both filters, each once."""
     # Groups of one component are done; elsewhere only what the pivot's component lacks meets the group.
     apart = placed.where("component <> pivot_component")
-    # A large group is dealt by bands of size, of which linked sets fall in one or two beside each other, and by document.
+    # A large group is dealt by bands of size and by document.
     deals = apart.groupBy("token", "salts").agg(F.ceil(F.count(F.lit(1)) / GROUP_PART).cast("int").alias("deals"))
     salted = placed.where("salts > 1").select("token", "salt").distinct().join(deals.where("salts > 1"), "token")
     deals = deals.where("salts = 1").select("token", F.lit(0).alias("salt"), "deals").union(salted.select("token", "salt", "deals"))
-    band = F.floor(F.log(F.col("n")) / float(np.log(WHOLE / PART))).cast("int")
+    band = _band(F.col("n"))
     names = ("doc_id", "n", "pos", "component", "pivot_component")
     x = apart.join(deals, ["token", "salt"]).withColumns({"band": band, "deal": F.pmod(F.xxhash64("doc_id"), F.col("deals")).cast("int")})
     x = x.select("token", "band", "deal", *(F.col(c).alias(f"x_{c}") for c in names))
@@ -435,16 +473,36 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
     discard(likely)
     joined = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     discard(links)
-    # Second round: pairs of a group that cross components, at least one of them not in the pivot's.
-    likely = saved(parts_filtered(saved(_crossing(shared, joined).join(pairs, ["a", "b"], "left_anti")), signatures))
-    crossing = verified(likely, source, levels)
-    for done in (likely, grouped, salted, pairs):
-        discard(done)
-    if not crossing.isEmpty():
-        more = joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(crossing.select("a", "b"))
-        before, joined = joined, connected_components(more)
+
+    def contracted(made: DataFrame) -> DataFrame:
+        """The components once the links among these pairs are known too."""
+        likely = saved(parts_filtered(made, signatures))
+        links = verified(likely, source, levels)
+        more = None if links.isEmpty() else connected_components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links.select("a", "b")))
+        for done in (likely, links, *((joined,) if more is not None else ())):
+            discard(done)
+        return joined if more is None else more
+
+    # Rounds of neighbours, while they halve what is left open.
+    tested, placed = [pairs], _placed(shared, joined)
+    rows_there, still = _meetings(placed)
+    for number in range(ROUNDS):
+        if still <= MEETINGS * rows_there:
+            break
+        made = saved(reduce(lambda left, known: left.join(known, ["a", "b"], "left_anti"), tested, _neighbours(placed, number)))
+        tested.append(made)
+        joined = contracted(made)
+        before, last = placed, still
+        placed = _placed(shared, joined)
         discard(before)
-    discard(crossing)
+        still = _meetings(placed)[1]
+        if still > last / 2:
+            break
+    # Last round: all pairs of a group that cross components, at least one of them not in the pivot's.
+    crossing = saved(reduce(lambda left, known: left.join(known, ["a", "b"], "left_anti"), tested, _crossing(placed)))
+    joined = contracted(crossing)
+    for done in (grouped, salted, placed, crossing, *tested):
+        discard(done)
     named = classes.join(joined, F.col("rep") == F.col("node"), "left").select("name", F.coalesce("component", "rep").alias("component_id"))
     out = rows.drop("data").join(named, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     out = saved(out)
