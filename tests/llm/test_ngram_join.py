@@ -180,3 +180,53 @@ def test_pairs_of_a_group_whose_pivot_is_unlike_do_not_grow_with_its_square(spar
     monkeypatch.setattr(ngram_join, "parts_filtered", counted)
     assert run(spark, docs)[1] == brute(docs)
     assert sum(made) < 12_000 and len(made) > 2
+
+
+def test_only_groups_that_are_open_are_placed_again(spark, monkeypatch):
+    """Pairs of texts that share a passage have no pair left behind the pivots, and a round joins no posting of groups that are one component."""
+    from tidemark.llm import ngram_join
+
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    docs = []
+    for _ in range(150):
+        passage = [word() for _ in range(30)]
+        docs += [" ".join([*passage, *(word() for _ in range(70))]) for _ in range(2)]
+    base = [word() for _ in range(160)]
+    for _ in range(60):
+        docs.append(" ".join(w for i in range(0, 160, 8) if i == 0 or rng.random() < 0.92 for w in base[i : i + 8]))
+    for _ in range(40):
+        docs.append(" ".join([*base[:8], *(word() for _ in range(60))]))
+    docs = list(enumerate(docs))
+    placed, place = [], ngram_join._placed
+
+    def counted(*args):
+        out = place(*args)
+        placed.append((out.count(), out.groupBy("token").count().where("count < 3").count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "_placed", counted)
+    monkeypatch.setattr(ngram_join, "MEETINGS", 0)
+    assert run(spark, docs)[1] == brute(docs)
+    assert len(placed) > 1 and not any(small for _, small in placed)
+    assert placed[-1][0] < placed[0][0]
+
+
+def test_groups_of_a_stream_in_batches_of_any_size(spark):
+    """Whether a group has more than two rows is known of each of its rows, wherever batches end."""
+    from tidemark.llm.ngram_join import POSTING, grouped_postings
+
+    rng = random.Random(9)
+    rows = [(t, s, salts, d, 10, d % 3) for t in range(60) for salts in [rng.choice([1, 1, 2])] for s in range(salts) for d in sorted(rng.sample(range(100), rng.randint(1, 6)))]
+    of = {}
+    for t, s, _, d, _, _ in rows:
+        of.setdefault((t, s), []).append(d)
+    want = sorted((*row, min(of[row[:2]]), 10, min(of[row[:2]]) % 3, len(of[row[:2]]) > 2) for row in rows if len(of[row[:2]]) > 1 or row[2] > 1)
+    posted = spark.createDataFrame(rng.sample(rows, len(rows)), POSTING)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (1, 2, 3, 7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            assert sorted(tuple(r) for r in grouped_postings(posted).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

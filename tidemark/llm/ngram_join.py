@@ -13,7 +13,8 @@ taken in rounds: first each document with one pivot of its prefix group; then,
 after links have been contracted to components, each with a few of its group
 that stand beside it in an order drawn anew, as long as that contracts more; at
 last all pairs that still cross components.  A pair left out joins two documents
-that are linked already, so components are those of all links.
+that are linked already, so components are those of all links.  Groups of two
+have no pair behind the first round, and groups of one component leave.
 """
 
 from __future__ import annotations
@@ -288,37 +289,46 @@ def grouped_postings(posted: DataFrame) -> DataFrame:
     """The postings of n-grams that several rows have, each with its group's pivot: the smallest doc_id.
 
     A group is a token's rows of one salt, read as a sorted stream, so that its
-    size takes no memory.  Of salted tokens groups of one row are there too.
+    size takes no memory; ``wide`` tells whether it has more than two rows.  Of
+    salted tokens groups of one row are there too.
     """
     names = ["token", "salt", "salts", "doc_id", "n", "pos"]
 
+    def made(rows, at, first, wide):
+        columns = [column[at] for column in rows] + [column[first[at]] for column in rows[3:]] + [wide[at]]
+        for low in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=[*names, "pivot", "pivot_n", "pivot_pos", "wide"])
+
     def run(batches):
-        carried = None  # the last group's pivot so far: its posting, and whether it was sent
+        # Of the last group so far: all of its rows while they are one or two, held back; else its pivot, and the rest was sent.
+        carried, sent = None, False
         for batch in batches:
             rows = [batch.column(name).to_numpy() for name in names]
             if not batch.num_rows:
                 continue
             if carried is not None:
-                rows = [np.concatenate([[value], column]).astype(column.dtype) for value, column in zip(carried[0], rows, strict=True)]
+                rows = [np.concatenate(pair) for pair in zip(carried, rows, strict=True)]
             token, salt, salts = rows[:3]
             new = np.ones(len(token), bool)
             new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
             starts = np.flatnonzero(new)
             sizes = np.diff(np.append(starts, len(token)))
-            first = np.repeat(starts, sizes)
-            send = np.repeat((sizes > 1) | (salts[starts] > 1), sizes)
-            last = starts[-1]
-            sent = bool(send[last])
-            if carried is not None and carried[1]:
+            wide = sizes > 2
+            wide[0] |= sent
+            send = np.repeat((sizes > 1) | (salts[starts] > 1) | wide, sizes)
+            if sent:
                 send[0] = False
-            carried = (tuple(column[last].item() for column in rows), sent)
-            at = np.flatnonzero(send)
-            columns = [column[at] for column in rows] + [column[first[at]] for column in rows[3:]]
-            for low in range(0, len(at), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[low : low + 100_000]) for c in columns], names=[*names, "pivot", "pivot_n", "pivot_pos"])
+            last, sent = starts[-1], bool(wide[-1])
+            if not sent:
+                send[last:] = False
+            carried = [column[last : last + 1 if sent else None].copy() for column in rows]
+            yield from made(rows, np.flatnonzero(send), np.repeat(starts, sizes), np.repeat(wide, sizes))
+        if carried is not None and not sent and (len(carried[0]) > 1 or carried[2][0] > 1):
+            at = np.arange(len(carried[0]))
+            yield from made(carried, at, np.zeros_like(at), np.zeros(len(at), bool))
 
     dealt = posted.repartition(_parts(posted), "token", "salt").sortWithinPartitions("token", "salt", "doc_id")
-    return dealt.mapInArrow(run, f"{POSTING}, pivot bigint, pivot_n int, pivot_pos int")
+    return dealt.mapInArrow(run, f"{POSTING}, pivot bigint, pivot_n int, pivot_pos int, wide boolean")
 
 
 def salted_postings(grouped: DataFrame) -> DataFrame:
@@ -329,9 +339,9 @@ def salted_postings(grouped: DataFrame) -> DataFrame:
     pivot = F.struct("pivot", "pivot_n", "pivot_pos")
     salted = grouped.where("salts > 1")
     groups = salted.groupBy("token", "salt").agg(F.count(F.lit(1)).alias("rows"), F.min(pivot).alias("least"))
-    tokens = groups.groupBy("token").agg(F.sum("rows").alias("rows"), F.min("least").alias("least")).where("rows > 1").select("token", "least.*")
+    tokens = groups.groupBy("token").agg(F.sum("rows").alias("rows"), F.min("least").alias("least")).where("rows > 1").select("token", "least.*", (F.col("rows") > 2).alias("wide"))
     named = groups.select("token", "salt").join(tokens, "token")
-    return salted.drop("pivot", "pivot_n", "pivot_pos").join(named, ["token", "salt"]).select(*grouped.columns)
+    return salted.drop("pivot", "pivot_n", "pivot_pos", "wide").join(named, ["token", "salt"]).select(*grouped.columns)
 
 
 def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -348,12 +358,17 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "doc_id", "left_semi")
 
 
-def _placed(shared: DataFrame, joined: DataFrame) -> DataFrame:
-    """The postings with the component of their document and that of their group's pivot."""
-    of_doc = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("found"))
-    of_pivot = joined.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_found"))
-    placed = shared.join(of_doc, "doc_id", "left").join(of_pivot, "pivot", "left")
-    return saved(placed.select("token", "salt", "salts", "doc_id", "n", "pos", F.coalesce("found", "doc_id").alias("component"), F.coalesce("pivot_found", "pivot").alias("pivot_component")))
+def _placed(postings: DataFrame, joined: DataFrame) -> DataFrame:
+    """The postings with the component that theirs, and that of their group's pivot, is in now."""
+    of_row = joined.select(F.col("node").alias("component"), F.col("component").alias("found"))
+    of_pivot = joined.select(F.col("node").alias("pivot_component"), F.col("component").alias("pivot_found"))
+    placed = postings.join(of_row, "component", "left").join(of_pivot, "pivot_component", "left")
+    return saved(placed.select("token", "salt", "salts", "doc_id", "n", "pos", F.coalesce("found", "component").alias("component"), F.coalesce("pivot_found", "pivot_component").alias("pivot_component")))
+
+
+def _still_open(placed: DataFrame) -> DataFrame:
+    """The postings of groups of more than one component; a group of one stays one, whatever links are found."""
+    return placed.join(placed.where("component <> pivot_component").select("token").distinct(), "token", "left_semi")
 
 
 def _band(n: Column) -> Column:
@@ -361,12 +376,11 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n) / float(np.log(WHOLE / PART))).cast("int")
 
 
-def _meetings(placed: DataFrame) -> tuple[int, int]:
-    """How many postings there are, and how many meetings within groups their components leave open, at most."""
+def _meetings(placed: DataFrame) -> int:
+    """How many meetings within groups their components leave open, at most."""
     apart = F.count_if(F.col("component") != F.col("pivot_component"))
     groups = placed.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), apart.alias("apart"))
-    found = groups.agg(F.sum("rows"), F.sum(F.col("rows").cast("double") * F.col("apart"))).first()
-    return int(found[0] or 0), int(found[1] or 0)
+    return int(groups.agg(F.sum(F.col("rows").cast("double") * F.col("apart"))).first()[0] or 0)
 
 
 def _neighbours(placed: DataFrame, number: int) -> DataFrame:
@@ -484,18 +498,20 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         return joined if more is None else more
 
     # Rounds of neighbours, while they halve what is left open.
-    tested, placed = [pairs], _placed(shared, joined)
-    rows_there, still = _meetings(placed)
+    # A group of two has no pair but its pivot's, which is tested.
+    open_yet = shared.where("wide").withColumns({"component": F.col("doc_id"), "pivot_component": F.col("pivot")})
+    tested, placed = [pairs], _placed(open_yet, joined)
+    most, still = MEETINGS * shared.count(), _meetings(placed)
     for number in range(ROUNDS):
-        if still <= MEETINGS * rows_there:
+        if still <= most:
             break
         made = saved(reduce(lambda left, known: left.join(known, ["a", "b"], "left_anti"), tested, _neighbours(placed, number)))
         tested.append(made)
         joined = contracted(made)
         before, last = placed, still
-        placed = _placed(shared, joined)
+        placed = _placed(_still_open(before), joined)
         discard(before)
-        still = _meetings(placed)[1]
+        still = _meetings(placed)
         if still > last / 2:
             break
     # Last round: all pairs of a group that cross components, at least one of them not in the pivot's.
