@@ -4,6 +4,7 @@ import re
 import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm.ngram_join import least_difference, least_overlap, near_duplicate_components, parts_allow, prefix_length, shared_count, signature, suffix_allows, without_near_duplicates
 
@@ -230,3 +231,57 @@ def test_groups_of_a_stream_in_batches_of_any_size(spark):
             assert sorted(tuple(r) for r in grouped_postings(posted).collect()) == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_groups_that_allow_no_pair_beside_the_pivot_are_not_placed(spark, monkeypatch):
+    """Three texts of unlike sizes share a passage: after the pivot's pairs no other can be linked, so no round joins their postings."""
+    from tidemark.llm import ngram_join
+
+    rng = random.Random(8)
+    passage = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    common = [passage(20) for _ in range(40)]
+    texts = []
+    for _ in range(40):
+        own = passage(40)
+        texts += [" ".join([*own, *(w for part in rng.sample(common, size) for w in part)]) for size in (2, 5, 11)]
+    docs = list(enumerate(texts)) + [(1000 + d, t) for d, t in near_copies(4, groups=3, copies=8)]
+    placed, place = [], ngram_join._placed
+
+    def seen(*args):
+        out = place(*args)
+        placed.append({frozenset(r.docs) for r in out.groupBy("token").agg(F.collect_set("doc_id").alias("docs")).collect()})
+        return out
+
+    monkeypatch.setattr(ngram_join, "_placed", seen)
+    assert run(spark, docs)[1] == brute(docs)
+    assert placed[0] and not any(frozenset(range(d, d + 3)) in groups for groups in placed for d in range(0, 120, 3))
+
+
+def test_groups_keep_every_pair_beside_the_pivot(spark):
+    """A group stays whole if any two rows, of which none is the pivot's, pass both filters; it leaves if no two are near enough in size."""
+    from tidemark.llm.ngram_join import POSTING, with_pairs_left
+
+    rng = random.Random(10)
+    rows = []
+    for token in range(600):
+        base = rng.randint(4, 120)
+        for d in sorted(rng.choices(range(50), k=rng.randint(3, 6))):  # an id may come with two texts
+            n = max(1, round(base * rng.choice([0.3, 0.5, 0.7, 0.8, 1, 1, 1.3, 2])))
+            rows.append((token, 0, 1, d, n, rng.randrange(prefix_length(n))))
+    of = {}
+    for row in rows:
+        of.setdefault(row[0], []).append(row)
+    pivots = {t: group[0][3:] for t, group in of.items()}
+    df = spark.createDataFrame([(*row, *pivots[row[0]], True) for row in rng.sample(rows, len(rows))], f"{POSTING}, pivot bigint, pivot_n int, pivot_pos int, wide boolean")
+    got = with_pairs_left(df)
+    kept = {}
+    for r in got.collect():
+        kept.setdefault(r.token, []).append(tuple(r)[:6])
+    assert got.columns == df.columns
+    for t, group in of.items():
+        rest = [row for row in group if row[3:] != pivots[t]]
+        near = [(x, y) for i, x in enumerate(rest) for y in rest[:i] if 4 * min(x[4], y[4]) >= 3 * max(x[4], y[4])]
+        if any(min(x[4] - x[5], y[4] - y[5]) >= least_overlap(x[4], y[4]) for x, y in near):
+            assert t in kept
+        assert t not in kept or (near and sorted(kept[t]) == sorted(group))
+    assert 100 < len(kept) < 500

@@ -14,7 +14,8 @@ after links have been contracted to components, each with a few of its group
 that stand beside it in an order drawn anew, as long as that contracts more; at
 last all pairs that still cross components.  A pair left out joins two documents
 that are linked already, so components are those of all links.  Groups of two
-have no pair behind the first round, and groups of one component leave.
+have no pair behind the first round; they leave, as do groups whose sizes and
+positions allow no pair without the pivot, and groups of one component.
 """
 
 from __future__ import annotations
@@ -358,6 +359,20 @@ def sets_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted, "doc_id", "left_semi")
 
 
+def with_pairs_left(groups: DataFrame) -> DataFrame:
+    """The rows of unsalted groups that may hold a pair without the pivot; the pivot's pairs are tested by then.
+
+    Of two rows the one of the smaller set (of equal ones, the later) is held
+    against the next larger set of the group, as if all of that were still to
+    come.  Where this allows no link, no pair that it would be the smaller of does.
+    """
+    others = ~((F.col("doc_id") == F.col("pivot")) & (F.col("n") == F.col("pivot_n")) & (F.col("pos") == F.col("pivot_pos")))
+    larger = Window.partitionBy("token").orderBy(F.desc("n"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = groups.withColumns({"other": others, "nearest": F.min(F.when(others, F.col("n"))).over(larger)})
+    may = F.col("other") & F.coalesce(_possible(F.col("n"), F.col("pos"), F.col("nearest"), F.lit(0)), F.lit(False))
+    return rows.withColumn("left", F.max(may).over(Window.partitionBy("token"))).where("left").select(*groups.columns)
+
+
 def _placed(postings: DataFrame, joined: DataFrame) -> DataFrame:
     """The postings with the component that theirs, and that of their group's pivot, is in now."""
     of_row = joined.select(F.col("node").alias("component"), F.col("component").alias("found"))
@@ -498,8 +513,9 @@ def near_duplicate_components(docs: DataFrame, *, id_col: str = "doc_id", text_c
         return joined if more is None else more
 
     # Rounds of neighbours, while they halve what is left open.
-    # A group of two has no pair but its pivot's, which is tested.
-    open_yet = shared.where("wide").withColumns({"component": F.col("doc_id"), "pivot_component": F.col("pivot")})
+    # A group of two has no pair but its pivot's, which is tested; others may have none that their sizes allow.
+    wide = with_pairs_left(grouped.where("salts = 1 and wide")).union(salted.where("wide"))
+    open_yet = wide.withColumns({"component": F.col("doc_id"), "pivot_component": F.col("pivot")})
     tested, placed = [pairs], _placed(open_yet, joined)
     most, still = MEETINGS * shared.count(), _meetings(placed)
     for number in range(ROUNDS):
