@@ -285,3 +285,20 @@ def test_groups_keep_every_pair_beside_the_pivot(spark):
             assert t in kept
         assert t not in kept or (near and sorted(kept[t]) == sorted(group))
     assert 100 < len(kept) < 500
+
+
+def test_rows_of_a_salted_n_gram_stay_dealt_when_open_groups_are_kept(spark):
+    """Whether a token is open is known of all its salts, and its rows are joined by token and salt: no task gets all of them."""
+    from tidemark.llm.ngram_join import _still_open
+
+    rows = [(t, d % salts, salts, d, 10, 0, 7 if t % 2 == 0 or d != 4 else d, 7) for t, salts in ((1, 1), (2, 1), (3, 5), (4, 5)) for d in range(40)]
+    placed = spark.createDataFrame(rows, "token bigint, salt int, salts int, doc_id bigint, n int, pos int, component bigint, pivot_component bigint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = _still_open(placed)
+        assert sorted(tuple(r) for r in out.select(*placed.columns).collect()) == sorted(row for row in rows if row[0] % 2)
+        on = re.search(r"SortMergeJoin \[([^\]]*)\], \[[^\]]*\], LeftSemi", out._jdf.queryExecution().executedPlan().toString())[1]
+        assert re.findall(r"[a-z]+(?=#)", on) == ["token", "salt"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -382,8 +382,13 @@ def _placed(postings: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _still_open(placed: DataFrame) -> DataFrame:
-    """The postings of groups of more than one component; a group of one stays one, whatever links are found."""
-    return placed.join(placed.where("component <> pivot_component").select("token").distinct(), "token", "left_semi")
+    """The postings of groups of more than one component; a group of one stays one, whatever links are found.
+
+    A salted token's rows stay dealt: its salts are summed up first, and those meet.
+    """
+    groups = placed.groupBy("token", "salt").agg(F.max(F.col("component") != F.col("pivot_component")).alias("apart"))
+    tokens = groups.groupBy("token").agg(F.max("apart").alias("apart")).where("apart").select("token")
+    return placed.join(groups.select("token", "salt").join(tokens, "token"), ["token", "salt"], "left_semi")
 
 
 def _band(n: Column) -> Column:
